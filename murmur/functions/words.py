@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.specs import WORD_CLASS
@@ -60,8 +60,22 @@ def without(tokens: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(list(stop_words)))
 
 
-def with_bigrams(tokens: Column) -> Column:
-    """The tokens followed by every pair of neighbours joined by a blank."""
-    shifted = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
+def with_bigrams(tokens: str) -> Column:
+    """The tokens of an array column, then each joined to its successor; one NULL marks the end.
+
+    Takes a column name, not an expression: it is used several times, and an
+    expression would be computed as often.
+    """
+    shifted = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
     pairs = F.zip_with(tokens, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_compact(F.concat(tokens, pairs))
+    return F.concat(F.col(tokens), pairs)
+
+
+def explode_terms(df: DataFrame, terms: str, output: str = "term") -> DataFrame:
+    """One row per non-NULL element of an array column, beside the other columns.
+
+    The outer form keeps the optimiser from testing the array's size in a filter
+    below, for which it would build the whole array a second time.
+    """
+    others = [c for c in df.columns if c != terms]
+    return df.select(*others, F.explode_outer(terms).alias(output)).where(F.col(output).isNotNull())

@@ -78,8 +78,14 @@ def event_label(labels: Mapping[str, str], column: str = "event_period") -> Colu
 # Entities
 
 def mention(text: Column, entity: EntityPattern) -> Column:
-    """Whether the text mentions the entity; NULL for NULL text."""
-    return F.rlike(text, F.lit(entity.regex))
+    """Whether the text mentions the entity, in any case; NULL for NULL text.
+
+    A plain substring search goes first: most texts hold none of the terms, and
+    it is several times cheaper than the regex that checks the word edges.
+    """
+    lowered = F.lower(text)
+    anywhere = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(t)) for t in entity.lower_terms))
+    return anywhere & F.rlike(lowered, F.lit(entity.regex))
 
 
 def add_mentions(df: DataFrame, text_col: str, entities: Sequence[EntityPattern]) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.words import ENGLISH_STOP_WORDS, with_bigrams, without, word_runs
+from murmur.functions.words import ENGLISH_STOP_WORDS, explode_terms, with_bigrams, without, word_runs
 from murmur.specs import Calendar, EntityPattern
 
 
@@ -32,13 +32,15 @@ def term_counts(
     groups without being copied. Counting all groups side by side takes one
     shuffle, of per-task totals. Bigrams do not run from one text into the next.
     """
-    member = F.array(*(F.coalesce(test, F.lit(False)) for test in groups.values()))
-    texts = df.where(F.col(text_col).isNotNull()).select(text_col, member.alias("_in"))
-    terms = texts.where(F.array_contains("_in", True)).select(
-        *(F.col("_in")[i].cast("long").alias(f"_g{i}") for i in range(len(groups))),
-        F.explode(with_bigrams(without(word_runs(F.col(text_col)), stop_words))).alias("term"),
+    flags = [f"_g{i}" for i in range(len(groups))]
+    texts = df.where(F.col(text_col).isNotNull()).select(
+        *(F.coalesce(test, F.lit(False)).cast("long").alias(flag) for flag, test in zip(flags, groups.values())),
+        text_col,
     )
-    return terms.groupBy("term").agg(*(F.sum(f"_g{i}").alias(name) for i, name in enumerate(groups)))
+    in_any = reduce(lambda a, b: a | b, (F.col(flag) > 0 for flag in flags))
+    words = texts.where(in_any).select(*flags, without(word_runs(F.col(text_col)), stop_words).alias("_words"))
+    terms = explode_terms(words.select(*flags, with_bigrams("_words").alias("_terms")), "_terms")
+    return terms.groupBy("term").agg(*(F.sum(flag).alias(name) for flag, name in zip(flags, groups)))
 
 
 def tfidf(counts: DataFrame, max_features: int = 500, min_df: int = 1) -> DataFrame:

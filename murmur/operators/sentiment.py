@@ -131,23 +131,24 @@ def _token_rows(df: DataFrame, text_col: str, rules: SentimentRules, keep: Seque
             F.get("_tokens", i + 2).alias("next2"),
         ),
     )
-    return (
-        words.select(
-            *keep,
-            "_emphasis",
-            ((shouting > 0) & (shouting < F.size("_tokens"))).alias("_mixed_case"),
-            contrast.alias("_contrast"),
-            F.explode_outer(neighbours).alias("_t"),
-        )
-        .select(*keep, "_emphasis", "_mixed_case", "_contrast", "_t.*")
+    # All per-text facts are settled before the explode: a sibling of explode is
+    # evaluated once per token, on a copy of the whole token array.
+    per_text = words.select(
+        *keep,
+        "_emphasis",
+        ((shouting > 0) & (shouting < F.size("_tokens"))).alias("_mixed_case"),
+        contrast.alias("_contrast"),
+        neighbours.alias("_near"),
     )
+    carried = [*keep, "_emphasis", "_mixed_case", "_contrast"]
+    return per_text.select(*carried, F.explode_outer("_near").alias("_t")).select(*carried, "_t.*")
 
 
 def _with_valences(tokens: DataFrame, lexicon: DataFrame, rules: SentimentRules) -> DataFrame:
     """Look up the word itself and, for hits only, whether its predecessors are in the lexicon.
 
-    Modifier words never carry a valence. For words without one the predecessor
-    keys are NULL, which the joins skip.
+    Modifier words never carry a valence. For a text's first word without one the
+    predecessor keys are NULL, which the joins skip.
     """
     lexicon = broadcast_if_small(lexicon.select("token", "valence"))
     word, following = F.lower("word"), F.lower("next1")
@@ -155,6 +156,8 @@ def _with_valences(tokens: DataFrame, lexicon: DataFrame, rules: SentimentRules)
         (word == "kind") & F.coalesce(following == "of", F.lit(False)))
     scored = tokens.withColumn("_key", F.when(~is_modifier, word)).join(
         lexicon.select(F.col("token").alias("_key"), F.col("valence").alias("_base")), "_key", "left")
+    # From here on only hits matter, and the first token, which stands for its text.
+    scored = scored.where(F.col("_base").isNotNull() | F.col("at").isNull() | (F.col("at") == 0))
     for back in ("back1", "back2", "back3"):
         key = f"_{back}"
         scored = (

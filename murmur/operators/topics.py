@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.scale import stage
-from murmur.functions.words import ENGLISH_STOP_WORDS, blank_separated, without
+from murmur.functions.words import ENGLISH_STOP_WORDS, blank_separated, explode_terms, without
 
 
 def tokenise(df: DataFrame, text_col: str, key: str, keep: Sequence[str] = (),
@@ -33,7 +33,7 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     marked = F.transform("_sorted", lambda t, i: F.struct(
         t.alias("term"), (~F.equal_null(t, F.get("_sorted", i - 1))).alias("first")))
     return (
-        in_order.select(F.explode(marked).alias("_t"))
+        explode_terms(in_order.select(marked.alias("_marked")), "_marked", "_t")
         .groupBy(F.col("_t.term").alias("term"))
         .agg(F.count("*").alias("tf"), F.count_if("_t.first").alias("df"))
     )
@@ -65,7 +65,7 @@ class TopicModel:
     def topic_words(self, n: int = 10) -> DataFrame:
         """The ``n`` heaviest words of each topic: ``(topic, position, word, weight)``."""
         words = F.array(*(F.lit(w) for w in self.vocabulary))
-        pairs = F.arrays_zip(F.col("termIndices").alias("i"), F.col("termWeights").alias("w"))
+        pairs = F.arrays_zip("termIndices", "termWeights")
         return (
             self.model.describeTopics(maxTermsPerTopic=n)
             .select("topic", F.posexplode(pairs).alias("position", "_p"))
@@ -116,9 +116,14 @@ def fit_topics(
 
 
 def topic_mix(mixtures: DataFrame, group_col: str = "event_period") -> DataFrame:
-    """Average weight of each topic per group: ``(group, topic, texts, weight)``."""
+    """Average weight of each topic per group: ``(group, topic, texts, weight)``.
+
+    Texts without any vocabulary word have no mixture and do not count.
+    """
+    weights = mixtures.select(group_col, vector_to_array("topic_dist").alias("_weights"))
     return (
-        mixtures.select(group_col, F.posexplode(vector_to_array("topic_dist")).alias("topic", "_weight"))
+        weights.where(F.array_max("_weights") > 0)
+        .select(group_col, F.posexplode_outer("_weights").alias("topic", "_weight"))
         .groupBy(group_col, "topic")
         .agg(F.count("*").alias("texts"), F.avg("_weight").alias("weight"))
         .orderBy(group_col, "topic")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,29 +40,29 @@ def split(spark, sf_dir):
     return _features(spark, sf_dir).select("post_id", models.in_training("post_id").alias("in_training"))
 
 
-@dataclass
-class _Fitted:
-    engagement: models.EngagementModels
-    clusters: models.ForumClusters
+_engagement: dict[tuple[str, str], models.EngagementModels] = {}
+_clusters: dict[tuple[str, str], models.ForumClusters] = {}
 
 
-_fits: dict[tuple[str, str], _Fitted] = {}
+def _models(spark: SparkSession, sf_dir: str) -> models.EngagementModels:
+    """One fit per session and data set, shared by the queries that read the models."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _engagement:
+        _engagement[at] = models.fit_engagement_models(_labelled(spark, sf_dir), ENTITIES)
+    return _engagement[at]
 
 
-def _fitted(spark: SparkSession, sf_dir: str) -> _Fitted:
-    """One fit per session and data set, shared by the queries that read the models."""
+def _forums(spark: SparkSession, sf_dir: str) -> models.ForumClusters:
     at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _fits:
+    if at not in _clusters:
         profile = reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES)
-        _fits[at] = _Fitted(
-            models.fit_engagement_models(_labelled(spark, sf_dir), ENTITIES),
-            models.cluster_forums(profile, ENTITIES))
-    return _fits[at]
+        _clusters[at] = models.cluster_forums(profile, ENTITIES)
+    return _clusters[at]
 
 
 @query("m02_category_index", f"{WITH_FEATURES}, {ONE_HOT} SELECT category, name, CAST(i AS DOUBLE) AS i FROM one_hot")
 def category_index(spark, sf_dir):
-    encoded = _fitted(spark, sf_dir).engagement.train
+    encoded = _models(spark, sf_dir).train
     pairs = F.array(*(F.struct(
         F.lit(c).alias("category"), F.col(c).alias("name"), F.col(f"{c}_idx").alias("i")) for c in models.CATEGORIES))
     return encoded.select(F.inline(pairs)).distinct()
@@ -74,7 +72,7 @@ def category_index(spark, sf_dir):
 SELECT category, name, CAST(i AS INTEGER) AS slot,
        CAST((SELECT count(*) FROM one_hot o WHERE o.category = one_hot.category) AS INTEGER) AS width FROM one_hot""")
 def one_hot(spark, sf_dir):
-    encoded = _fitted(spark, sf_dir).engagement.train
+    encoded = _models(spark, sf_dir).train
     pairs = F.array(*(F.struct(
         F.lit(c).alias("category"), F.col(c).alias("name"),
         (F.array_position(vector_to_array(f"{c}_ohe"), F.lit(1.0)) - 1).cast("int").alias("slot"),
@@ -92,51 +90,51 @@ cells AS ({" UNION ALL ".join(f"SELECT {i} AS slot, CAST({c} AS DOUBLE) AS v FRO
   UNION ALL SELECT {len(NUMERIC)} + (SELECT count(*) FROM forum_index) + p.i, 1.0 FROM train t JOIN period_index p USING (event_period))
 SELECT CAST(slot AS INTEGER) AS slot, round(sum(v), 6) AS total FROM cells GROUP BY slot""")
 def feature_vector(spark, sf_dir):
-    encoded = _fitted(spark, sf_dir).engagement.train
+    encoded = _models(spark, sf_dir).train
     cells = encoded.select(F.posexplode(vector_to_array("features")).alias("slot", "v"))
     return rounded(cells.groupBy("slot").agg(F.sum("v").alias("total")))
 
 
 @query("m06_classifier_predictions")
 def classifier_predictions(spark, sf_dir):
-    return _fitted(spark, sf_dir).engagement.classified().select(
+    return _models(spark, sf_dir).classified().select(
         "post_id", models.LABEL, vector_to_array("probability")[1].alias("probability"), "prediction")
 
 
 @query("f11_correct_predictions")
 def correct_predictions(spark, sf_dir):
-    return models.correct_predictions(_fitted(spark, sf_dir).engagement.classified()).select(
+    return models.correct_predictions(_models(spark, sf_dir).classified()).select(
         "post_id", models.LABEL, "prediction")
 
 
 @query("a15_accuracy")
 def accuracy(spark, sf_dir):
-    return models.accuracy(_fitted(spark, sf_dir).engagement.classified())
+    return models.accuracy(_models(spark, sf_dir).classified())
 
 
 @query("m07_classification_metrics")
 def classification_metrics(spark, sf_dir):
-    return models.classification_metrics(_fitted(spark, sf_dir).engagement.classified())
+    return models.classification_metrics(_models(spark, sf_dir).classified())
 
 
 @query("m08_feature_importances")
 def feature_importances(spark, sf_dir):
-    return models.feature_importances(_fitted(spark, sf_dir).engagement, ENTITIES)
+    return models.feature_importances(_models(spark, sf_dir), ENTITIES)
 
 
 @query("m09_regressor_predictions")
 def regressor_predictions(spark, sf_dir):
-    return _fitted(spark, sf_dir).engagement.regressed().select("post_id", "num_comments", "prediction")
+    return _models(spark, sf_dir).regressed().select("post_id", "num_comments", "prediction")
 
 
 @query("m10_regression_metrics")
 def regression_metrics(spark, sf_dir):
-    return models.regression_metrics(_fitted(spark, sf_dir).engagement.regressed())
+    return models.regression_metrics(_models(spark, sf_dir).regressed())
 
 
 @query("m11_prediction_sample")
 def prediction_sample(spark, sf_dir):
-    return models.prediction_sample(_fitted(spark, sf_dir).engagement.regressed())
+    return models.prediction_sample(_models(spark, sf_dir).regressed())
 
 
 Z = ", ".join(f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0.0), 6) AS {c}"
@@ -151,38 +149,38 @@ def standardised_profiles(spark, sf_dir):
 
 @query("m13_cluster_features")
 def cluster_features(spark, sf_dir):
-    return _fitted(spark, sf_dir).clusters.assigned.select(
+    return _forums(spark, sf_dir).assigned.select(
         "subreddit", vector_to_array("km_features").alias("km_features"), "cluster")
 
 
 @query("m14_silhouette")
 def silhouette(spark, sf_dir):
-    clusters = _fitted(spark, sf_dir).clusters
+    clusters = _forums(spark, sf_dir)
     return clusters.summary().agg(F.count("*").alias("clusters"), F.sum("forums").alias("forums")).withColumn(
         "silhouette", F.lit(clusters.silhouette()).cast("double"))
 
 
 @query("m15_cluster_table")
 def cluster_table(spark, sf_dir):
-    return _fitted(spark, sf_dir).clusters.table()
+    return _forums(spark, sf_dir).table()
 
 
 @query("t06_cluster_summary")
 def cluster_summary(spark, sf_dir):
-    return _fitted(spark, sf_dir).clusters.summary()
+    return _forums(spark, sf_dir).summary()
 
 
 @query("m16_model_summary")
 def model_summary(spark, sf_dir):
-    fitted = _fitted(spark, sf_dir)
+    fitted = _models(spark, sf_dir)
     return models.model_summary(
-        models.classification_metrics(fitted.engagement.classified()),
-        models.regression_metrics(fitted.engagement.regressed()),
-        fitted.clusters.silhouette())
+        models.classification_metrics(fitted.classified()),
+        models.regression_metrics(fitted.regressed()),
+        _forums(spark, sf_dir).silhouette())
 
 
 @query("m17_metric_tables")
 def metric_tables(spark, sf_dir):
-    fitted = _fitted(spark, sf_dir).engagement
+    fitted = _models(spark, sf_dir)
     return models.classification_metrics(fitted.classified()).unionByName(
         models.regression_metrics(fitted.regressed()))

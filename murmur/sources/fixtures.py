@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions.clock import to_unix_seconds
+from murmur.functions.scale import spread
 from murmur.operators.sentiment import SentimentRules
 from murmur.specs import COMMENTS_SCHEMA, POSTS_SCHEMA, Calendar, EntityPattern, Period, TopicFilter
 
@@ -78,7 +79,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")
     total = documents.agg(F.count("*").alias("n"))
     ratio = events.agg(F.floor(F.count("*") / total.scalar()))
-    rows = documents.select(
+    rows = spread(documents, "doc_id").select(
         _event_key(F.col("doc_id"), ratio).alias("event_id"),
         F.col("doc_id").alias("post_id"),
         F.col("source").alias("subreddit"),
@@ -94,7 +95,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = turns.agg((TURNS * (F.max("conv_id") + 1)).alias("n"))
     ratio = events.agg(F.floor(F.count("*") / slots.scalar()))
     position = F.col("conv_id") * TURNS + F.col("turn")
-    rows = turns.select(
+    rows = spread(turns, "conv_id").select(
         _event_key(position, ratio).alias("event_id"),
         position.alias("comment_id"),
         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("subreddit"),

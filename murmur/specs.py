@@ -42,9 +42,13 @@ class EntityPattern:
 
     @property
     def regex(self) -> str:
-        """Whole-word, case-insensitive alternation over the terms."""
-        words = "|".join(_quote(t) for t in self.terms)
-        return f"(?iu)(?<![{WORD_CLASS}])(?:{words})(?![{WORD_CLASS}])"
+        """Whole-word alternation over the terms, for lower-cased text."""
+        words = "|".join(_quote(t) for t in self.lower_terms)
+        return f"(?<![{WORD_CLASS}])(?:{words})(?![{WORD_CLASS}])"
+
+    @property
+    def lower_terms(self) -> list[str]:
+        return [t.lower() for t in self.terms]
 
 
 def _seconds(moment: datetime) -> float:
