@@ -43,6 +43,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def steady(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Rows placed by key in sorted partitions, so that a seeded fit repeats.
+
+    The number of partitions is part of what must stay the same; by default it is
+    the session's ``spark.sql.shuffle.partitions``, which is sized to the cluster.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, key).sortWithinPartitions(key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach.
 

@@ -55,9 +55,25 @@ def word_runs(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD_CLASS}]{{2,}}"), F.lit(0))
 
 
-def without(tokens: Column, stop_words: Sequence[str]) -> Column:
-    """Drop stop words. A literal list of this length becomes a hash set in the plan."""
-    return F.filter(tokens, lambda t: ~t.isin(list(stop_words)))
+def _quoted(words: Sequence[str]) -> str:
+    escaped = (w.replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    return ", ".join(f"'{w}'" for w in escaped)
+
+
+def one_of(column: str, words: Sequence[str]) -> Column:
+    """Membership in a word list, which the plan turns into a hash set.
+
+    Handed over as one expression: a list of literal columns takes one call into
+    the JVM per word.
+    """
+    return F.expr(f"`{column}` IN ({_quoted(words)})") if words else F.lit(False)
+
+
+def without(tokens: str, stop_words: Sequence[str]) -> Column:
+    """An array column without the stop words."""
+    if not stop_words:
+        return F.col(tokens)
+    return F.expr(f"filter(`{tokens}`, word -> word NOT IN ({_quoted(stop_words)}))")
 
 
 def with_bigrams(tokens: str) -> Column:

@@ -14,6 +14,7 @@ from murmur.functions.scale import broadcast_if_small
 from murmur.specs import OTHER, Calendar, EntityPattern, Period, TopicFilter
 
 ANY_FLAG = "mentions_any"
+FORUM_KEY = "forum_lc"
 
 
 # Time
@@ -110,16 +111,29 @@ def flags_to_int(df: DataFrame, entities: Sequence[EntityPattern]) -> DataFrame:
 
 # Topic
 
+def with_forum_key(df: DataFrame, forum_col: str = "subreddit") -> DataFrame:
+    """Add the lower-cased forum name, for saving with a table that will be filtered by forum again."""
+    return df.withColumn(FORUM_KEY, F.lower(forum_col))
+
+
+def _forum_key(df: DataFrame, forum_col: str) -> Column:
+    return F.col(FORUM_KEY) if FORUM_KEY in df.columns else F.lower(forum_col)
+
+
 def filter_topic(df: DataFrame, topic: TopicFilter, forum_col: str = "subreddit") -> DataFrame:
-    """Keep rows of the topic's forums, comparing names without regard to case."""
-    return df.where(F.lower(forum_col).isin(list(topic.names)))
+    """Keep rows of the topic's forums, comparing names without regard to case.
+
+    On a table saved with its forum key the bare key is compared, which the
+    Parquet reader can use to skip row groups; ``lower()`` it cannot.
+    """
+    return df.where(_forum_key(df, forum_col).isin(list(topic.names)))
 
 
 def filter_topic_by_table(df: DataFrame, forums: DataFrame, forum_col: str = "subreddit",
                           name_col: str = "forum") -> DataFrame:
     """The same filter with the forum names in a table of any size."""
     names = forums.select(F.lower(name_col).alias("_forum")).distinct()
-    return df.join(broadcast_if_small(names), F.lower(df[forum_col]) == F.col("_forum"), "left_semi")
+    return df.join(broadcast_if_small(names), _forum_key(df, forum_col) == F.col("_forum"), "left_semi")
 
 
 def discover_forums(df: DataFrame, keywords: Sequence[str], forum_col: str = "subreddit") -> DataFrame:

@@ -38,7 +38,11 @@ def term_counts(
         text_col,
     )
     in_any = reduce(lambda a, b: a | b, (F.col(flag) > 0 for flag in flags))
-    words = texts.where(in_any).select(*flags, without(word_runs(F.col(text_col)), stop_words).alias("_words"))
+    words = (
+        texts.where(in_any)
+        .select(*flags, word_runs(F.col(text_col)).alias("_runs"))
+        .select(*flags, without("_runs", stop_words).alias("_words"))
+    )
     terms = explode_terms(words.select(*flags, with_bigrams("_words").alias("_terms")), "_terms")
     return terms.groupBy("term").agg(*(F.sum(flag).alias(name) for flag, name in zip(flags, groups)))
 

@@ -16,7 +16,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.functions.scale import stage
+from murmur.functions.scale import stage, steady
 from murmur.operators.features import flags_to_int, threshold_label
 from murmur.operators.reactions import hash_sample
 from murmur.specs import EntityPattern
@@ -136,11 +136,6 @@ def fit_encoding(train: DataFrame, entities: Sequence[EntityPattern]) -> Pipelin
     return Pipeline(stages=encoding_stages(entities)).fit(train)
 
 
-def steady(df: DataFrame, key: str, partitions: int) -> DataFrame:
-    """Rows placed by key in sorted partitions, so that a seeded fit repeats."""
-    return df.repartition(partitions, key).sortWithinPartitions(key)
-
-
 def metric_table(spark: SparkSession, metrics: Mapping[str, float]) -> DataFrame:
     return spark.createDataFrame([(m, float(v)) for m, v in metrics.items()], "metric string, value double")
 
@@ -171,7 +166,7 @@ def fit_engagement_models(
     trees: int = 50,
     depth: int = 6,
     seed: int = 42,
-    partitions: int = 8,
+    partitions: int | None = None,
 ) -> EngagementModels:
     """Fit both random forests on one shared encoding of the training rows.
 
@@ -297,7 +292,7 @@ class ForumClusters:
 
 
 def cluster_forums(profile: DataFrame, entities: Sequence[EntityPattern], k: int = 4, seed: int = 42,
-                   partitions: int = 8) -> ForumClusters:
+                   partitions: int | None = None) -> ForumClusters:
     """Group forums by behaviour with k-means on scaled profiles."""
     forums = stage(profile, "forum-profiles")
     assembler = VectorAssembler(inputCols=profile_features(entities), outputCol="km_features_raw")

@@ -13,14 +13,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.scale import broadcast_if_small
-from murmur.functions.words import SPACE, strip_edge_punctuation
+from murmur.functions.words import SPACE, one_of, strip_edge_punctuation
 from murmur.operators.features import event_label, explode_entities, period_position
 from murmur.specs import Calendar, EntityPattern
 
@@ -151,10 +150,10 @@ def _with_valences(tokens: DataFrame, lexicon: DataFrame, rules: SentimentRules)
     predecessor keys are NULL, which the joins skip.
     """
     lexicon = broadcast_if_small(lexicon.select("token", "valence"))
-    word, following = F.lower("word"), F.lower("next1")
-    is_modifier = word.isin(list(rules.boosters) + list(rules.dampeners)) | (
-        (word == "kind") & F.coalesce(following == "of", F.lit(False)))
-    scored = tokens.withColumn("_key", F.when(~is_modifier, word)).join(
+    tokens = tokens.withColumn("_word", F.lower("word"))
+    is_modifier = one_of("_word", [*rules.boosters, *rules.dampeners]) | (
+        (F.col("_word") == "kind") & F.coalesce(F.lower("next1") == "of", F.lit(False)))
+    scored = tokens.withColumn("_key", F.when(~is_modifier, F.col("_word"))).join(
         lexicon.select(F.col("token").alias("_key"), F.col("valence").alias("_base")), "_key", "left")
     # From here on only hits matter, and the first token, which stands for its text.
     scored = scored.where(F.col("_base").isNotNull() | F.col("at").isNull() | (F.col("at") == 0))
@@ -172,14 +171,13 @@ def _with_valences(tokens: DataFrame, lexicon: DataFrame, rules: SentimentRules)
 def _boost(word: str, raw: str, valence: Column, rules: SentimentRules, damping: float) -> Column:
     """What a degree word before the hit adds, away from zero or towards it."""
     direction = F.when(valence < 0, -1.0).otherwise(1.0)
-    step = F.when(F.col(word).isin(list(rules.boosters)), BOOST).when(
-        F.col(word).isin(list(rules.dampeners)), -BOOST)
+    step = F.when(one_of(word, rules.boosters), BOOST).when(one_of(word, rules.dampeners), -BOOST)
     shout = F.when(_is_caps(F.col(raw)) & F.col("_mixed_case"), F.when(valence > 0, CAPS).otherwise(-CAPS)).otherwise(0.0)
     return F.coalesce((step * direction + shout) * damping, F.lit(0.0))
 
 
 def _is_negation(word: str, rules: SentimentRules) -> Column:
-    return F.col(word).isin(list(rules.negations)) | F.contains(F.col(word), F.lit("n't"))
+    return one_of(word, rules.negations) | F.contains(F.col(word), F.lit("n't"))
 
 
 def _adjust(scored: DataFrame, rules: SentimentRules) -> DataFrame:
@@ -217,10 +215,6 @@ def _idioms(valence: Column, rules: SentimentRules) -> Column:
     def phrase(*parts: str) -> Column:
         return F.concat_ws(" ", *parts)
 
-    def value(of: Column) -> Column:
-        return reduce(lambda rest, item: F.when(of == item[0], F.lit(float(item[1]))).otherwise(rest),
-                      reversed(list(rules.idioms.items())), F.lit(None).cast("double"))
-
     ahead = [phrase("word", "next1", "next2"), phrase("word", "next1")]
     behind = [
         phrase("back1", "word"),
@@ -229,10 +223,12 @@ def _idioms(valence: Column, rules: SentimentRules) -> Column:
         phrase("back3", "back2", "back1"),
         phrase("back3", "back2"),
     ]
-    replaced = F.coalesce(*(value(p) for p in ahead + behind), valence)
-    dampening = list(rules.dampeners) + list(rules.boosters) + DAMPENER_PAIRS
-    softened = phrase("back3", "back2").isin(dampening) | phrase("back2", "back1").isin(dampening)
-    return replaced - F.when(softened, BOOST).otherwise(0.0)
+    if rules.idioms:
+        known = F.create_map(*(F.lit(p) for item in rules.idioms.items() for p in (item[0], float(item[1]))))
+        valence = F.coalesce(*(F.try_element_at(known, p) for p in ahead + behind), valence)
+    pairs = [w for w in (*DAMPENER_PAIRS, *rules.dampeners, *rules.boosters) if " " in w]
+    softened = phrase("back3", "back2").isin(pairs) | phrase("back2", "back1").isin(pairs)
+    return valence - F.when(softened, BOOST).otherwise(0.0)
 
 
 def score_sentiment(

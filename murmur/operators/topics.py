@@ -12,15 +12,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.scale import stage
+from murmur.functions.scale import stage, steady
 from murmur.functions.words import ENGLISH_STOP_WORDS, blank_separated, explode_terms, without
 
 
 def tokenise(df: DataFrame, text_col: str, key: str, keep: Sequence[str] = (),
              stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """Lower-cased tokens of each non-NULL text without stop words: ``key``, kept columns, ``tokens``."""
-    return df.where(F.col(text_col).isNotNull()).select(
-        key, *keep, without(blank_separated(F.col(text_col)), stop_words).alias("tokens"))
+    words = df.where(F.col(text_col).isNotNull()).select(key, *keep, blank_separated(F.col(text_col)).alias("_words"))
+    return words.select(key, *keep, without("_words", stop_words).alias("tokens"))
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -90,14 +90,14 @@ def fit_topics(
     vocab_size: int = 3000,
     min_df: int = 5,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
-    partitions: int = 8,
+    partitions: int | None = None,
 ) -> TopicModel:
     """Fit LDA on all texts.
 
     The result repeats for the same ``partitions``: the vocabulary has a total
     order and every partition holds the same texts in the same order. The
     optimiser works on small random batches, so its cost per iteration follows
-    the batch, not the corpus. Raise ``partitions`` with the size of the corpus.
+    the batch, not the corpus.
     """
     tokens = tokenise(df, text_col, key, keep, stop_words)
     # At most vocab_size terms come to the driver, as in any CountVectorizer fit.
@@ -106,7 +106,7 @@ def fit_topics(
         raise ValueError(f"no term occurs in {min_df} texts")
     counter = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="features")
     texts = stage(counter.transform(tokens).drop("tokens"), "lda-texts")
-    ordered = texts.repartition(partitions, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = steady(texts, key, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features",
                     topicDistributionCol="topic_dist").fit(ordered)

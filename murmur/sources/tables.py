@@ -60,16 +60,31 @@ def only_partitions(
     return df
 
 
-def load_posts(spark: SparkSession, path: str, years=None, months=None, periods=None) -> DataFrame:
-    """Posts under ``path``, limited to the partitions asked for."""
-    posts = require_schema(spark.read.parquet(path), POSTS_SCHEMA)
-    return only_partitions(posts, years, months, periods)
+def conform(df: DataFrame, schema: T.StructType, columns: Mapping[str, str | Column] | None = None) -> DataFrame:
+    """Bring a raw table to a canonical schema.
+
+    ``columns`` says where a canonical column comes from if not from the column
+    of the same name, as in ``{"author_id": F.xxhash64("author")}``. Other
+    columns are left out; values that do not fit the type become NULL.
+    """
+    sources = {name: F.col(c) if isinstance(c, str) else c for name, c in (columns or {}).items()}
+    return df.select(*(
+        sources.get(f.name, F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def _load(spark, path, schema, years, months, periods, columns) -> DataFrame:
+    table = only_partitions(spark.read.parquet(path), years, months, periods)
+    return require_schema(table if columns is None else conform(table, schema, columns), schema)
+
+
+def load_posts(spark: SparkSession, path: str, years=None, months=None, periods=None, columns=None) -> DataFrame:
+    """Posts under ``path``, limited to the partitions asked for; ``columns`` as in ``conform``."""
+    return _load(spark, path, POSTS_SCHEMA, years, months, periods, columns)
 
 
-def load_comments(spark: SparkSession, path: str, years=None, months=None, periods=None) -> DataFrame:
-    """Comments under ``path``, limited to the partitions asked for."""
-    comments = require_schema(spark.read.parquet(path), COMMENTS_SCHEMA)
-    return only_partitions(comments, years, months, periods)
+def load_comments(spark: SparkSession, path: str, years=None, months=None, periods=None, columns=None) -> DataFrame:
+    """Comments under ``path``, limited to the partitions asked for; ``columns`` as in ``conform``."""
+    return _load(spark, path, COMMENTS_SCHEMA, years, months, periods, columns)
 
 
 def save_partitioned(

@@ -98,6 +98,26 @@ def test_saved_table_prunes_partitions_and_pushes_the_window(spark):
     assert loaded.count() == 47 + 25
 
 
+def test_saved_forum_key_is_pushed_to_the_reader(spark):
+    posts = features.with_forum_key(fixtures.posts(spark, SF))
+    path = tables.save_partitioned(posts, scratch_path(spark, "keyed"))
+    topical = features.filter_topic(tables.load_posts(spark, path), fixtures.TOPIC)
+    assert re.search(r"PushedFilters: \[[^\]]*In\(forum_lc", plan(topical))
+    assert topical.count() == features.filter_topic(fixtures.posts(spark, SF), fixtures.TOPIC).count() == 100
+
+
+def test_a_raw_dump_conforms(spark):
+    path = scratch_path(spark, "raw")
+    raw = spark.createDataFrame(
+        [("z1", "RCB", "hello", 5, 2, "someone", 1704240000, 2024, 1), ("10", "RCB", None, 5, 2, "x", 1704240000, 2024, 2)],
+        "id string, subreddit string, title string, score int, num_comments int, author string, created_utc int, yyyy int, mm int")
+    tables.save_partitioned(raw, path)
+    posts = tables.load_posts(spark, path, months=[1], columns={
+        "post_id": F.conv("id", 36, 10), "author_id": F.xxhash64("author")})
+    assert posts.schema.simpleString() == POSTS_SCHEMA.simpleString()
+    assert [(r.post_id, r.title, r.score) for r in posts.collect()] == [(35 * 36 + 1, "hello", 5)]
+
+
 def test_loading_another_schema_fails(spark):
     path = scratch_path(spark, "wrong")
     spark.range(3).write.parquet(path)
@@ -272,6 +292,17 @@ def test_sentiment_tokens_are_combined_before_the_shuffle(spark):
     assert text.count("BroadcastHashJoin [_") == 4
 
 
+def test_filters_reach_the_texts_before_they_are_split(spark):
+    text = plan(sentiment.sentiment_by_entity(scored_posts(spark, SF), ENTITIES))
+    below = text[text.index("Generate explode(_near"):]
+    assert re.search(r"Filter \(.*Contains\(lower\(text", below)
+
+
+def test_top_forums_are_limited_before_the_shuffle(spark):
+    text = plan(reactions.top_forums_by_entity(tagged_posts(spark, SF), ENTITIES))
+    assert re.search(r"WindowGroupLimit .*Partial", text)
+
+
 def test_top_k_needs_no_full_sort(spark):
     text = plan(reactions.top_posts(tagged_posts(spark, SF), "a_after"))
     assert "TakeOrderedAndProject" in text
