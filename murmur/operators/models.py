@@ -160,9 +160,10 @@ class EngagementModels:
 
 
 def fit_engagement_models(
-    labelled: DataFrame,
+    features: DataFrame,
     entities: Sequence[EntityPattern],
     key: str = "post_id",
+    probability: float = 0.75,
     trees: int = 50,
     depth: int = 6,
     seed: int = 42,
@@ -170,11 +171,12 @@ def fit_engagement_models(
 ) -> EngagementModels:
     """Fit both random forests on one shared encoding of the training rows.
 
-    The narrow labelled table is staged once; encoding, both fits and every
-    evaluation read it instead of the texts. The forum index is as long as the
-    topic's list of forums, so filter to a topic first.
+    The narrow feature table is staged once, so the texts are scanned a single
+    time: the label's quantile, the encoding, both fits and every evaluation read
+    the staged rows. The forum index is as long as the topic's list of forums, so
+    filter to a topic first.
     """
-    rows = stage(labelled, "engagement-rows")
+    rows = with_engagement_label(stage(features, "engagement-rows"), probability)
     train, test = split(rows, key)
     encoding = fit_encoding(train, entities)
     encoded = encoding.transform(steady(train, key, partitions)).persist(StorageLevel.MEMORY_AND_DISK)

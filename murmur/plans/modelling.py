@@ -48,7 +48,7 @@ def _models(spark: SparkSession, sf_dir: str) -> models.EngagementModels:
     """One fit per session and data set, shared by the queries that read the models."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _engagement:
-        _engagement[at] = models.fit_engagement_models(_labelled(spark, sf_dir), ENTITIES)
+        _engagement[at] = models.fit_engagement_models(_features(spark, sf_dir), ENTITIES)
     return _engagement[at]
 
 

@@ -241,8 +241,7 @@ def test_planted_forum_signal_is_found(spark):
     tagged = spark.createDataFrame(data, "post_id long, hour_of_day int, day_of_week int, month_num int, mentions_alpha boolean,"
                                    "mentions_beta boolean, mentions_gamma boolean, subreddit string, event_period string,"
                                    "score long, num_comments long")
-    labelled = models.with_engagement_label(models.feature_table(tagged, ENTITIES))
-    fitted = models.fit_engagement_models(labelled, ENTITIES, trees=20, partitions=4)
+    fitted = models.fit_engagement_models(models.feature_table(tagged, ENTITIES), ENTITIES, trees=20, partitions=4)
     metrics = {r.metric: r.value for r in models.classification_metrics(fitted.classified()).collect()}
     assert metrics["AUC-ROC"] > 0.9
     errors = {r.metric: r.value for r in models.regression_metrics(fitted.regressed()).collect()}
