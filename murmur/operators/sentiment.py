@@ -121,13 +121,13 @@ def _token_rows(df: DataFrame, text_col: str, rules: SentimentRules, keep: Seque
     neighbours = F.transform(
         "_tokens",
         lambda t, i: F.struct(
-            i.alias("at"),
-            t.alias("word"),
-            F.get("_tokens", i - 1).alias("back1"),
-            F.get("_tokens", i - 2).alias("back2"),
-            F.get("_tokens", i - 3).alias("back3"),
-            F.get("_tokens", i + 1).alias("next1"),
-            F.get("_tokens", i + 2).alias("next2"),
+            i.alias("_at"),
+            t.alias("_hit"),
+            F.get("_tokens", i - 1).alias("_b1"),
+            F.get("_tokens", i - 2).alias("_b2"),
+            F.get("_tokens", i - 3).alias("_b3"),
+            F.get("_tokens", i + 1).alias("_n1"),
+            F.get("_tokens", i + 2).alias("_n2"),
         ),
     )
     # All per-text facts are settled before the explode: a sibling of explode is
@@ -150,15 +150,15 @@ def _with_valences(tokens: DataFrame, lexicon: DataFrame, rules: SentimentRules)
     predecessor keys are NULL, which the joins skip.
     """
     lexicon = broadcast_if_small(lexicon.select("token", "valence"))
-    tokens = tokens.withColumn("_word", F.lower("word"))
+    tokens = tokens.withColumn("_word", F.lower("_hit"))
     is_modifier = one_of("_word", [*rules.boosters, *rules.dampeners]) | (
-        (F.col("_word") == "kind") & F.coalesce(F.lower("next1") == "of", F.lit(False)))
+        (F.col("_word") == "kind") & F.coalesce(F.lower("_n1") == "of", F.lit(False)))
     scored = tokens.withColumn("_key", F.when(~is_modifier, F.col("_word"))).join(
         lexicon.select(F.col("token").alias("_key"), F.col("valence").alias("_base")), "_key", "left")
     # From here on only hits matter, and the first token, which stands for its text.
-    scored = scored.where(F.col("_base").isNotNull() | F.col("at").isNull() | (F.col("at") == 0))
-    for back in ("back1", "back2", "back3"):
-        key = f"_{back}"
+    scored = scored.where(F.col("_base").isNotNull() | F.col("_at").isNull() | (F.col("_at") == 0))
+    for distance in (1, 2, 3):
+        key, back = f"_back{distance}", f"_b{distance}"
         scored = (
             scored.withColumn(key, F.when(F.col("_base").isNotNull(), F.lower(back)))
             .join(lexicon.select(F.col("token").alias(key), F.lit(True).alias(f"{key}_listed")), key, "left")
@@ -184,16 +184,16 @@ def _adjust(scored: DataFrame, rules: SentimentRules) -> DataFrame:
     """Apply the rules in order. Each step is its own projection so that no expression is repeated."""
     v = F.col("_v")
     base = F.col("_base")
-    emphatic = _is_caps(F.col("word")) & F.col("_mixed_case")
+    emphatic = _is_caps(F.col("_hit")) & F.col("_mixed_case")
     scored = scored.withColumn("_v", base + F.when(emphatic, F.when(base > 0, CAPS).otherwise(-CAPS)).otherwise(0.0))
 
-    so = {b: F.coalesce(F.col(b).isin("so", "this"), F.lit(False)) for b in ("back1", "back2")}
+    so = {b: F.coalesce(F.col(b).isin("so", "this"), F.lit(False)) for b in ("_b1", "_b2")}
     never_so = {
-        2: F.coalesce(F.col("back2") == "never", F.lit(False)) & so["back1"],
-        3: (F.coalesce(F.col("back3") == "never", F.lit(False)) & so["back2"]) | so["back1"],
+        2: F.coalesce(F.col("_b2") == "never", F.lit(False)) & so["_b1"],
+        3: (F.coalesce(F.col("_b3") == "never", F.lit(False)) & so["_b2"]) | so["_b1"],
     }
     for distance in (1, 2, 3):
-        word, raw = f"_back{distance}", f"back{distance}"
+        word, raw = f"_back{distance}", f"_b{distance}"
         present = F.col(word).isNotNull()
         scored = scored.withColumn("_v", v + _boost(word, raw, v, rules, DAMPING[distance - 1]))
         flipped = F.when(present & _is_negation(word, rules), v * NEGATION).otherwise(v)
@@ -203,10 +203,10 @@ def _adjust(scored: DataFrame, rules: SentimentRules) -> DataFrame:
     scored = scored.withColumn("_v", F.when(F.col("_back3").isNotNull(), _idioms(v, rules)).otherwise(v))
 
     lone_least = (F.col("_back1") == "least") & (
-        F.col("back2").isNull() | ~F.lower("back2").isin("at", "very"))
+        F.col("_b2").isNull() | ~F.lower("_b2").isin("at", "very"))
     scored = scored.withColumn("_v", F.when(lone_least, v * NEGATION).otherwise(v))
-    weight = F.when(F.col("at") < F.col("_contrast"), BEFORE_CONTRAST).when(
-        F.col("at") > F.col("_contrast"), AFTER_CONTRAST).otherwise(1.0)
+    weight = F.when(F.col("_at") < F.col("_contrast"), BEFORE_CONTRAST).when(
+        F.col("_at") > F.col("_contrast"), AFTER_CONTRAST).otherwise(1.0)
     return scored.withColumn("_v", v * F.when(F.col("_contrast") >= 0, weight).otherwise(1.0))
 
 
@@ -215,19 +215,19 @@ def _idioms(valence: Column, rules: SentimentRules) -> Column:
     def phrase(*parts: str) -> Column:
         return F.concat_ws(" ", *parts)
 
-    ahead = [phrase("word", "next1", "next2"), phrase("word", "next1")]
+    ahead = [phrase("_hit", "_n1", "_n2"), phrase("_hit", "_n1")]
     behind = [
-        phrase("back1", "word"),
-        phrase("back2", "back1", "word"),
-        phrase("back2", "back1"),
-        phrase("back3", "back2", "back1"),
-        phrase("back3", "back2"),
+        phrase("_b1", "_hit"),
+        phrase("_b2", "_b1", "_hit"),
+        phrase("_b2", "_b1"),
+        phrase("_b3", "_b2", "_b1"),
+        phrase("_b3", "_b2"),
     ]
     if rules.idioms:
         known = F.create_map(*(F.lit(p) for item in rules.idioms.items() for p in (item[0], float(item[1]))))
         valence = F.coalesce(*(F.try_element_at(known, p) for p in ahead + behind), valence)
     pairs = [w for w in (*DAMPENER_PAIRS, *rules.dampeners, *rules.boosters) if " " in w]
-    softened = phrase("back3", "back2").isin(pairs) | phrase("back2", "back1").isin(pairs)
+    softened = phrase("_b3", "_b2").isin(pairs) | phrase("_b2", "_b1").isin(pairs)
     return valence - F.when(softened, BOOST).otherwise(0.0)
 
 
@@ -241,7 +241,7 @@ def score_sentiment(
 ) -> DataFrame:
     """Compound sentiment in [-1, 1] per text: ``key``, the ``keep`` columns and ``sentiment``.
 
-    ``key`` must identify the text. Texts that are NULL, empty or without a
+    ``key`` must identify the text, and ``lexicon`` holds one row per token. Texts that are NULL, empty or without a
     lexicon word score 0.0 and stay in the result.
     """
     rules = rules or SentimentRules()

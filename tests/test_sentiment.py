@@ -170,3 +170,9 @@ def test_a_lexicon_too_large_to_broadcast_gives_the_same_scores(spark, lexicon,
     usual = scores(spark, lexicon, texts)
     monkeypatch.setattr(S, "broadcast_if_small", lambda df: df.hint("merge"))
     assert scores(spark, lexicon, texts) == usual
+
+
+def test_kept_columns_may_have_any_name(spark, lexicon):
+    df = spark.createDataFrame([(1, "not good", "w", 7)], "post_id long, title string, word string, at int")
+    row = S.score_sentiment(df, "title", lexicon, keep=["word", "at"]).first()
+    assert (row.word, row.at, row.sentiment) == ("w", 7, compound(1.9 * N))
