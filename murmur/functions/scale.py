@@ -34,13 +34,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes:
     return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on a source that arrives in fewer pieces than there are cores.
 
-    A table of many files is returned as it is, without a shuffle.
+    ``keys`` identify a row, so that no hot value gathers in one task. A table of
+    many files is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def steady(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:

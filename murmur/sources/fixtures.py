@@ -95,7 +95,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = turns.agg((TURNS * (F.max("conv_id") + 1)).alias("n"))
     ratio = events.agg(F.floor(F.count("*") / slots.scalar()))
     position = F.col("conv_id") * TURNS + F.col("turn")
-    rows = spread(turns, "conv_id").select(
+    rows = spread(turns, "conv_id", "turn").select(
         _event_key(position, ratio).alias("event_id"),
         position.alias("comment_id"),
         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("subreddit"),
