@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import quality, sharding, urls
+from murmur.functions.scale import scratch_path
+from murmur.llm import bpe, neardup, quality, sharding, tokenfiles, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,3 +137,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), sharding.topology(SHARDS), grown=sharding.topology(SHARDS + 1))
     return assigned.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+OP4_SETTINGS = neardup.Settings(width=3, percent=85)
+
+
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), OP4_SETTINGS)
+
+
+TOKENIZER_FILE = "word_bpe_49k.json"
+END_ID = 2
+
+
+def tokenizer_text(path: str | None = None) -> str:
+    """A tokenizer file's text; its place is a parameter, by default that of the public file."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER_FILE)
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+@query("op5_bpe_round_trip")
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, vocabulary = table(spark, sf_dir, "documents"), tokenizer_text()
+    encoded = bpe.encode(documents, vocabulary, bpe.build_lexicon(documents, vocabulary), decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, tokenizer_text(), END_ID)
+    return tokenfiles.read(spark, path, with_ids=False)

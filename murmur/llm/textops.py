@@ -6,8 +6,11 @@ and carriage return: ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +168,30 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[str], added: T.Struct
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     source = df.select(*(df[c] for c in keep), df[text_col].alias("__text"))
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application: their Python need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parents[1]
+    file = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(file, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(file))
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: T.StructType | str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

@@ -175,4 +175,4 @@ def judge(df: DataFrame, site_rules: Sequence[SiteRule], glob_rules: Sequence[Gl
                     [rows.column(i) for i in range(len(keep))] + [pa.array(a, pa.string()) for a in added],
                     names=schema.names)
 
-    return df.select(*(df[c] for c in keep), df[url_col].alias("__url")).mapInArrow(run, schema)
+    return textops.map_arrow(df.select(*(df[c] for c in keep), df[url_col].alias("__url")), run, schema)
