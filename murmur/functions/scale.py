@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,31 +54,39 @@ def steady(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else the session's warehouse.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as on a single machine under test, a fresh local folder is used.
+    Both are the cluster's to name, and both are shared by its executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if spark.conf.get("spark.murmur.scratch", None) is None:
-        spark.conf.set("spark.murmur.scratch", tempfile.mkdtemp(prefix="murmur-"))
-    return spark.conf.get("spark.murmur.scratch")
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/murmur-staged").rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+_staged: dict[str, list[str]] = {}
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a frame to the shared folder and read it back.
+def scratch_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path in the shared folder, or in ``folder``, that ``remove_staged`` will clear."""
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str = "stage", folder: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder, or to ``folder``, and read it back.
 
     Cuts the lineage before an iterative fit: a lost executor re-reads files
     instead of recomputing the regexes and joins that led here.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, folder)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete what this application staged; frames that read it can't be used after. Returns the number of paths."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    return len(paths)
