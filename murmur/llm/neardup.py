@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.functions.scale import stage
+from murmur.functions.scale import broadcast_if_small, stage
 from murmur.llm import textops
 from murmur.llm.components import components
 
@@ -39,8 +39,8 @@ class Settings:
     width: int = 5
     percent: int = 80
     k: int = 64
-    short_list: int = 24
-    leaders: int = 2
+    short_list: int = 4
+    leaders: int = 1
     deviations: float = 6.0
 
     @property
@@ -87,7 +87,7 @@ def sketches(df: DataFrame, settings: Settings, key_col: str = "doc_id", text_co
 
 
 def _prefix(values: DataFrame, share: float) -> DataFrame:
-    """Each document in the lists of its rarest values: ``value``, ``doc``, ``size`` of the list, ``alone``.
+    """Each document in the lists of its rarest values: ``value``, ``doc``, ``size`` of the list, ``alone``, ``kept``, ``place``.
 
     ``values`` has ``doc``, ``value`` and ``kept`` (the document's number of values). Two documents
     that share the part ``share`` of their values have a list in common. Values that no
@@ -96,9 +96,11 @@ def _prefix(values: DataFrame, share: float) -> DataFrame:
     sizes = values.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     alone = F.col("kept") - F.count("*").over(W.partitionBy("doc"))
     place = F.row_number().over(W.partitionBy("doc").orderBy("size", "value"))
-    ranked = values.join(sizes, "value").select("value", "doc", "kept", "size", alone.alias("alone"), place.alias("place"))
-    return ranked.where(F.col("place") + F.col("alone") <= F.col("kept") - F.ceil(F.col("kept") * share) + 1).select(
-        "value", "doc", "size", "alone")
+    ranked = values.join(sizes, "value").select(
+        "value", "doc", "kept", "size", alone.alias("alone"), place.alias("shared_place"))
+    return ranked.withColumn("place", F.col("shared_place") + F.col("alone")).where(
+        F.col("place") <= F.col("kept") - F.ceil(F.col("kept") * share) + 1).select(
+        "value", "doc", "size", "alone", "kept", "place")
 
 
 def _leaders(lists: DataFrame, settings: Settings) -> DataFrame:
@@ -163,7 +165,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
 
 def _sets(named: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """Whole shingle sets of the wanted documents, as sorted unsigned 64-bit values."""
-    texts = named.select(F.col("key").alias("doc"), "text").join(wanted, "doc", "left_semi")
+    texts = named.select(F.col("key").alias("doc"), "text").join(broadcast_if_small(wanted), "doc", "left_semi")
     work = lambda ts: [[s.tobytes() for s in shingle_sets(ts, settings.width)]]
     return textops.map_texts(texts, "text", ["doc"], T.StructType([T.StructField("items", T.BinaryType())]), lambda: work)
 
@@ -185,7 +187,7 @@ def links(df: DataFrame, settings: Settings, key_col: str = "doc_id", text_col:
     lists = stage(_prefix(retained, settings.overlap / settings.k), "lists")
     led = stage(_leaders(lists, settings), "leaders")
     pairs = stage(_estimated(_candidates(lists, led, settings), classes, settings), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(led.select("doc")).distinct()
+    wanted = stage(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(led.select("doc")).distinct(), "wanted")
     sets = stage(_sets(named, wanted, settings).dropDuplicates(["doc"]), "sets")
     found = stage(_verified(pairs, sets, settings), "links")
     rows = measured.select("key", "n_shingles", "set_id").join(first, "set_id", "left").select(
@@ -212,12 +214,16 @@ def _rest(led: DataFrame, found: DataFrame, sets: DataFrame, settings: Settings)
                     "members")
     if members.where("open").isEmpty():
         return None
-    values = _values(sets.join(members, "doc", "left_semi"))
+    values = _values(sets.join(broadcast_if_small(members.select("doc")), "doc", "left_semi"))
     lists = stage(_prefix(values, settings.percent / 100).join(members, "doc"), "whole_lists")
-    mine = lists.where("open").select("value", F.col("doc").alias("x"), F.col("at").alias("x_at"))
-    others = lists.select("value", F.col("doc").alias("y"), F.col("at").alias("y_at"))
-    pairs = mine.join(others, "value").where("x_at <> y_at").select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("doc", "at", "kept", "place")]
+    mine = lists.where("open").select("value", *side("x"))
+    others = lists.select("value", *side("y"))
+    # of two sets, the first value they share leaves this many that can be shared; fewer can't make a link
+    most = 1 + F.least(F.col("x_kept") - F.col("x_place"), F.col("y_kept") - F.col("y_place"))
+    enough = (100 + settings.percent) * most >= settings.percent * (F.col("x_kept") + F.col("y_kept"))
+    pairs = mine.join(others, "value").where((F.col("x_at") != F.col("y_at")) & enough).select(
+        F.greatest("x_doc", "y_doc").alias("a"), F.least("x_doc", "y_doc").alias("b")).distinct()
     return stage(_verified(pairs, sets, settings), "rest")
 
 
