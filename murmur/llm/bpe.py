@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -28,8 +30,12 @@ from murmur.llm import textops
 
 LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 48
-CACHED_CHUNKS = 500_000
-_COUNTED_AT_ONCE = 200_000
+CACHED_CHUNKS = 1_200_000
+CACHED_WORDS = 400_000
+_COUNTED_AT_ONCE = 500_000
+_ID_BITS = 24
+_ID_MASK = (1 << _ID_BITS) - 1
+_NO_MERGE = 1 << 62
 
 # What separates pieces, and the pieces themselves, as the tokenizer file has them.
 _WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -61,19 +67,34 @@ class Vocabulary:
         self.inner = [ids[s] for s in symbols]
         self.last = [ids[s + end] for s in symbols]
         self.size = size
-        self.merges = {ids[a] * size + ids[b]: (rank, ids[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        # a pair's rank above its merged id, so that the least number is the merge to make
+        self.merges = {ids[a] * size + ids[b]: rank << _ID_BITS | ids[a + b] for rank, (a, b) in enumerate(model["merges"])}
+        self.mark = os.path.commonprefix(list(self.special))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
                                    ) if self.special else None
 
-    def pieces(self, chunk: str) -> Iterator[str | int]:
+    def pieces(self, chunk: str) -> list[str | int]:
         """Words of a text without spaces, normalised, and ids of special tokens in it."""
-        parts = self.split.split(chunk) if self.split else [chunk]
-        for i, part in enumerate(parts):
+        if not self.special or self.mark not in chunk:
+            return self._words(chunk)
+        out: list[str | int] = []
+        for i, part in enumerate(self.split.split(chunk)):
             if i % 2:
-                yield self.special[part]
+                out.append(self.special[part])
             elif part:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                yield from _PIECE.findall(part)
+                out += self._words(part)
+        return out
+
+    @staticmethod
+    def _words(part: str) -> list[str]:
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        part = part.lower()
+        if part.isalpha():  # letters alone, or before one mark, are most of any text
+            return [part]
+        if part[-1] in ",." and part[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return _PIECE.findall(part)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word: the pair of lowest rank, of those the leftmost, merges first."""
@@ -82,29 +103,28 @@ class Vocabulary:
         if len(ids) > LONGEST_WORD:
             return self._merge_long(ids)
         find, size = self.merges.get, self.size
-        none = (1 << 60, 0)
-        pairs = [find(a * size + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        pairs = [find(a * size + b, _NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs:
             best = min(pairs)
-            if best is none or best[0] == none[0]:
+            if best == _NO_MERGE:
                 break
             at = pairs.index(best)
-            ids[at:at + 2] = [best[1]]
+            ids[at:at + 2] = [best & _ID_MASK]
             del pairs[at]
             if at:
-                pairs[at - 1] = find(ids[at - 1] * size + ids[at], none)
+                pairs[at - 1] = find(ids[at - 1] * size + ids[at], _NO_MERGE)
             if at < len(pairs):
-                pairs[at] = find(ids[at] * size + ids[at + 1], none)
+                pairs[at] = find(ids[at] * size + ids[at + 1], _NO_MERGE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         find, size, n = self.merges.get, self.size, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(*m, i, i + 1, ids[i], ids[i + 1]) for i in range(n - 1) if (m := find(ids[i] * size + ids[i + 1]))]
-        queue = [(rank, i, new, a, b) for rank, new, i, _, a, b in queue]
+        queue = [(m >> _ID_BITS, i, m & _ID_MASK, ids[i], ids[i + 1]) for i in range(n - 1)
+                 if (m := find(ids[i] * size + ids[i + 1], -1)) >= 0]
         heapq.heapify(queue)
         while queue:
-            rank, i, new, a, b = heapq.heappop(queue)
+            _, i, new, a, b = heapq.heappop(queue)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
@@ -113,8 +133,8 @@ class Vocabulary:
             if after[i] < n:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] < n and (m := find(ids[left] * size + ids[after[left]])):
-                    heapq.heappush(queue, (m[0], left, m[1], ids[left], ids[after[left]]))
+                if left >= 0 and after[left] < n and (m := find(ids[left] * size + ids[after[left]], -1)) >= 0:
+                    heapq.heappush(queue, (m >> _ID_BITS, left, m & _ID_MASK, ids[left], ids[after[left]]))
         return [i for i in ids if i >= 0]
 
     def decode(self, ids: Sequence[int]) -> bytes:
@@ -234,7 +254,7 @@ class ChunkCache:
     """Ids of texts between ASCII spaces, which are encoded alone: no word spans a space.
 
     ``resolve`` encodes chunks not seen before. The cache is emptied when full, so a
-    worker's memory is bounded whatever the texts.
+    worker's memory is bounded whatever the number of texts.
     """
 
     def __init__(self, resolve: Callable[[list[bytes]], list[bytes]], limit: int = CACHED_CHUNKS):
@@ -243,12 +263,11 @@ class ChunkCache:
     def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
         """Little-endian ids of each text; NULL is empty."""
         split = [(t or b"").split() for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > self.limit:
+        if len(self.known) > self.limit:
             self.known = {}
-            new = list(set().union(*split))
-        self.known.update(zip(new, self.resolve(new), strict=True))
         known = self.known
+        new = list(set().union(*split) - known.keys())
+        known.update(zip(new, self.resolve(new), strict=True))
         return [b"".join([known[c] for c in chunks]) for chunks in split]
 
 
@@ -257,17 +276,24 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.known: dict[str | int, bytes] = {}
 
     def chunks(self, chunks: list[bytes]) -> list[bytes]:
-        split = [list(self.vocabulary.pieces(c.decode("utf-8", "replace"))) for c in chunks]
-        words = sorted({p for parts in split for p in parts if isinstance(p, str)})
+        pieces = self.vocabulary.pieces
+        split = [pieces(c.decode("utf-8", "replace")) for c in chunks]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
+        self._learn(list(set().union(*split) - self.known.keys()))
+        known = self.known
+        return [known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts]) for parts in split]
+
+    def _learn(self, words: list[str | int]) -> None:
+        known, merge, outputs = self.known, self.vocabulary.merge, self.lexicon.outputs
+        known.update((w, array("I", [w]).tobytes()) for w in words if isinstance(w, int))
+        words = [w for w in words if isinstance(w, str)]
         raw = [w.encode() for w in words]
-        found: dict[str | int, bytes] = {i: np.uint32(i).tobytes() for i in self.vocabulary.special.values()}
-        merge = self.vocabulary.merge
         for word, text, number in zip(words, raw, self.lexicon.numbers(raw).tolist(), strict=True):
-            ids = self.lexicon.outputs(number) if number >= 0 else np.array(merge(text), np.uint32)
-            found[word] = ids.tobytes()
-        return [b"".join([found[p] for p in parts]) for parts in split]
+            known[word] = outputs(number).tobytes() if number >= 0 else array("I", merge(text)).tobytes()
 
 
 def count_words(df: DataFrame, vocabulary_text: str, text_col: str = "text") -> DataFrame:
