@@ -182,23 +182,23 @@ with w as (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
   from documents),
 sizes as (select doc_id, len(words)::bigint as n_words, sum(len(words)) over () as total from w),
-at as (select doc_id, i, words[i] as word, case when i > 1 then words[i - 1] end as prior
+placed as (select doc_id, i, words[i] as word, case when i > 1 then words[i - 1] end as prior
        from (select doc_id, words, unnest(range(1, len(words) + 1)) as i from w)),
-u as (select word, count(*) as n from at group by word),
-ud as (select doc_id, word, count(*) as n from at group by doc_id, word),
-b as (select prior, word, count(*) as n from at where prior is not null group by prior, word),
-bd as (select doc_id, prior, word, count(*) as n from at where prior is not null group by doc_id, prior, word),
+u as (select word, count(*) as n from placed group by word),
+ud as (select doc_id, word, count(*) as n from placed group by doc_id, word),
+b as (select prior, word, count(*) as n from placed where prior is not null group by prior, word),
+bd as (select doc_id, prior, word, count(*) as n from placed where prior is not null group by doc_id, prior, word),
 own as (select ud.doc_id, ud.word, u.n - ud.n as n from ud join u using (word)),
 pairs as (select bd.doc_id, bd.prior, bd.word, b.n - bd.n as n from bd join b using (prior, word)),
 steps as (
-  select at.doc_id, coalesce(pairs.n, 0) > 0 as seen, at.prior is not null and coalesce(pairs.n, 0) = 0 as stepped,
+  select placed.doc_id, coalesce(pairs.n, 0) > 0 as seen, placed.prior is not null and coalesce(pairs.n, 0) = 0 as stepped,
     case when coalesce(pairs.n, 0) > 0 then ln(pairs.n / context.n)
          else ln(greatest(own.n, 0.5) / greatest(sizes.total - sizes.n_words, 1))
-              + case when at.prior is null then 0 else ln(0.4) end end as part
-  from at join sizes using (doc_id) join own using (doc_id, word)
-  left join pairs on pairs.doc_id = at.doc_id and pairs.prior = at.prior and pairs.word = at.word
-  left join own context on context.doc_id = at.doc_id and context.word = at.prior)
-select s.doc_id, s.n_words, count(*) filter (where stepped) as n_backoffs, round(coalesce(sum(part), 0.0), 4) as log_score,
+              + case when placed.prior is null then 0 else ln(0.4) end end as part
+  from placed join sizes using (doc_id) join own using (doc_id, word)
+  left join pairs on pairs.doc_id = placed.doc_id and pairs.prior = placed.prior and pairs.word = placed.word
+  left join own context on context.doc_id = placed.doc_id and context.word = placed.prior)
+select s.doc_id, s.n_words, count(*) filter (where stepped) as n_backoffs, round(coalesce(sum(part), 0.0::double), 4) as log_score,
        case when s.n_words > 0 then round(sum(part) / s.n_words, 6) end as score
 from sizes s left join steps using (doc_id) group by s.doc_id, s.n_words
 """

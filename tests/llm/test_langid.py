@@ -52,7 +52,7 @@ def test_models_of_nothing_and_of_one(spark):
         langid.fit(df, settings=langid.Settings(languages=0))
 
 
-def test_equal_sizes_go_to_the_first_name(spark):
+def test_equal_sizes_go_to_the_more_frequent(spark):
     model = langid.Model({"b": b"the same text", "a": b"the same text"}, langid.Settings())
     row = langid.predict(spark.createDataFrame([(1, "the same text")], "doc_id long, text string"), model).first()
-    assert (row["lang_pred"], row["score"], row["accepted"]) == ("a", 0.0, False)
+    assert (row["lang_pred"], row["score"], row["accepted"]) == ("b", 0.0, False)
