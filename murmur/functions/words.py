@@ -34,15 +34,27 @@ ENGLISH_STOP_WORDS = (
 ).split()
 
 
-def strip_edge_punctuation(text: Column) -> Column:
-    """Strip one punctuation run from one end of each word of two or more letters.
+def bare_words(text: Column) -> Column:
+    """Words of two or more characters, with one punctuation run stripped from one end.
 
-    Words that keep punctuation elsewhere ("don't!", emoticons) stay as they are.
+    Only a core of two or more letters is stripped; words that keep punctuation elsewhere ("don't!",
+    emoticons) stay as they are. The pattern runs on words that have punctuation at an end, few of any text.
     """
     core = rf"[^\s\x0B\p{{Z}}{PUNCTUATION}]{{2,}}"
-    edge = r"[\s\x0B\p{Z}]"
-    pattern = rf"(?<![^\s\x0B\p{{Z}}])(?:(?:{EDGE_RUNS})({core})|({core})(?:{EDGE_RUNS}))(?={edge}|\z)"
-    return F.regexp_replace(text, F.lit(pattern), F.lit("$1$2"))
+    pattern = rf"\A(?:(?:{EDGE_RUNS})({core})|({core})(?:{EDGE_RUNS}))\z"
+    marks = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+    def bare(word: Column) -> Column:
+        marked = F.substring(word, 1, 1).isin(marks) | F.substring(word, -1, 1).isin(marks)
+        return F.when(marked, F.regexp_replace(word, F.lit(pattern), F.lit("$1$2"))).otherwise(word)
+
+    return F.transform(F.filter(F.split(text, f"{SPACE}+"), lambda t: F.length(t) > 1), bare)
+
+
+def positions_of(words: str, wanted: Sequence[str] | None) -> Column:
+    """Positions in an array column that hold one of the wanted words, or all positions."""
+    known = "true" if wanted is None else f"get(`{words}`, i) IN ({_quoted(wanted)})" if wanted else "false"
+    return F.expr(f"filter(sequence(0, size(`{words}`) - 1), i -> i >= 0 AND i < size(`{words}`) AND {known})")
 
 
 def blank_separated(text: Column) -> Column:

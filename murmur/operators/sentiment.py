@@ -1,11 +1,10 @@
 """Sentiment of short texts, following the published VADER rules
 (Hutto & Gilbert, ICWSM 2014), as DataFrame expressions.
 
-Each text becomes one row per token, every token carrying the five neighbours
-the rules look at. Joining the lexicon then decides which tokens carry a
-valence, the rules adjust it, and one sum per text gives the score. The sum is
-combined before it is shuffled, so a single small row per text crosses the
-network however long the text is.
+Each text becomes one row per lexicon word in it, with the five neighbours the
+rules look at. Joining the lexicon gives the word's valence, the rules adjust it,
+and one sum per row of the input gives the score. The sum is combined before it is
+shuffled, so a single small row per text crosses the network however long the text is.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.scale import broadcast_if_small
-from murmur.functions.words import SPACE, one_of, strip_edge_punctuation
+from murmur.functions.scale import broadcast_if_small, fits_broadcast
+from murmur.functions.words import bare_words, one_of, positions_of
 from murmur.operators.features import event_label, explode_entities, period_position
 from murmur.specs import Calendar, EntityPattern
 
@@ -34,6 +33,9 @@ EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
 QUESTION, QUESTION_MANY = 0.18, 0.96
 NORMALISER = 15.0
 
+#: A lexicon of at most so many words is written into the plan.
+INLINE_WORDS = 20_000
+
 # Words that strengthen the word after them.
 BOOSTERS = (
     "absolutely amazingly awfully completely considerably decidedly deeply effing enormously "
@@ -97,9 +99,9 @@ def _is_caps(token: Column) -> Column:
     return (token == F.upper(token)) & (token != F.lower(token))
 
 
-def _tokens(text: Column) -> Column:
-    cleaned = strip_edge_punctuation(text)
-    return F.filter(F.split(cleaned, f"{SPACE}+"), lambda t: F.length(t) > 1)
+def _one_per_token(lexicon: DataFrame) -> DataFrame:
+    """Lower-cased tokens, each once; a token listed with several valences gets their average."""
+    return lexicon.groupBy(F.lower("token").alias("token")).agg(F.avg("valence").alias("valence"))
 
 
 def _punctuation_emphasis(text: Column) -> Column:
@@ -109,20 +111,24 @@ def _punctuation_emphasis(text: Column) -> Column:
     return F.least(marks, F.lit(MAX_EXCLAMATIONS)) * EXCLAMATION + asking
 
 
-def _token_rows(df: DataFrame, text_col: str, rules: SentimentRules, keep: Sequence[str]) -> DataFrame:
-    """One row per token with its neighbours; a text without tokens keeps one empty row."""
+def _token_rows(df: DataFrame, text_col: str, rules: SentimentRules, keep: Sequence[str],
+                hits: Sequence[str] | None) -> DataFrame:
+    """One row per word with its neighbours, for the words in ``hits`` or all; a text without one keeps an empty row.
+
+    ``_first`` marks the row that stands for its text.
+    """
     words = df.select(
         *keep,
-        _tokens(F.col(text_col)).alias("_tokens"),
+        bare_words(F.col(text_col)).alias("_tokens"),
         F.coalesce(_punctuation_emphasis(F.col(text_col)), F.lit(0.0)).alias("_emphasis"),
-    )
+    ).withColumn("_lower", F.transform("_tokens", F.lower))
     shouting = F.size(F.filter("_tokens", _is_caps))
-    contrast = F.array_position(F.transform("_tokens", F.lower), rules.contrast) - 1
+    contrast = F.array_position("_lower", rules.contrast) - 1
     neighbours = F.transform(
-        "_tokens",
-        lambda t, i: F.struct(
+        positions_of("_lower", hits),
+        lambda i: F.struct(
             i.alias("_at"),
-            t.alias("_hit"),
+            F.get("_tokens", i).alias("_hit"),
             F.get("_tokens", i - 1).alias("_b1"),
             F.get("_tokens", i - 2).alias("_b2"),
             F.get("_tokens", i - 3).alias("_b3"),
@@ -140,7 +146,8 @@ def _token_rows(df: DataFrame, text_col: str, rules: SentimentRules, keep: Seque
         neighbours.alias("_near"),
     )
     carried = [*keep, "_emphasis", "_mixed_case", "_contrast"]
-    return per_text.select(*carried, F.explode_outer("_near").alias("_t")).select(*carried, "_t.*")
+    exploded = per_text.select(*carried, F.posexplode_outer("_near").alias("_position", "_t"))
+    return exploded.select(*carried, (F.coalesce("_position", F.lit(0)) == 0).alias("_first"), "_t.*")
 
 
 def _with_valences(tokens: DataFrame, lexicon: DataFrame, rules: SentimentRules) -> DataFrame:
@@ -155,8 +162,8 @@ def _with_valences(tokens: DataFrame, lexicon: DataFrame, rules: SentimentRules)
         (F.col("_word") == "kind") & F.coalesce(F.lower("_n1") == "of", F.lit(False)))
     scored = tokens.withColumn("_key", F.when(~is_modifier, F.col("_word"))).join(
         lexicon.select(F.col("token").alias("_key"), F.col("valence").alias("_base")), "_key", "left")
-    # From here on only hits matter, and the first token, which stands for its text.
-    scored = scored.where(F.col("_base").isNotNull() | F.col("_at").isNull() | (F.col("_at") == 0))
+    # From here on only hits matter, and the row that stands for its text.
+    scored = scored.where(F.col("_base").isNotNull() | F.col("_first"))
     for distance in (1, 2, 3):
         key, back = f"_back{distance}", f"_b{distance}"
         scored = (
@@ -241,14 +248,22 @@ def score_sentiment(
 ) -> DataFrame:
     """Compound sentiment in [-1, 1] per text: ``key``, the ``keep`` columns and ``sentiment``.
 
-    ``key`` must identify the text, and ``lexicon`` holds one row per token. Texts that are NULL, empty or without a
-    lexicon word score 0.0 and stay in the result.
+    One row comes back per row, whatever the keys: rows of equal or NULL key, and repeated rows, are scored on
+    their own. Texts that are NULL, empty or without a lexicon word score 0.0 and stay in the result. ``lexicon`` is
+    compared in lower case; a token listed more than once gets the average of its valences.
+
+    The words of a lexicon measured to have at most ``INLINE_WORDS`` are looked for inside each row, and only what is
+    found is exploded; a larger lexicon is joined to all words.
     """
     rules = rules or SentimentRules()
     columns = [key, *(c for c in keep if c != key)]
-    tokens = _token_rows(df, text_col, rules, columns)
-    adjusted = _adjust(_with_valences(tokens, lexicon, rules), rules)
-    totals = adjusted.groupBy(*columns).agg(
+    once = _one_per_token(lexicon)
+    hits = [r.token for r in once.collect()] if fits_broadcast(once, INLINE_WORDS) else None
+    # all rows of a text come from one task, so a recomputed task renumbers them together
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), *(c for c in columns if c != text_col), text_col)
+    tokens = _token_rows(numbered, text_col, rules, ["_row", *columns], hits)
+    adjusted = _adjust(_with_valences(tokens, once, rules), rules)
+    totals = adjusted.groupBy("_row", *columns).agg(
         F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"), F.max("_emphasis").alias("_emphasis"))
     emphasised = totals.withColumn("_sum", F.col("_sum") + F.signum("_sum") * F.col("_emphasis"))
     compound = F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + NORMALISER)
@@ -303,7 +318,8 @@ def sentiment_density(scored: DataFrame, labels: Mapping[str, str], points: int
     Bandwidth is Scott's rule. Scores have four decimals, so rows are first
     counted per distinct score: at most 20,001 per event meet the grid, whatever
     the number of rows. ``density`` integrates to 1 per event; ``joint_density``
-    is scaled by the event's share of all rows.
+    is scaled by the event's share of all rows. An event whose scores don't vary, or with
+    one row, has no bandwidth: its densities are NULL, and its rows count in every share.
     """
     values = (
         scored.where(F.col("event_period").isin(list(labels)))
@@ -319,7 +335,7 @@ def sentiment_density(scored: DataFrame, labels: Mapping[str, str], points: int
     ).withColumn("squares", F.sum(n * (s - F.col("mean")) ** 2).over(event))
     bandwidth = F.sqrt(F.try_divide(F.col("squares"), F.col("rows") - 1)) * F.pow(F.col("rows"), F.lit(-0.2))
     grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i * F.lit(2.0 / (points - 1)) - 1)
-    spread = moments.select("event", "sentiment", "n", "rows", bandwidth.alias("h")).where("h > 0").select(
+    spread = moments.select("event", "sentiment", "n", "rows", F.when(bandwidth > 0, bandwidth).alias("h")).select(
         "*", F.posexplode(grid).alias("point", "x"))
     z = (F.col("x") - s) / F.col("h")
     kernel = F.exp(-0.5 * z * z) / (F.col("h") * F.lit(math.sqrt(2 * math.pi)))

@@ -85,7 +85,7 @@ bands AS (SELECT event, count(*) AS n, stddev_samp(s) * pow(count(*), -0.2) AS h
 grid AS (SELECT CAST(i AS INTEGER) AS point, CAST(i AS DOUBLE) * CAST(2.0 AS DOUBLE) / 80 - 1 AS x FROM range(81) t(i))
 SELECT event, point, round(x, 6) AS x, round(sum(k) / n, 6) AS density,
        round(sum(k) / (SELECT sum(n) FROM bands), 6) AS joint_density
-FROM (SELECT event, point, x, n, exp(-0.5 * pow((x - s) / h, 2)) / (h * sqrt(2 * pi())) AS k
+FROM (SELECT event, point, x, n, CASE WHEN h > 0 THEN exp(-0.5 * pow((x - s) / h, 2)) / (h * sqrt(2 * pi())) END AS k
       FROM rows JOIN bands USING (event) CROSS JOIN grid)
 GROUP BY event, point, x, n""")
 def sentiment_density(spark, sf_dir):

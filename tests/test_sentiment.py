@@ -176,3 +176,40 @@ def test_kept_columns_may_have_any_name(spark, lexicon):
     df = spark.createDataFrame([(1, "not good", "w", 7)], "post_id long, title string, word string, at int")
     row = S.score_sentiment(df, "title", lexicon, keep=["word", "at"]).first()
     assert (row.word, row.at, row.sentiment) == ("w", 7, compound(1.9 * N))
+
+
+def test_rows_of_equal_and_null_keys_keep_their_own_scores(spark, lexicon):
+    rows = [(None, "good", "a"), (None, "bad", "a"), (None, "good", "a"), (7, "great", "a"), (7, "bad", "a"),
+            (7, "great", "a"), (7, None, "a"), (8, "plain", "b")]
+    df = spark.createDataFrame(rows, "post_id long, title string, side string").repartition(3)
+    got = sorted((r.post_id or 0, r.sentiment) for r in S.score_sentiment(df, "title", lexicon, keep=["side"]).collect())
+    value = {"good": 1.9, "bad": -2.5, "great": 3.1}
+    assert got == sorted((k or 0, compound(value.get(t, 0.0))) for k, t, _ in rows)
+
+
+def test_a_repeated_lexicon_token_counts_once(spark):
+    twice = spark.createDataFrame([("good", 1.9), ("good", 1.9), ("Mixed", 1.0), ("mixed", 3.0)], "token string, valence double")
+    assert scores(spark, twice, ["good", "mixed"]) == {"good": compound(1.9), "mixed": compound(2.0)}
+
+
+def test_a_large_lexicon_is_joined_and_an_empty_one_scores_nothing(spark, lexicon, monkeypatch):
+    texts = ["not good", "VERY bad but great!", None, "", "plain", "kind of good!"]
+    usual = scores(spark, lexicon, texts)
+    assert scores(spark, lexicon.limit(0), texts) == dict.fromkeys(texts, 0.0)
+    monkeypatch.setattr(S, "INLINE_WORDS", 2)
+    assert scores(spark, lexicon, texts) == usual
+
+
+def test_only_hits_are_exploded(spark, lexicon):
+    df = spark.createDataFrame([(1, "good " + "plain " * 5000), (2, "plain " * 5000)], "post_id long, title string")
+    hits = S._token_rows(df, "title", S.SentimentRules(), ["post_id"], ["good"])
+    assert hits.count() == 2
+
+
+def test_flat_events_keep_their_rows(spark):
+    scored = spark.createDataFrame([("p", 0.5), ("p", 0.5), ("q", 0.1), ("q", 0.3), ("r", 0.2)], "event_period string, sentiment double")
+    curve = S.sentiment_density(scored, {"p": "P", "q": "Q", "r": "R"}, points=5).collect()
+    assert len(curve) == 15
+    assert {r.event for r in curve if r.density is None} == {"P", "R"}
+    q = [r for r in curve if r.event == "Q"]
+    assert all(r.joint_density == pytest.approx(r.density * 2 / 5) for r in q)
