@@ -30,9 +30,9 @@ from murmur.llm import textops
 
 LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 48
-CACHED_CHUNKS = 1_200_000
-CACHED_WORDS = 400_000
-_COUNTED_AT_ONCE = 500_000
+CACHED_CHUNKS = 2_000_000
+CACHED_WORDS = 150_000
+_COUNTED_AT_ONCE = 300_000
 _ID_BITS = 24
 _ID_MASK = (1 << _ID_BITS) - 1
 _NO_MERGE = 1 << 62
@@ -253,22 +253,71 @@ def mapped(compiled: bytes) -> np.ndarray:
 class ChunkCache:
     """Ids of texts between ASCII spaces, which are encoded alone: no word spans a space.
 
-    ``resolve`` encodes chunks not seen before. The cache is emptied when full, so a
-    worker's memory is bounded whatever the number of texts.
+    Chunks are known by a 64-bit hash and looked up a batch at a time in sorted arrays; ``resolve`` encodes those not
+    seen before. A chunk takes some 40 bytes, and the cache is emptied when full, so a worker's memory is
+    bounded whatever the number of texts.
     """
 
     def __init__(self, resolve: Callable[[list[bytes]], list[bytes]], limit: int = CACHED_CHUNKS):
-        self.resolve, self.limit, self.known = resolve, limit, {}
+        self.resolve, self.limit = resolve, limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.main = self.fresh = (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # sorted hashes, entry numbers
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.n_entries = self.n_ids = 0
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        keys, entries = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], entries[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.full(len(hashes), -1, np.int64)
+        for keys, entries in (self.main, self.fresh):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                found[hit] = entries[at[hit]]
+        return found
+
+    def _add(self, hashes: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        encoded = self.resolve(chunks)
+        ids = np.frombuffer(b"".join(encoded), np.uint32)
+        ends = self.n_ids + np.cumsum(np.fromiter((len(e) // 4 for e in encoded), np.int64, len(encoded)))
+        entries = self.n_entries + np.arange(len(encoded))
+        while self.n_entries + len(encoded) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids) // 2), np.uint32)])
+        self.first[entries + 1] = ends
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.n_entries, self.n_ids = self.n_entries + len(encoded), self.n_ids + len(ids)
+        self.fresh = self._merged(self.fresh, (hashes, entries))
+        if len(self.fresh[0]) > 50_000 + len(self.main[0]) // 8:
+            self.main, self.fresh = self._merged(self.main, self.fresh), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return entries
 
     def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
         """Little-endian ids of each text; NULL is empty."""
-        split = [(t or b"").split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        new = list(set().union(*split) - known.keys())
-        known.update(zip(new, self.resolve(new), strict=True))
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        if self.n_entries > self.limit:
+            self._empty()
+        words = textops.split_words(texts)
+        hashes, sample, again = np.unique(words.hashes, return_index=True, return_inverse=True)
+        entry = self._find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw = words.buffer.tobytes()
+            spans = zip(words.starts[sample[new]].tolist(), words.ends[sample[new]].tolist(), strict=True)
+            entry[new] = self._add(hashes[new], [raw[a:b] for a, b in spans])
+        entry = entry[again.reshape(-1)]
+        start = self.first[entry]
+        sizes = self.first[entry + 1] - start
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(start - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[words.bounds].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Encoder:
