@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -90,9 +91,9 @@ def mention(text: Column, entity: EntityPattern) -> Column:
 
 
 def add_mentions(df: DataFrame, text_col: str, entities: Sequence[EntityPattern]) -> DataFrame:
-    """Add one boolean per entity and ``mentions_any``, their OR."""
+    """Add one boolean per entity and ``mentions_any``, their OR; without entities it is false."""
     flags = df.select("*", *(mention(F.col(text_col), e).alias(e.flag) for e in entities))
-    return flags.withColumn(ANY_FLAG, reduce(lambda a, b: a | b, (F.col(e.flag) for e in entities)))
+    return flags.withColumn(ANY_FLAG, reduce(lambda a, b: a | b, (F.col(e.flag) for e in entities), F.lit(False)))
 
 
 def explode_entities(df: DataFrame, entities: Sequence[EntityPattern], output: str = "player") -> DataFrame:
@@ -101,7 +102,7 @@ def explode_entities(df: DataFrame, entities: Sequence[EntityPattern], output: s
     A single pass over the input however many entities there are; rows without
     a mention disappear here, before any shuffle.
     """
-    names = F.array_compact(F.array(*(F.when(F.col(e.flag), F.lit(e.name)) for e in entities)))
+    names = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.col(e.flag), F.lit(e.name)) for e in entities)))
     return df.where(F.col(ANY_FLAG)).withColumn(output, F.explode(names))
 
 
@@ -140,9 +141,9 @@ def discover_forums(df: DataFrame, keywords: Sequence[str], forum_col: str = "su
     """Volume of every forum whose name contains one of the keywords.
 
     A substring match: short keywords also hit unrelated names, so the result is
-    a list to review, not a filter.
+    a list to review, not a filter. Keywords are plain text; without one no forum is found.
     """
-    pattern = "(?i)(" + "|".join(keywords) + ")"
+    pattern = "(?i)(" + "|".join(map(re.escape, keywords)) + ")" if keywords else r"(?!)"
     return (
         df.where(F.rlike(F.lower(forum_col), F.lit(pattern)))
         .groupBy(forum_col)

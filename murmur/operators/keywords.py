@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.words import ENGLISH_STOP_WORDS, explode_terms, with_bigrams, without, word_runs
+from murmur.functions.words import ENGLISH_STOP_WORDS, explode_terms, pairs_of, with_bigrams, without, word_runs
 from murmur.specs import Calendar, EntityPattern
 
+#: At most so many frequent words are written into the plan.
+INLINE_WORDS = 20_000
+
 
 def period_groups(calendar: Calendar) -> dict[str, Column]:
     return {label: F.col("event_period") == label for label in calendar.labels}
@@ -20,6 +23,26 @@ def entity_groups(entities: Sequence[EntityPattern]) -> dict[str, Column]:
     return {e.name: F.col(e.flag) for e in entities}
 
 
+def _group_words(df: DataFrame, text_col: str, groups: Mapping[str, Column], stop_words: Sequence[str]) -> DataFrame:
+    """Words of each text of a group: a 0/1 flag per group and ``_words``."""
+    flags = [f"_g{i}" for i in range(len(groups))]
+    texts = df.where(F.col(text_col).isNotNull()).select(
+        *(F.coalesce(test, F.lit(False)).cast("long").alias(flag) for flag, test in zip(flags, groups.values())),
+        text_col,
+    )
+    in_any = reduce(lambda a, b: a | b, (F.col(flag) > 0 for flag in flags), F.lit(False))
+    return (
+        texts.where(in_any)
+        .select(*flags, word_runs(F.col(text_col)).alias("_runs"))
+        .select(*flags, without("_runs", stop_words).alias("_words"))
+    )
+
+
+def _summed(terms: DataFrame, groups: Mapping[str, Column]) -> DataFrame:
+    sums = [F.sum(f"_g{i}").alias(name) for i, name in enumerate(groups)]
+    return terms.groupBy("term").agg(*sums) if sums else terms.select("term").distinct()
+
+
 def term_counts(
     df: DataFrame,
     text_col: str,
@@ -30,21 +53,43 @@ def term_counts(
 
     ``groups`` maps a name to a membership test, so a text may belong to several
     groups without being copied. Counting all groups side by side takes one
-    shuffle, of per-task totals. Bigrams do not run from one text into the next.
+    shuffle, of per-task totals. Bigrams do not run from one text into the next. Without a group there is no term.
     """
-    flags = [f"_g{i}" for i in range(len(groups))]
-    texts = df.where(F.col(text_col).isNotNull()).select(
-        *(F.coalesce(test, F.lit(False)).cast("long").alias(flag) for flag, test in zip(flags, groups.values())),
-        text_col,
-    )
-    in_any = reduce(lambda a, b: a | b, (F.col(flag) > 0 for flag in flags))
-    words = (
-        texts.where(in_any)
-        .select(*flags, word_runs(F.col(text_col)).alias("_runs"))
-        .select(*flags, without("_runs", stop_words).alias("_words"))
-    )
-    terms = explode_terms(words.select(*flags, with_bigrams("_words").alias("_terms")), "_terms")
-    return terms.groupBy("term").agg(*(F.sum(flag).alias(name) for flag, name in zip(flags, groups)))
+    words = _group_words(df, text_col, groups, stop_words)
+    flags = [c for c in words.columns if c != "_words"]
+    return _summed(explode_terms(words.select(*flags, with_bigrams("_words").alias("_terms")), "_terms"), groups)
+
+
+def leading_term_counts(
+    df: DataFrame,
+    text_col: str,
+    groups: Mapping[str, Column],
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    max_features: int = 500,
+    min_df: int = 1,
+) -> DataFrame:
+    """``term_counts`` without bigrams that can't be among the ``max_features`` most frequent terms.
+
+    Let T be the total of the word in place ``max_features``. A bigram is no more frequent than either
+    of its words, so where one of them totals less than T the bigram does too, and that many words come before it. Words are
+    counted first, then only bigrams of words that reach T. With too few words, or more than ``INLINE_WORDS`` that reach
+    T, all bigrams are counted.
+    """
+    words = _group_words(df, text_col, groups, stop_words)
+    flags = [c for c in words.columns if c != "_words"]
+    singles = _summed(explode_terms(words.select(*flags, F.col("_words").alias("_terms")), "_terms"), groups)
+    counted = [F.col(g) for g in groups]
+    totals = singles.select(
+        "term", reduce(lambda a, b: a + b, counted, F.lit(0)).alias("total"),
+        reduce(lambda a, b: a + b, ((c > 0).cast("int") for c in counted), F.lit(0)).alias("df"))
+    leading = totals.where(F.col("df") >= min_df).orderBy(F.desc("total")).limit(max_features)
+    places, bound = leading.agg(F.count("*"), F.min("total")).first()
+    frequent = [] if places < max_features else [
+        r.term for r in totals.where(F.col("total") >= bound).select("term").limit(INLINE_WORDS + 1).collect()]
+    if not 0 < len(frequent) <= INLINE_WORDS:
+        return term_counts(df, text_col, groups, stop_words)
+    pairs = words.select(*flags, pairs_of("_words", frequent).alias("_terms"))
+    return singles.unionByName(_summed(explode_terms(pairs, "_terms"), groups))
 
 
 def tfidf(counts: DataFrame, max_features: int = 500, min_df: int = 1) -> DataFrame:

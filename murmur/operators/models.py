@@ -15,6 +15,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.functions.scale import stage, steady
 from murmur.operators.features import flags_to_int, threshold_label
@@ -40,19 +41,30 @@ def feature_table(tagged: DataFrame, entities: Sequence[EntityPattern], key: str
     return flags_to_int(complete, entities)
 
 
-def _value_at(counts: DataFrame, rank: int, low: float, high: float) -> float:
-    """The value with ``rank`` values before it, by repeatedly narrowing [low, high].
+def _narrowed(counts: DataFrame, rank: int, low, high, whole: bool) -> tuple[DataFrame, int]:
+    """The rows of at most BUCKETS distinct values that hold ``rank``, and the rank among them.
 
-    Each pass returns at most BUCKETS rows of counts and keeps the one bucket
-    that holds the rank, until that bucket is a single value.
+    Each pass counts BUCKETS buckets between the least and the largest value left and keeps the one with the rank. Both
+    ends fall into different buckets, so every pass narrows. Whole numbers are cut exactly; the width of
+    doubles is taken of both ends apart, as their difference may overflow.
     """
     while low < high:
-        width = (high - low) / BUCKETS
-        if not width or not math.isfinite(width):
-            break
-        bucket = F.least(F.floor((F.col("v") - low) / width), F.lit(BUCKETS - 1))
+        inside = counts.where(F.col("v").between(F.lit(low), F.lit(high)))
+        if whole:
+            width = (high - low) // BUCKETS + 1
+            if width == 1:
+                return inside, rank
+            bucket = F.floor((F.col("v").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)"))
+        else:
+            width = high / BUCKETS - low / BUCKETS
+            if not width:  # fewer doubles than buckets lie between
+                return inside, rank
+            bucket = F.floor(F.col("v") / width - low / width)
+        # both ends are set apart by hand: rounding must not bring them together
+        bucket = F.when(F.col("v") == F.lit(low), -1).when(F.col("v") == F.lit(high), BUCKETS + 1).otherwise(
+            F.greatest(F.lit(0), F.least(bucket, F.lit(BUCKETS))))
         rows = (
-            counts.where(F.col("v").between(low, high)).groupBy(bucket.alias("b"))
+            inside.groupBy(bucket.cast("long").alias("b"))
             .agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
             .orderBy("b").collect()
         )
@@ -61,30 +73,67 @@ def _value_at(counts: DataFrame, rank: int, low: float, high: float) -> float:
                 low, high = row.low, row.high
                 break
             rank -= row.n
-    return low
+    return counts.where(F.col("v") == F.lit(low)), rank
+
+
+def _value_at(counts: DataFrame, rank: int, low, high, whole: bool) -> tuple[float, int]:
+    """The value with ``rank`` rows before it, and how many rows of it come after that rank."""
+    few, rank = _narrowed(counts, rank, low, high, whole)
+    for row in few.orderBy("v").collect():
+        if rank < row.n:
+            return row.v, row.n - rank - 1
+        rank -= row.n
+    raise ValueError("rank beyond the values")
 
 
 def exact_quantile(df: DataFrame, column: str, probability: float) -> float | None:
     """The exact quantile with linear interpolation; NULLs do not count.
 
     Values are counted once, spread over the cluster, and located by rank, so
-    no task and no driver ever holds all distinct values.
+    no task and no driver ever holds all distinct values. Infinities take their places at the ends and NaN
+    comes after all, as in Spark's order. Whole numbers are compared as such, not as doubles.
     """
-    value = F.col(column).cast("double")
+    if not 0 <= probability <= 1:
+        raise ValueError("a probability lies between 0 and 1")
+    whole = isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    value = F.col(column).cast("long" if whole else "double")
     counts = (
         df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        total, low, high = counts.agg(F.sum("n"), F.min("v"), F.max("v")).first()
+        ends = [float("-inf"), float("inf"), float("nan")]
+        finite = F.lit(True) if whole else ~F.col("v").isin(ends)
+        total, inner, low, high, *outer = counts.agg(
+            F.sum("n"), F.coalesce(F.sum(F.when(finite, F.col("n"))), F.lit(0)), F.min(F.when(finite, F.col("v"))),
+            F.max(F.when(finite, F.col("v"))),
+            *(F.coalesce(F.sum(F.when(F.col("v") == F.lit(e), F.col("n"))), F.lit(0)) for e in ends)).first()
         if not total:
             return None
+        inside = counts.where(finite)
         rank = probability * (total - 1)
-        below = _value_at(counts, math.floor(rank), low, high)
-        if rank == math.floor(rank):
+        first = math.floor(rank)
+
+        def at(position: int) -> tuple[float, int]:
+            if not whole:
+                for end, start, size in ((ends[0], 0, outer[0]), (ends[1], outer[0] + inner, outer[1]),
+                                         (ends[2], outer[0] + inner + outer[1], outer[2])):
+                    if start <= position < start + size:
+                        return end, start + size - position - 1
+                position -= outer[0]
+            return _value_at(inside, position, low, high, whole)
+
+        below, more = at(first)
+        if rank == first or more:
             return below
-        above = _value_at(counts, math.ceil(rank), low, high)
-        return below + (rank - math.floor(rank)) * (above - below)
+        if whole or first + 1 < outer[0] + inner:
+            above = inside.where(F.col("v") > F.lit(below)).agg(F.min("v")).first()[0] if below != ends[0] else low
+        else:
+            above = at(first + 1)[0]
+        share = rank - first
+        if math.isinf(below) or math.isinf(above) or math.isnan(above):
+            return below * (1 - share) + above * share
+        return below + share * (above - below) if math.isfinite(above - below) else below * (1 - share) + above * share
     finally:
         counts.unpersist()
 
@@ -136,8 +185,8 @@ def fit_encoding(train: DataFrame, entities: Sequence[EntityPattern]) -> Pipelin
     return Pipeline(stages=encoding_stages(entities)).fit(train)
 
 
-def metric_table(spark: SparkSession, metrics: Mapping[str, float]) -> DataFrame:
-    return spark.createDataFrame([(m, float(v)) for m, v in metrics.items()], "metric string, value double")
+def metric_table(spark: SparkSession, metrics: Mapping[str, float | None]) -> DataFrame:
+    return spark.createDataFrame([(m, None if v is None else float(v)) for m, v in metrics.items()], "metric string, value double")
 
 
 # Engagement models
@@ -151,6 +200,7 @@ class EngagementModels:
     test: DataFrame
     classifier: object
     regressor: object
+    probability: float = 0.75
 
     def classified(self) -> DataFrame:
         return self.classifier.transform(self.test)
@@ -186,7 +236,7 @@ def fit_engagement_models(
         regressor = RandomForestRegressor(labelCol="num_comments", **forest).fit(encoded)
     finally:
         encoded.unpersist()
-    return EngagementModels(encoding, encoding.transform(train), encoding.transform(test), classifier, regressor)
+    return EngagementModels(encoding, encoding.transform(train), encoding.transform(test), classifier, regressor, probability)
 
 
 def correct_predictions(predicted: DataFrame, label: str = LABEL) -> DataFrame:
@@ -272,9 +322,10 @@ def standardised(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass
 class ForumClusters:
-    """Forums with their scaled features and cluster."""
+    """Forums with their scaled features and cluster, and how many clusters were asked for."""
 
     assigned: DataFrame
+    k: int = 4
 
     def silhouette(self) -> float | None:
         """Squared-Euclidean silhouette; None where all forums share one cluster."""
@@ -295,22 +346,40 @@ class ForumClusters:
 
 def cluster_forums(profile: DataFrame, entities: Sequence[EntityPattern], k: int = 4, seed: int = 42,
                    partitions: int | None = None) -> ForumClusters:
-    """Group forums by behaviour with k-means on scaled profiles."""
+    """Group forums by behaviour with k-means on scaled profiles.
+
+    Without a forum nothing can be fitted: the result has the same columns and no rows.
+    """
     forums = stage(profile, "forum-profiles")
     assembler = VectorAssembler(inputCols=profile_features(entities), outputCol="km_features_raw")
+    if forums.isEmpty():
+        raw = assembler.transform(forums)
+        return ForumClusters(raw.withColumn("km_features", F.col("km_features_raw")).withColumn("cluster", F.lit(0)), k)
     scaler = StandardScaler(inputCol="km_features_raw", outputCol="km_features", withStd=True, withMean=True)
     kmeans = KMeans(featuresCol="km_features", predictionCol="cluster", k=k, seed=seed)
     model = Pipeline(stages=[assembler, scaler, kmeans]).fit(steady(forums, "subreddit", partitions))
-    return ForumClusters(model.transform(forums))
+    return ForumClusters(model.transform(forums), k)
 
 
-def model_summary(classification: DataFrame, regression: DataFrame, silhouette: float | None, k: int = 4) -> DataFrame:
-    """One line per model: Question, Model, Task, Result."""
+# The wording of the result table.
+SUMMARY = {
+    "classifier": ("Q8", "RF Classifier", "Predict high engagement (top {top:g}%)", "AUC={auc:.4f}, Acc={accuracy:.4f}"),
+    "regressor": ("Q9", "RF Regressor", "Predict comment count", "RMSE={rmse:.2f}, R²={r2:.4f}"),
+    "clusters": ("Q10", "K-Means (k={k})", "Cluster forums by behaviour", "Silhouette={silhouette}"),
+}
+
+
+def model_summary(models: EngagementModels, clusters: ForumClusters) -> DataFrame:
+    """One line per model: Question, Model, Task, Result, all taken from what was fitted.
+
+    A silhouette that doesn't exist, for want of forums or of a second cluster, is "n/a".
+    """
+    classification, regression = classification_metrics(models.classified()), regression_metrics(models.regressed())
     scores = {row.metric: row.value for row in classification.unionByName(regression).collect()}
-    shape = "n/a" if silhouette is None else f"{silhouette:.4f}"
-    return classification.sparkSession.createDataFrame([
-        ("Q8", "RF Classifier", "Predict high engagement (top 25%)",
-         f"AUC={scores['AUC-ROC']:.4f}, Acc={scores['Accuracy']:.4f}"),
-        ("Q9", "RF Regressor", "Predict comment count", f"RMSE={scores['RMSE']:.2f}, R²={scores['R2']:.4f}"),
-        ("Q10", f"K-Means (k={k})", "Cluster forums by behaviour", f"Silhouette={shape}"),
-    ], "Question string, Model string, Task string, Result string")
+    shape = clusters.silhouette()
+    facts = {"top": 100 * (1 - models.probability), "auc": scores["AUC-ROC"], "accuracy": scores["Accuracy"],
+             "rmse": scores["RMSE"], "r2": scores["R2"], "k": clusters.k, "silhouette": "n/a" if shape is None else f"{shape:.4f}"}
+    facts = {k: math.nan if v is None else v for k, v in facts.items()}
+    return classification.sparkSession.createDataFrame(
+        [tuple(part.format(**facts) for part in line) for line in SUMMARY.values()],
+        "Question string, Model string, Task string, Result string")

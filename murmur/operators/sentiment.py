@@ -3,7 +3,7 @@
 
 Each text becomes one row per lexicon word in it, with the five neighbours the
 rules look at. Joining the lexicon gives the word's valence, the rules adjust it,
-and one sum per row of the input gives the score. The sum is combined before it is
+and one sum per text gives the score. The sum is combined before it is
 shuffled, so a single small row per text crosses the network however long the text is.
 """
 
@@ -259,15 +259,26 @@ def score_sentiment(
     columns = [key, *(c for c in keep if c != key)]
     once = _one_per_token(lexicon)
     hits = [r.token for r in once.collect()] if fits_broadcast(once, INLINE_WORDS) else None
-    # all rows of a text come from one task, so a recomputed task renumbers them together
-    numbered = df.select(F.monotonically_increasing_id().alias("_row"), *(c for c in columns if c != text_col), text_col)
-    tokens = _token_rows(numbered, text_col, rules, ["_row", *columns], hits)
+    # Rows of equal key, kept columns and text are scored together and given back one by one. Numbering the rows
+    # instead would keep filters on the result from reaching the input.
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_digest")
+    marked = df.select(digest, *(c for c in columns if c != text_col), text_col)
+    tokens = _token_rows(marked, text_col, rules, ["_digest", *columns], hits)
     adjusted = _adjust(_with_valences(tokens, once, rules), rules)
-    totals = adjusted.groupBy("_row", *columns).agg(
-        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"), F.max("_emphasis").alias("_emphasis"))
+    totals = adjusted.groupBy("_digest", *columns).agg(
+        F.count_if("_first").alias("_rows"), F.max("_emphasis").alias("_emphasis"),
+        F.coalesce(F.sum("_v") / F.count_if("_first"), F.lit(0.0)).alias("_sum"))
     emphasised = totals.withColumn("_sum", F.col("_sum") + F.signum("_sum") * F.col("_emphasis"))
     compound = F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + NORMALISER)
-    return emphasised.select(*columns, F.round(compound, 4).alias("sentiment"))
+    scored = emphasised.select(*columns, "_rows", F.round(compound, 4).alias("sentiment"))
+    return _repeated(scored, "_rows").select(*columns, "sentiment")
+
+
+def _repeated(df: DataFrame, times: str, most: int = 1 << 16) -> DataFrame:
+    """Each row as often as it says, ``most`` at a time: no array holds all of a row's copies."""
+    lots = df.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / most))))
+    size = F.least(F.lit(most), F.col(times) - F.col("_lot") * most)
+    return lots.withColumn("_copy", F.explode(F.sequence(F.lit(1), size.cast("int"))))
 
 
 # Aggregates over scored rows

@@ -56,15 +56,19 @@ class TopicModel:
     texts: DataFrame
 
     def quality(self) -> DataFrame:
-        """Log likelihood and log perplexity: ``(metric, value)``."""
+        """Log likelihood and log perplexity: ``(metric, value)``; texts without a vocabulary word have neither.
+
+        The perplexity is minus the likelihood over the number of words, so the bound is computed once.
+        """
+        likelihood = self.model.logLikelihood(self.texts)
+        words = self.texts.agg(F.sum(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, b: a + b))).first()[0]
         return self.texts.sparkSession.createDataFrame(
-            [("log_likelihood", self.model.logLikelihood(self.texts)),
-             ("log_perplexity", self.model.logPerplexity(self.texts))],
+            [("log_likelihood", likelihood), ("log_perplexity", -likelihood / words if words else None)],
             "metric string, value double")
 
     def topic_words(self, n: int = 10) -> DataFrame:
         """The ``n`` heaviest words of each topic: ``(topic, position, word, weight)``."""
-        words = F.array(*(F.lit(w) for w in self.vocabulary))
+        words = F.lit(self.vocabulary)
         pairs = F.arrays_zip("termIndices", "termWeights")
         return (
             self.model.describeTopics(maxTermsPerTopic=n)
@@ -91,13 +95,16 @@ def fit_topics(
     min_df: int = 5,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     partitions: int | None = None,
+    subsampling: float = 1.0,
 ) -> TopicModel:
     """Fit LDA on all texts.
 
+    Each iteration of Spark's online optimiser draws ``subsampling`` times as many texts as there are,
+    with replacement. With the default of 1 an iteration costs a pass over the counts, and one text in e to the power
+    ``max_iter`` is never drawn; a lower share costs less and leaves more texts out.
+
     The result repeats for the same ``partitions``: the vocabulary has a total
-    order and every partition holds the same texts in the same order. The
-    optimiser works on small random batches, so its cost per iteration follows
-    the batch, not the corpus.
+    order and every partition holds the same texts in the same order.
     """
     tokens = tokenise(df, text_col, key, keep, stop_words)
     # At most vocab_size terms come to the driver, as in any CountVectorizer fit.
@@ -108,7 +115,7 @@ def fit_topics(
     texts = stage(counter.transform(tokens).drop("tokens"), "lda-texts")
     ordered = steady(texts, key, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features",
+        model = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="features", subsamplingRate=subsampling,
                     topicDistributionCol="topic_dist").fit(ordered)
     finally:
         ordered.unpersist()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.operators import models, reactions
 from murmur.plans import sql
 from murmur.plans.base import ENTITIES, FLAGS, query, rounded, tagged_posts
+from murmur.sources import fixtures
 
 FEATURES = f"post_id, hour_of_day, day_of_week, month_num, {', '.join(FLAGS)}, subreddit, event_period, score, num_comments"
 WITH_FEATURES = f"{sql.TAGGED_POSTS}, {sql.FEATURES}"
@@ -95,6 +96,101 @@ def feature_vector(spark, sf_dir):
     return rounded(cells.groupBy("slot").agg(F.sum("v").alias("total")))
 
 
+def _fixed_predictions(spark: SparkSession, sf_dir: str):
+    """Labels with a prediction that no fit decides: ``toxic`` stands in for the label, ``quality`` for the prediction."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("post_id"), F.col("toxic").alias(models.LABEL), F.col("quality").cast("double").alias("prediction"),
+        F.array(1 - F.col("quality").cast("double"), F.col("quality").cast("double")).alias("_raw"))
+
+
+@query("f11_correct_fixed", "SELECT doc_id AS post_id, toxic AS high_engagement, CAST(quality AS DOUBLE) AS prediction "
+       "FROM labels WHERE toxic = quality")
+def correct_fixed(spark, sf_dir):
+    return models.correct_predictions(_fixed_predictions(spark, sf_dir)).select("post_id", models.LABEL, "prediction")
+
+
+@query("a15_accuracy_fixed", "SELECT round(avg(CASE WHEN toxic = quality THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy FROM labels")
+def accuracy_fixed(spark, sf_dir):
+    return rounded(models.accuracy(_fixed_predictions(spark, sf_dir)))
+
+
+#: With a score of two values the area is the share of right orders among pairs, ties counting half.
+FIXED_METRICS = """cells AS (
+  SELECT sum(toxic * quality) AS tp, sum(toxic * (1 - quality)) AS fn, sum((1 - toxic) * quality) AS fp,
+         sum((1 - toxic) * (1 - quality)) AS tn FROM labels),
+fixed AS (
+  SELECT 'AUC-ROC' AS metric, round(((tp / (tp + fn)) + (tn / (tn + fp))) / 2, 6) AS value FROM cells
+  UNION ALL SELECT 'Accuracy', round((tp + tn) / (tp + tn + fp + fn), 6) FROM cells)"""
+
+
+def _fixed_metrics(spark: SparkSession, sf_dir: str):
+    predicted = _fixed_predictions(spark, sf_dir).withColumn("rawPrediction", array_to_vector("_raw"))
+    return models.classification_metrics(predicted)
+
+
+@query("m07_metrics_fixed", f"WITH {FIXED_METRICS} SELECT metric, CAST(value AS DOUBLE) AS value FROM fixed")
+def classification_fixed(spark, sf_dir):
+    return rounded(_fixed_metrics(spark, sf_dir))
+
+
+FIXED_REGRESSION = """pairs AS (SELECT CAST(num_comments AS DOUBLE) AS y, CAST(score AS DOUBLE) AS p FROM posts
+  WHERE num_comments IS NOT NULL AND score IS NOT NULL),
+sums AS (SELECT sum((y - p) ** 2) AS r, sum((y - (SELECT avg(y) FROM pairs)) ** 2) AS s, count(*) AS n FROM pairs),
+regressed AS (SELECT 'RMSE' AS metric, round(sqrt(r / n), 6) AS value FROM sums UNION ALL SELECT 'R2', round(1 - r / s, 6) FROM sums)"""
+
+
+def _fixed_regression(spark: SparkSession, sf_dir: str):
+    posts = fixtures.posts(spark, sf_dir).dropna(subset=["num_comments", "score"])
+    return models.regression_metrics(posts.select("num_comments", F.col("score").cast("double").alias("prediction")))
+
+
+@query("m10_metrics_fixed", f"WITH {sql.POSTS}, {FIXED_REGRESSION} SELECT metric, value FROM regressed")
+def regression_fixed(spark, sf_dir):
+    return rounded(_fixed_regression(spark, sf_dir))
+
+
+@query("m17_metric_tables_fixed", f"""WITH {sql.POSTS}, {FIXED_METRICS}, {FIXED_REGRESSION}
+SELECT metric, CAST(value AS DOUBLE) AS value FROM fixed UNION ALL SELECT metric, value FROM regressed""")
+def metric_tables_fixed(spark, sf_dir):
+    return rounded(_fixed_metrics(spark, sf_dir).unionByName(_fixed_regression(spark, sf_dir)))
+
+
+TEST_ROWS = f"{WITH_FEATURES}, test AS (SELECT * FROM labelled WHERE NOT in_training)"
+
+
+@query("m06_predictions_agree", f"{TEST_ROWS} SELECT post_id, high_engagement, true AS bounded, true AS agrees FROM test")
+def predictions_agree(spark, sf_dir):
+    """Of every test row: its label, whether the probability lies within [0, 1], and whether it gives the prediction."""
+    likely = F.col("probability")
+    return classifier_predictions(spark, sf_dir).select(
+        "post_id", models.LABEL, likely.between(0, 1).alias("bounded"),
+        ((F.col("prediction") == (likely > 0.5).cast("double")) | (F.abs(likely - 0.5) < 1e-9)).alias("agrees"))
+
+
+@query("m09_predictions_bounded", f"""{TEST_ROWS}, span AS (SELECT min(num_comments) AS low, max(num_comments) AS high FROM labelled WHERE in_training)
+SELECT post_id, num_comments, true AS bounded FROM test""")
+def predictions_bounded(spark, sf_dir):
+    """A forest averages what it has seen, so no prediction leaves the training range."""
+    fitted = _models(spark, sf_dir)
+    low, high = fitted.train.agg(F.min("num_comments"), F.max("num_comments")).first()
+    return fitted.regressed().select("post_id", "num_comments", F.col("prediction").between(low, high).alias("bounded"))
+
+
+@query("m08_importance_shares", "SELECT unnest([{}]) AS feature, true AS share, true AS whole".format(", ".join(
+    f"'{n}'" for n in [*models.numeric_features(ENTITIES), *(f"{c} (OHE)" for c in models.CATEGORIES)])))
+def importance_shares(spark, sf_dir):
+    """Every source column, whether its importance is a share, and whether all shares sum to one."""
+    shares = feature_importances(spark, sf_dir)
+    total = F.sum("importance").over(Window.partitionBy())
+    return shares.select("feature", F.col("importance").between(0, 1).alias("share"), (F.abs(total - 1) < 1e-6).alias("whole"))
+
+
+@query("m11_sampled_rows", f"""{TEST_ROWS} SELECT post_id, num_comments FROM test
+ORDER BY md5(CAST(post_id AS VARCHAR)), post_id LIMIT 500""")
+def sampled_rows(spark, sf_dir):
+    return prediction_sample(spark, sf_dir).select("post_id", "num_comments")
+
+
 @query("m06_classifier_predictions")
 def classifier_predictions(spark, sf_dir):
     return _models(spark, sf_dir).classified().select(
@@ -147,6 +243,66 @@ def standardised_profiles(spark, sf_dir):
     return rounded(models.standardised(profile, models.profile_features(ENTITIES)))
 
 
+@query("m13_scaled_features", f"{sql.TAGGED_POSTS}, {sql.PROFILE} SELECT subreddit, {Z} FROM profile")
+def scaled_features(spark, sf_dir):
+    """The vector that the clusters are fitted on, as columns."""
+    scaled = _forums(spark, sf_dir).assigned.select("subreddit", vector_to_array("km_features").alias("z"))
+    return rounded(scaled.select("subreddit", *(
+        F.get("z", F.lit(i)).alias(c) for i, c in enumerate(models.profile_features(ENTITIES)))))
+
+
+@query("m15_clustered_forums", f"{sql.TAGGED_POSTS}, {sql.PROFILE} SELECT subreddit, post_count, true AS numbered FROM profile")
+def clustered_forums(spark, sf_dir):
+    forums = _forums(spark, sf_dir)
+    return forums.table().select("subreddit", "post_count", F.col("cluster").between(0, forums.k - 1).alias("numbered"))
+
+
+#: A labelling that no fit decides: by the number in the forum's name.
+FIXED_CLUSTER = "CAST(substr(subreddit, 4) AS INTEGER) % 2"
+
+
+@query("t06_fixed_summary", f"""{sql.TAGGED_POSTS}, {sql.PROFILE}
+SELECT {FIXED_CLUSTER} AS cluster, count(*) AS forums, CAST(sum(post_count) AS BIGINT) AS posts, round(avg(avg_score), 6) AS avg_score,
+       round(avg(avg_comments), 6) AS avg_comments FROM profile GROUP BY 1""")
+def fixed_summary(spark, sf_dir):
+    profile = reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES)
+    labelled = profile.withColumn("cluster", F.expr(FIXED_CLUSTER))
+    return rounded(models.ForumClusters(labelled).summary())
+
+
+@query("t06_two_key_order", f"""{sql.TAGGED_POSTS}, {sql.PROFILE}
+SELECT subreddit, {FIXED_CLUSTER} AS cluster, post_count,
+       CAST(row_number() OVER (ORDER BY {FIXED_CLUSTER}, post_count DESC, subreddit) AS INTEGER) AS place FROM profile""")
+def two_key_order(spark, sf_dir):
+    """The cluster table's order on a fixed labelling: cluster up, size down, ties by name."""
+    profile = reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES)
+    table = models.ForumClusters(profile.withColumn("cluster", F.expr(FIXED_CLUSTER))).table()
+    place = F.row_number().over(Window.orderBy("cluster", F.desc("post_count"), "subreddit"))
+    return table.select("subreddit", "cluster", "post_count", place.cast("int").alias("place"))
+
+
+DISTANCES = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in models.profile_features(ENTITIES))
+
+
+@query("m14_silhouette_fixed", f"""{sql.TAGGED_POSTS}, {sql.PROFILE}, scaled AS (SELECT subreddit, {FIXED_CLUSTER} AS side, {Z} FROM profile),
+gaps AS (SELECT a.subreddit, a.side AS own, b.side AS other, sum({DISTANCES}) AS total, count(*) AS n
+  FROM scaled a JOIN scaled b ON true GROUP BY ALL),
+widths AS (SELECT subreddit,
+    max(CASE WHEN own = other THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b FROM gaps GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette FROM widths
+HAVING count(b) > 0""")
+def silhouette_fixed(spark, sf_dir):
+    """The silhouette of the scaled profiles under a labelling that no fit decides."""
+    columns = models.profile_features(ENTITIES)
+    scaled = models.standardised(reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES), columns)
+    sides = reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES).select(
+        "subreddit", F.expr(FIXED_CLUSTER).alias("cluster"))
+    vectors = rounded(scaled).withColumn("km_features", array_to_vector(F.array(*columns))).select("subreddit", "km_features")
+    value = models.ForumClusters(vectors.join(sides, "subreddit")).silhouette()
+    rows = vectors.groupBy().agg(F.lit(value).cast("double").alias("silhouette"))
+    return rounded(rows.where("silhouette is not null"), 4)
+
+
 @query("m13_cluster_features")
 def cluster_features(spark, sf_dir):
     return _forums(spark, sf_dir).assigned.select(
@@ -172,11 +328,7 @@ def cluster_summary(spark, sf_dir):
 
 @query("m16_model_summary")
 def model_summary(spark, sf_dir):
-    fitted = _models(spark, sf_dir)
-    return models.model_summary(
-        models.classification_metrics(fitted.classified()),
-        models.regression_metrics(fitted.regressed()),
-        _forums(spark, sf_dir).silhouette())
+    return models.model_summary(_models(spark, sf_dir), _forums(spark, sf_dir))
 
 
 @query("m17_metric_tables")

@@ -76,13 +76,24 @@ def result_csv(spark, sf_dir):
     return spark.read.schema("subreddit string, post_count long").option("header", True).csv(path)
 
 
+NULLABLE = "CAST(true AS BOOLEAN)"  # columns read from files may lack values
+
+
 @query("s07_schema_report", f"WITH {sql.POSTS} " + " UNION ALL ".join(
     f"SELECT CAST({i} AS INTEGER) AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, "
-    f"count(*) FILTER (WHERE {f.name} IS NULL) AS null_rows FROM posts" for i, f in enumerate(POSTS_SCHEMA.fields)))
+    f"{NULLABLE} AS nullable" for i, f in enumerate(POSTS_SCHEMA.fields)))
 def schema_report(spark, sf_dir):
     return tables.schema_report(fixtures.posts(spark, sf_dir))
 
 
+@query("s07_null_counts", f"WITH {sql.POSTS} " + " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, "
+    f"{NULLABLE} AS nullable, count(*) FILTER (WHERE {f.name} IS NULL) AS null_rows FROM posts"
+    for i, f in enumerate(POSTS_SCHEMA.fields)))
+def null_counts(spark, sf_dir):
+    return tables.schema_report(fixtures.posts(spark, sf_dir), count_nulls=True)
+
+
 @query("s08_partition_coverage_posts", f"WITH {sql.POSTS} SELECT DISTINCT yyyy, mm FROM posts")
 def coverage_posts(spark, sf_dir):
     return tables.partition_coverage(fixtures.posts(spark, sf_dir))

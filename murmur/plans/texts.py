@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import math
+
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.words import ENGLISH_STOP_WORDS
@@ -96,8 +98,12 @@ def _period_terms(spark: SparkSession, sf_dir: str):
     return keywords.term_counts(tagged_posts(spark, sf_dir), "title", keywords.period_groups(CALENDAR))
 
 
+def _leading_period_terms(spark: SparkSession, sf_dir: str):
+    return keywords.leading_term_counts(tagged_posts(spark, sf_dir), "title", keywords.period_groups(CALENDAR))
+
+
 def _entity_terms(spark: SparkSession, sf_dir: str):
-    return keywords.term_counts(tagged_posts(spark, sf_dir), "title", keywords.entity_groups(ENTITIES))
+    return keywords.leading_term_counts(tagged_posts(spark, sf_dir), "title", keywords.entity_groups(ENTITIES))
 
 
 @query("n03_period_terms", f"""{sql.TAGGED_POSTS}, {sql.terms(sql.PERIOD_GROUPS)} SELECT term, {", ".join(
@@ -110,12 +116,12 @@ def period_terms(spark, sf_dir):
 @query("n04_tfidf_by_period", f"""{sql.TAGGED_POSTS}, {sql.terms(sql.PERIOD_GROUPS)}
 SELECT "group", term, tf, CAST(df AS INTEGER) AS df, round(tfidf, 6) AS tfidf FROM tfidf""")
 def tfidf_by_period(spark, sf_dir):
-    return rounded(keywords.tfidf(_period_terms(spark, sf_dir)))
+    return rounded(keywords.tfidf(_leading_period_terms(spark, sf_dir)))
 
 
 @query("n05_top_keywords", f"{sql.TAGGED_POSTS}, {sql.terms(sql.PERIOD_GROUPS)} {sql.TOP_KEYWORDS}")
 def top_keywords(spark, sf_dir):
-    return keywords.top_keywords(keywords.tfidf(_period_terms(spark, sf_dir)))
+    return keywords.top_keywords(keywords.tfidf(_leading_period_terms(spark, sf_dir)))
 
 
 @query("x03_top_keywords_by_entity", f"{sql.TAGGED_POSTS}, {sql.terms(sql.ENTITY_GROUPS)} {sql.TOP_KEYWORDS}")
@@ -127,6 +133,12 @@ def _tokens(spark: SparkSession, sf_dir: str):
     return topics.tokenise(fixtures.comments(spark, sf_dir), "body", "comment_id", stop_words=STOP_WORDS)
 
 
+@query("n06_tokens", f"""WITH {sql.COMMENTS}, {sql.TOKENS}
+SELECT comment_id, array_to_string(tokens, ' ') AS tokens FROM tokens""")
+def tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("comment_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query("n06_token_counts", f"WITH {sql.COMMENTS}, {sql.TOKENS} SELECT comment_id, len(tokens) AS tokens FROM tokens")
 def token_counts(spark, sf_dir):
     return _tokens(spark, sf_dir).select("comment_id", F.size("tokens").cast("long").alias("tokens"))
@@ -155,6 +167,67 @@ def count_vectors(spark, sf_dir):
     return _topics(spark, sf_dir).texts.select("comment_id", F.col("features").cast("string").alias("features"))
 
 
+CELLS = f"""{sql.TOKENS}, vocabulary AS (
+  SELECT term, CAST(row_number() OVER (ORDER BY tf DESC, term) - 1 AS INTEGER) AS slot FROM token_counts WHERE df >= 5
+  QUALIFY row_number() OVER (ORDER BY tf DESC, term) <= 3000),
+cells AS (SELECT comment_id, slot, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT comment_id, unnest(tokens) AS term FROM tokens) JOIN vocabulary USING (term) GROUP BY comment_id, slot)"""
+VOCABULARY = f"WITH {sql.COMMENTS}, {CELLS}"
+
+
+@query("n07_vector_cells", f"{VOCABULARY} SELECT comment_id, slot, n FROM cells")
+def vector_cells(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    cells = _topics(spark, sf_dir).texts.select("comment_id", F.posexplode(vector_to_array("features")).alias("slot", "n"))
+    return cells.where("n > 0")
+
+
+@query("n08_fit_beats_chance", f"{VOCABULARY} SELECT count(DISTINCT comment_id) AS texts, true AS better FROM cells")
+def fit_beats_chance(spark, sf_dir):
+    """Whether the fitted topics explain the words better than a vocabulary of equal words."""
+    from pyspark.ml.functions import vector_to_array
+    fitted = _topics(spark, sf_dir)
+    words = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, b: a + b)
+    sizes = fitted.texts.agg(F.count_if(words > 0).alias("texts"), F.sum(words).alias("words"))
+    chance = F.col("words") * F.lit(-math.log(len(fitted.vocabulary)))
+    return sizes.select("texts", (F.lit(float(fitted.model.logLikelihood(fitted.texts))) > chance).alias("better"))
+
+
+@query("n09_perplexity_of_likelihood", "SELECT true AS agrees")
+def perplexity_of_likelihood(spark, sf_dir):
+    """Whether the perplexity reported is the one that Spark's own evaluation gives."""
+    fitted = _topics(spark, sf_dir)
+    value = {r.metric: r.value for r in fitted.quality().collect()}["log_perplexity"]
+    own = fitted.model.logPerplexity(fitted.texts)
+    return fitted.texts.groupBy().agg(F.lit(abs(own - value) < 1e-6 * abs(own)).alias("agrees"))
+
+
+@query("n10_weights_ordered", f"""{VOCABULARY}, slots AS (SELECT least(count(*), 10) AS n FROM vocabulary)
+SELECT CAST(t AS INTEGER) AS topic, n AS words, true AS ordered, true AS known FROM slots, range(6) r(t)""")
+def weights_ordered(spark, sf_dir):
+    fitted = _topics(spark, sf_dir)
+    words = fitted.topic_words().withColumn("later", F.lead("weight").over(Window.partitionBy("topic").orderBy("position")))
+    return words.groupBy("topic").agg(
+        F.count("*").alias("words"), F.min(F.coalesce(F.col("weight") >= F.col("later"), F.lit(True))).alias("ordered"),
+        F.min(F.array_contains(F.lit(fitted.vocabulary), F.col("word"))).alias("known"))
+
+
+@query("n11_mixtures_sum_to_one", f"""{VOCABULARY} SELECT comment_id, comment_id IN (SELECT comment_id FROM cells) AS whole
+FROM tokens""")
+def mixtures_sum_to_one(spark, sf_dir):
+    """A text's weights sum to one if it has a vocabulary word, else to nothing."""
+    from pyspark.ml.functions import vector_to_array
+    total = F.aggregate(vector_to_array("topic_dist"), F.lit(0.0), lambda a, b: a + b)
+    return _topics(spark, sf_dir).mixtures().select("comment_id", (F.abs(total - 1) < 1e-9).alias("whole"))
+
+
+@query("x04_texts_by_period", f"""{sql.TAGGED_COMMENTS}, {CELLS}
+SELECT event_period, CAST(t AS INTEGER) AS topic, count(*) AS texts FROM tagged, range(6) r(t)
+WHERE comment_id IN (SELECT comment_id FROM cells) GROUP BY event_period, t""")
+def texts_by_period(spark, sf_dir):
+    return topics.topic_mix(_topics(spark, sf_dir).mixtures()).select("event_period", "topic", "texts")
+
+
 @query("n08_topic_fit")
 def topic_fit(spark, sf_dir):
     fitted = _topics(spark, sf_dir)

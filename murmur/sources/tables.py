@@ -18,6 +18,14 @@ class SchemaMismatch(ValueError):
     """A table lacks a column an operator needs, or holds it under another type."""
 
 
+def require_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Fail, when the rows are read, on a row that lacks one of the keys; no pass of its own is made."""
+    def checked(key: str) -> Column:
+        fault = F.raise_error(F.lit(f"{key} is missing")).cast(df.schema[key].dataType)
+        return F.coalesce(F.col(key), fault).alias(key)
+    return df.select(*(checked(c) if c in keys else F.col(f"`{c}`") for c in df.columns))
+
+
 def require_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
     actual = {f.name: f.dataType for f in df.schema.fields}
     wrong = [
@@ -32,7 +40,7 @@ def require_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
 
 
 def partition_predicate(periods: Iterable[Period]) -> Column:
-    """The (yyyy, mm) partitions that can hold rows of any of the periods."""
+    """The (yyyy, mm) partitions that can hold rows of any of the periods; none without a period."""
     by_year: dict[int, set[int]] = {}
     for period in periods:
         for year, month in period.months():
@@ -40,6 +48,7 @@ def partition_predicate(periods: Iterable[Period]) -> Column:
     return reduce(
         lambda a, b: a | b,
         ((F.col("yyyy") == y) & F.col("mm").isin(sorted(months)) for y, months in sorted(by_year.items())),
+        F.lit(False),
     )
 
 
@@ -60,16 +69,26 @@ def only_partitions(
     return df
 
 
-def conform(df: DataFrame, schema: T.StructType, columns: Mapping[str, str | Column] | None = None) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, columns: Mapping[str, str | Column] | None = None,
+            keys: Sequence[str] = ("post_id", "comment_id")) -> DataFrame:
     """Bring a raw table to a canonical schema.
 
     ``columns`` says where a canonical column comes from if not from the column
     of the same name, as in ``{"author_id": F.xxhash64("author")}``. Other
-    columns are left out; values that do not fit the type become NULL.
+    columns are left out; values that do not fit the type become NULL, but for those of ``keys``: a key that is there
+    and does not fit fails the read, as it would otherwise be lost without a word.
     """
     sources = {name: F.col(c) if isinstance(c, str) else c for name, c in (columns or {}).items()}
-    return df.select(*(
-        sources.get(f.name, F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields))
+
+    def fitted(field: T.StructField) -> Column:
+        source = sources.get(field.name, F.col(field.name))
+        value = source.try_cast(field.dataType)
+        if field.name in keys:
+            fault = F.raise_error(F.concat(F.lit(f"{field.name} does not fit: "), source.cast("string"))).cast(field.dataType)
+            value = F.when(source.isNotNull() & value.isNull(), fault).otherwise(value)
+        return value.alias(field.name)
+
+    return df.select(*map(fitted, schema.fields))
 
 
 def _load(spark, path, schema, years, months, periods, columns) -> DataFrame:
@@ -99,7 +118,8 @@ def save_partitioned(
     By default every task writes what it holds, without a shuffle. With
     ``rebalance`` rows are first gathered by partition value, which bounds the
     number of files; a partition far larger than the rest is split over several
-    tasks by adaptive execution rather than sent to one.
+    tasks by adaptive execution rather than sent to one. Ask for it after a filter that drops most rows, or every
+    input split leaves a tiny file.
     """
     if rebalance and partition_by:
         df = df.hint("rebalance", *partition_by)
@@ -132,19 +152,24 @@ def save_result_csv(df: DataFrame, path: str, order_by: Sequence[str | Column] =
     return path
 
 
-def schema_report(df: DataFrame) -> DataFrame:
-    """One row per column: position, name, type, and how many rows lack a value."""
-    nulls = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
+def schema_report(df: DataFrame, count_nulls: bool = False) -> DataFrame:
+    """One row per column: position, name, type and whether it may lack a value, from the schema alone.
+
+    ``count_nulls`` adds ``null_rows``, how many rows lack it, which reads all of the data.
+    """
     entries = [
         F.struct(
             F.lit(i).alias("position"),
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
-            F.col(f.name).alias("null_rows"),
+            F.lit(f.nullable).alias("nullable"),
+            *([F.col(f.name).alias("null_rows")] if count_nulls else []),
         )
         for i, f in enumerate(df.schema.fields)
     ]
-    return nulls.select(F.inline(F.array(*entries)))
+    counts = [F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
+    source = df.agg(*counts) if count_nulls else df.sparkSession.range(1)
+    return source.select(F.inline(F.array(*entries)))
 
 
 def partition_coverage(df: DataFrame, keys: Sequence[str] = PARTITIONS) -> DataFrame:

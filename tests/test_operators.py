@@ -150,9 +150,55 @@ def test_result_csv_is_one_ordered_file(spark):
     assert files.select(F.input_file_name()).distinct().count() == 1
 
 
-def test_schema_report_counts_nulls(spark):
-    df = spark.createDataFrame([(1, None), (2, "x")], "a long, b string")
-    assert rows(tables.schema_report(df)) == [(0, "a", "bigint", 0), (1, "b", "string", 1)]
+def test_schema_report_reads_no_rows_unless_asked(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a long not null, b string")
+    assert rows(tables.schema_report(df)) == [(0, "a", "bigint", False), (1, "b", "string", True)]
+    assert rows(tables.schema_report(df, count_nulls=True)) == [(0, "a", "bigint", False, 0), (1, "b", "string", True, 1)]
+    assert "FileScan" not in plan(tables.schema_report(fixtures.posts(spark, SF)))
+
+
+def test_unfit_and_missing_keys_fail(spark):
+    raw = spark.createDataFrame([("x1", "a"), ("2", None)], "post_id string, title string")
+    schema = POSTS_SCHEMA.fields[0]
+    from pyspark.sql import types as T
+    narrow = T.StructType([schema, T.StructField("title", T.StringType())])
+    with pytest.raises(Exception, match="does not fit: x1"):
+        tables.conform(raw, narrow).collect()
+    assert rows(tables.conform(raw, narrow, keys=())) == [(None, "a"), (2, None)]
+    with pytest.raises(Exception, match="title is missing"):
+        tables.require_keys(raw, "post_id", "title").collect()
+    assert rows(tables.require_keys(raw, "post_id")) == [("x1", "a"), ("2", None)]
+
+
+def test_nothing_asked_for_gives_nothing(spark):
+    posts = fixtures.posts(spark, SF)
+    assert tables.only_partitions(posts, periods=[]).count() == 0
+    none = features.add_mentions(posts, "title", [])
+    assert none.where("mentions_any").count() == 0 and features.explode_entities(none, []).count() == 0
+    assert keywords.term_counts(posts, "title", {}).count() == 0
+    assert features.discover_forums(posts, []).count() == 0
+    odd = spark.createDataFrame([("c++",), ("cc",)], "subreddit string")
+    assert [r.subreddit for r in features.discover_forums(odd, ["c++"]).collect()] == ["c++"]
+
+
+def test_presets_run_over_a_literal_frame(spark):
+    from murmur import presets
+    at = int(presets.CRICKET_CALENDAR.periods[0].start.timestamp()) + 86_400
+    df = spark.createDataFrame(
+        [(i, forum, f"{entity.terms[0]} great innings great", 10 * i, i, i, at, 2023, 11)
+         for i, (forum, entity) in enumerate(zip(presets.CRICKET_TOPIC.forums, presets.CRICKET_ENTITIES * 9))],
+        POSTS_SCHEMA)
+    topical = features.filter_topic(df, presets.CRICKET_TOPIC)
+    tagged = features.tag(topical, "title", presets.CRICKET_ENTITIES, presets.CRICKET_CALENDAR)
+    n = topical.count()
+    assert n == df.count() > 0
+    engaged = reactions.engagement_by_entity(tagged, presets.CRICKET_ENTITIES).collect()
+    assert {r.player for r in engaged} == {e.name for e in presets.CRICKET_ENTITIES[:n]}
+    assert sum(r.posts for r in reactions.engagement_by_period(tagged, presets.CRICKET_CALENDAR).collect()) == n
+    reactions.head_to_head(tagged, presets.CRICKET_HEAD_TO_HEAD).collect()
+    assert features.discover_forums(df, presets.CRICKET_KEYWORDS).count() > 0
+    words = topics.tokenise(df, "title", "post_id", stop_words=[*ENGLISH_STOP_WORDS, *presets.CRICKET_STOP_WORDS])
+    assert words.count() == n
 
 
 def test_fixtures_follow_the_canonical_schemas(spark):
@@ -229,6 +275,50 @@ def test_exact_quantile_with_more_values_than_buckets(spark):
     assert models.exact_quantile(df, "score", 0.75) == pytest.approx(statistics.quantiles(values, n=4, method="inclusive")[2])
 
 
+@pytest.mark.parametrize("values", [
+    [1, 2, 3, 4, math.inf], [1, 2, 3, 4, math.nan], [-1.7e308, 1, 2, 3, 1.7e308], [-math.inf, -math.inf, 0, 1, math.inf],
+    [math.nan] * 3, [-math.inf], [5e-324, 1e-323, 0.0, 2e-323], [1.7e308, 1.6e308, -1.7e308]])
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.6, 1.0])
+def test_exact_quantile_of_odd_doubles(spark, values, p):
+    df = spark.createDataFrame([(float(v),) for v in values], "score double")
+    known = sorted(map(float, values), key=lambda v: (math.isnan(v), v))
+    rank = p * (len(known) - 1)
+    low, high = known[math.floor(rank)], known[math.ceil(rank)]
+    share = rank - math.floor(rank)
+    want = low if low == high or not share else low * (1 - share) + high * share
+    assert models.exact_quantile(df, "score", p) == pytest.approx(want, nan_ok=True)
+
+
+def test_exact_quantile_of_large_whole_numbers(spark):
+    df = spark.createDataFrame([(9007199254740993,), (9007199254740993,), (-2**63,), (2**63 - 1,)], "score long")
+    assert models.exact_quantile(df, "score", 1 / 3) == 9007199254740993
+    assert [models.exact_quantile(df, "score", p) for p in (0.0, 1.0)] == [-2**63, 2**63 - 1]
+    many = spark.range(5000).selectExpr("9007199254740993 + id AS score")
+    assert models.exact_quantile(many, "score", 1.0) == 9007199254740993 + 4999
+
+
+def test_leading_terms_equal_the_unpruned_form(spark):
+    random.seed(5)
+    texts = [(" ".join(f"w{int(random.paretovariate(0.7)) % 60:02d}" for _ in range(random.randint(0, 30))), i % 2 == 0, i % 3 == 0)
+             for i in range(300)]
+    df = spark.createDataFrame([*texts, (None, True, True)], "title string, one boolean, two boolean")
+    groups = {"one": F.col("one"), "two": F.col("two")}
+    for top, min_df in ((5, 1), (40, 2), (10_000, 1)):
+        full = keywords.tfidf(keywords.term_counts(df, "title", groups), top, min_df)
+        lean = keywords.leading_term_counts(df, "title", groups, max_features=top, min_df=min_df)
+        assert sorted(rows(keywords.tfidf(lean, top, min_df))) == sorted(rows(full))
+    assert keywords.leading_term_counts(df, "title", groups, max_features=5).count() < keywords.term_counts(df, "title", groups).count()
+
+
+def test_no_forum_gives_an_empty_typed_result(spark):
+    profile = reactions.forum_profile(tagged_posts(spark, SF), ENTITIES, min_posts=10_000)
+    clusters = models.cluster_forums(profile, ENTITIES)
+    assert clusters.silhouette() is None
+    assert clusters.table().count() == clusters.summary().count() == 0
+    some = models.cluster_forums(reactions.forum_profile(tagged_posts(spark, SF), ENTITIES, min_posts=5), ENTITIES)
+    assert dict(clusters.assigned.dtypes) == dict(some.assigned.dtypes)
+
+
 def test_quantile_of_nothing(spark):
     empty = spark.createDataFrame([], "score double")
     assert models.exact_quantile(empty, "score", 0.75) is None
@@ -286,14 +376,14 @@ def test_single_scan_and_no_python_in_plans(spark):
 def test_sentiment_tokens_are_combined_before_the_shuffle(spark):
     text = plan(scored_posts(spark, SF))
     assert "partial_sum(_v" in text
-    generate = next(line for line in text.splitlines() if "Generate explode" in line)
+    generate = next(line for line in text.splitlines() if "Generate posexplode(_near" in line)
     assert "_tokens" not in generate
     assert text.count("BroadcastHashJoin [_") == 4
 
 
 def test_filters_reach_the_texts_before_they_are_split(spark):
     text = plan(sentiment.sentiment_by_entity(scored_posts(spark, SF), ENTITIES))
-    below = text[text.index("Generate explode(_near"):]
+    below = text[text.index("Generate posexplode(_near"):]
     assert re.search(r"Filter \(.*Contains\(lower\(text", below)
 
 
