@@ -32,6 +32,9 @@ from murmur.llm import textops
 from murmur.llm.components import components
 
 
+_LOOK_BACK = 16  # how many of a set's rarer values a row of its lists carries, only to spare repeated pairs
+
+
 @dataclass(frozen=True)
 class Settings:
     """``percent``: link sets with 100 * intersection >= percent * union."""
@@ -215,14 +218,18 @@ def _rest(led: DataFrame, found: DataFrame, sets: DataFrame, settings: Settings)
     if members.where("open").isEmpty():
         return None
     values = _values(sets.join(broadcast_if_small(members.select("doc")), "doc", "left_semi"))
-    lists = stage(_prefix(values, settings.percent / 100).join(members, "doc"), "whole_lists")
-    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("doc", "at", "kept", "place")]
+    lists = _prefix(values, settings.percent / 100)
+    earlier = W.partitionBy("doc").orderBy("place").rowsBetween(-_LOOK_BACK, -1)
+    lists = stage(lists.withColumn("before", F.collect_list("value").over(earlier)).join(members, "doc"), "whole_lists")
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("doc", "at", "kept", "place", "before", "open")]
     mine = lists.where("open").select("value", *side("x"))
     others = lists.select("value", *side("y"))
     # of two sets, the first value they share leaves this many that can be shared; fewer can't make a link
     most = 1 + F.least(F.col("x_kept") - F.col("x_place"), F.col("y_kept") - F.col("y_place"))
     enough = (100 + settings.percent) * most >= settings.percent * (F.col("x_kept") + F.col("y_kept"))
-    pairs = mine.join(others, "value").where((F.col("x_at") != F.col("y_at")) & enough).select(
+    # two open classes meet once, and a pair not again where it has met in a list just before
+    once = (~F.col("y_open") | (F.col("x_doc") > F.col("y_doc"))) & ~F.arrays_overlap("x_before", "y_before")
+    pairs = mine.join(others, "value").where((F.col("x_at") != F.col("y_at")) & enough & once).select(
         F.greatest("x_doc", "y_doc").alias("a"), F.least("x_doc", "y_doc").alias("b")).distinct()
     return stage(_verified(pairs, sets, settings), "rest")
 
