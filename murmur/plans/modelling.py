@@ -45,8 +45,14 @@ _engagement: dict[tuple[str, str], models.EngagementModels] = {}
 _clusters: dict[tuple[str, str], models.ForumClusters] = {}
 
 
+def forget() -> None:
+    """Drop fitted models, for a table that has changed or a timing that must include the fit."""
+    _engagement.clear()
+    _clusters.clear()
+
+
 def _models(spark: SparkSession, sf_dir: str) -> models.EngagementModels:
-    """One fit per session and data set, shared by the queries that read the models."""
+    """One fit per session and data set, shared by the queries that read the models until ``forget``."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _engagement:
         _engagement[at] = models.fit_engagement_models(_features(spark, sf_dir), ENTITIES)

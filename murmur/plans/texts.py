@@ -153,8 +153,13 @@ def vocabulary(spark, sf_dir):
 _fitted: dict[tuple[str, str], topics.TopicModel] = {}
 
 
+def forget() -> None:
+    """Drop fitted topics."""
+    _fitted.clear()
+
+
 def _topics(spark: SparkSession, sf_dir: str) -> topics.TopicModel:
-    """One fit per session and data set, shared by the queries that read the model."""
+    """One fit per session and data set, shared by the queries that read the model until ``forget``."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _fitted:
         _fitted[at] = topics.fit_topics(
