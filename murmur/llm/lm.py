@@ -195,7 +195,7 @@ def _scored(chunks: DataFrame, answers: DataFrame, total: int, key_col: str, key
         return pa.table([
             pa.array(row["keys"], chunk.schema.field("keys").type.value_type), pa.array(counts),
             pa.array(np.bincount(owner, backoffs, len(counts)).astype(np.int64)),
-            pa.array(np.bincount(owner, log, len(counts)))], names=schema.names)
+            pa.array(np.bincount(owner, log, len(counts)).astype(float))], names=schema.names)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema)
 
