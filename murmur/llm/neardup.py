@@ -32,6 +32,7 @@ from murmur.llm import textops
 from murmur.llm.components import components
 
 
+_WORDS = 16  # 64-bit words of a set's parity bits
 _LOOK_BACK = 16  # how many of a set's rarer values a row of its lists carries, only to spare repeated pairs
 
 
@@ -206,7 +207,8 @@ def _rest(led: DataFrame, found: DataFrame, sets: DataFrame, settings: Settings)
     long lists. Open classes meet the classes of all long lists, of other components,
     in the inverted lists of whole sets: a link of the wanted similarity shares one of
     the rarest shingles of either, as many as the similarity lets differ plus one. A text that
-    only quotes what many quote has too many shingles of its own to enter a list.
+    only quotes what many quote has too many shingles of its own to enter a list. Sets whose
+    parity bits differ in more places than linked sets may differ in shingles give no pair.
     """
     reached = components(found)
     named = led.select("doc", F.col("leaders")[0].alias("leader"))
@@ -217,19 +219,25 @@ def _rest(led: DataFrame, found: DataFrame, sets: DataFrame, settings: Settings)
                     "members")
     if members.where("open").isEmpty():
         return None
-    values = _values(sets.join(broadcast_if_small(members.select("doc")), "doc", "left_semi"))
-    lists = _prefix(values, settings.percent / 100)
+    concerned = sets.join(broadcast_if_small(members.select("doc")), "doc", "left_semi")
+    lists = _prefix(_values(concerned), settings.percent / 100)
     earlier = W.partitionBy("doc").orderBy("place").rowsBetween(-_LOOK_BACK, -1)
-    lists = stage(lists.withColumn("before", F.collect_list("value").over(earlier)).join(members, "doc"), "whole_lists")
-    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("doc", "at", "kept", "place", "before", "open")]
+    lists = stage(lists.withColumn("before", F.collect_list("value").over(earlier)).join(
+        members.join(_parity(concerned), "doc"), "doc"), "whole_lists")
+    carried = ["doc", "at", "kept", "place", "before", "open", *(f"bits{i}" for i in range(_WORDS))]
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in carried]
     mine = lists.where("open").select("value", *side("x"))
     others = lists.select("value", *side("y"))
     # of two sets, the first value they share leaves this many that can be shared; fewer can't make a link
     most = 1 + F.least(F.col("x_kept") - F.col("x_place"), F.col("y_kept") - F.col("y_place"))
-    enough = (100 + settings.percent) * most >= settings.percent * (F.col("x_kept") + F.col("y_kept"))
+    both = F.col("x_kept") + F.col("y_kept")
+    enough = (100 + settings.percent) * most >= settings.percent * both
+    apart_by = sum((F.bit_count(F.col(f"x_bits{i}").bitwiseXOR(F.col(f"y_bits{i}"))) for i in range(1, _WORDS)),
+                   F.bit_count(F.col("x_bits0").bitwiseXOR(F.col("y_bits0"))))
+    near = (100 + settings.percent) * apart_by <= (100 - settings.percent) * both
     # two open classes meet once, and a pair not again where it has met in a list just before
     once = (~F.col("y_open") | (F.col("x_doc") > F.col("y_doc"))) & ~F.arrays_overlap("x_before", "y_before")
-    pairs = mine.join(others, "value").where((F.col("x_at") != F.col("y_at")) & enough & once).select(
+    pairs = mine.join(others, "value").where((F.col("x_at") != F.col("y_at")) & enough & near & once).select(
         F.greatest("x_doc", "y_doc").alias("a"), F.least("x_doc", "y_doc").alias("b")).distinct()
     return stage(_verified(pairs, sets, settings), "rest")
 
@@ -250,6 +258,28 @@ def _values(sets: DataFrame) -> DataFrame:
     return textops.map_arrow(sets.select("doc", "items"), run, schema)
 
 
+def _parity(sets: DataFrame) -> DataFrame:
+    """Whether an odd number of a set's values falls to each of 64 * ``_WORDS`` places, as columns of bits.
+
+    Values of both sets cancel out, so two sets' bits differ in no more places than the sets in values.
+    """
+    names = [f"bits{i}" for i in range(_WORDS)]
+    schema = T.StructType([sets.schema["doc"], *(T.StructField(n, T.LongType()) for n in names)])
+    places = np.uint64(64 * _WORDS - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.zeros((batch.num_rows, _WORDS), np.int64)
+            for i, items in enumerate(batch.column(1)):
+                at = (np.frombuffer(items.as_buffer(), np.uint64) & places).astype(np.int64)
+                odd = (np.bincount(at, minlength=64 * _WORDS) & 1).astype(np.uint8)
+                rows[i] = np.packbits(odd).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(_WORDS))], names=schema.names)
+
+    return textops.map_arrow(sets.select("doc", "items"), run, schema)
+
+
 def groups(df: DataFrame, settings: Settings = Settings(), key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate group of every row.
 
