@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from murmur.llm import components, neardup
 
@@ -91,6 +92,21 @@ def test_null_and_repeated_keys_and_empty_tables(spark):
     assert neardup.groups(df.limit(0)).count() == 0
 
 
+def test_parity_bits_differ_in_no_more_places_than_the_sets(spark):
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 40, 40, 3000)]
+    sets += [np.unique(np.concatenate([sets[2][5:], sets[3][:k]])) for k in (0, 3)]
+    frame = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "doc long, items binary")
+    bits = {b[0]: [x & (1 << 64) - 1 for x in b[1:]] for b in neardup._parity(frame).collect()}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            places = sum((a ^ b).bit_count() for a, b in zip(bits[i], bits[j], strict=True))
+            differ = len(np.setxor1d(x, y))
+            assert places <= differ and places % 2 == differ % 2
+            if differ <= 80:  # collisions hide few of so few
+                assert places >= differ - 24
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(8, 30)] + [(3, 3), (50, 51), (51, 50)]
     df = spark.createDataFrame(edges, "a long, b long")
