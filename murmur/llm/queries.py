@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions.scale import scratch_path
-from murmur.llm import bpe, decontaminate, html, langid, lm, neardup, quality, sharding, tokenfiles, urls
+from murmur.llm import bpe, decontaminate, fim, html, langid, lm, neardup, quality, sharding, tokenfiles, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -228,3 +228,41 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(documents.where(~langid.held_out(F.col("doc_id"))))
     predicted = langid.predict(documents, model)
     return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+OP11_SQL = r"""
+with t as (
+  select doc_id, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+    sha256('42:' || doc_id::varchar) as hex
+  from documents),
+h as (
+  select doc_id, text, units, len(units)::bigint as n,
+    ('0x' || hex[1:8])::bigint as h1, ('0x' || hex[9:16])::bigint as h2,
+    ('0x' || hex[17:24])::bigint as h3, ('0x' || hex[25:32])::bigint as h4
+  from t),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50
+         then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from h),
+p as (
+  select doc_id, n, form, text, array_to_string(units[1:a], '') as prefix,
+    array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix
+  from c)
+select doc_id, n, form,
+  case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
