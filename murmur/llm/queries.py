@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions.scale import scratch_path
-from murmur.llm import bpe, decontaminate, fim, html, langid, lm, neardup, quality, sharding, tokenfiles, urls
+from murmur.llm import bpe, contentsort, decontaminate, fim, html, langid, lm, neardup, quality, sharding, tokenfiles, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -266,3 +266,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+with t as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+       doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
+from t window same as (partition by text)
+"""
+
+
+@query("op13_exact_dedup", OP13_SQL)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contentsort.classes(table(spark, sf_dir, "documents"), keep="largest")
