@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions.scale import scratch_path
-from murmur.llm import bpe, contentsort, decontaminate, fim, html, langid, lm, neardup, quality, sharding, tokenfiles, urls
+from murmur.llm import bpe, centroids, contentsort, decontaminate, fim, html, langid, lm, neardup, quality, sharding, tokenfiles, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -268,6 +268,41 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(fim.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
 
 
+def _op12_sql(k: int, rounds: int) -> str:
+    """The rounds written out one after another."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+  select v.vec_id, v.q, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+  from v cross join c{r} c qualify row_number() over (partition by v.vec_id order by d, c.c) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} as (select c, i, sum(x)::bigint as s, count(*) as n
+  from (select c, unnest(q) as x, unnest(range(1, 65)) as i from a{r}) group by c, i),
+c{r + 1} as materialized (
+  select c{r}.c, coalesce(f.q, c{r}.q) as q from c{r}
+  left join (select c, list((s - ((s % n) + n) % n) // n order by i) as q from m{r} group by c) f using (c))""")
+    return f"""
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as q
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (
+  select row_number() over (order by sha256('3:' || vec_id::varchar)) - 1 as c, q from v qualify c < {k}),{",".join(steps)}
+select a.vec_id, a.c::int as cluster, a.d as distance, sum(a.d) over (partition by a.c)::bigint as cluster_inertia,
+  sum(a.d) over ()::bigint as inertia, sha256(array_to_string(f.q, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} f using (c)
+"""
+
+
+OP12_SETTINGS = centroids.Settings(k=8, rounds=10)
+
+
+@query("op12_centroid_clustering", _op12_sql(OP12_SETTINGS.k, OP12_SETTINGS.rounds))
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), OP12_SETTINGS)
+
+
 OP13_SQL = """
 with t as (select doc_id, coalesce(text, '') as text from documents)
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
