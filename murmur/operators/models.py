@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmur.functions.scale import stage, steady
+from murmur.functions.scale import broadcast_if_small, stage, steady
 from murmur.operators.features import flags_to_int, threshold_label
 from murmur.operators.reactions import hash_sample
 from murmur.specs import EntityPattern
@@ -26,6 +26,7 @@ TIME_FEATURES = ["hour_of_day", "day_of_week", "month_num"]
 CATEGORIES = ["subreddit", "event_period"]
 LABEL = "high_engagement"
 BUCKETS = 1024
+SLOTS = 1024
 
 
 # Features, labels and split
@@ -147,6 +148,59 @@ def quantile(df: DataFrame, column: str, probability: float, exact: bool = True,
     return found[0] if found else None
 
 
+def _sketch_kind(df: DataFrame, column: str) -> str:
+    whole = isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return "bigint" if whole else "double"
+
+
+def quantile_sketches(df: DataFrame, column: str, by: Sequence[str], k: int = 200) -> DataFrame:
+    """A mergeable quantile sketch of a column for each group: ``by``, ``rows``, ``sketch``.
+
+    The sketches are Spark's KLL aggregates, a few hundred times ``k`` bytes each whatever the group's size, so they can be
+    saved for each partition and put together later by ``merged_sketches``. Every task sends one for
+    each group it has seen. NULLs do not count, nor does NaN; groups without a value have no row.
+    A sketch of no more than ``k`` rows is exact; of more, ranks are off by about ``2.3 / k`` of the rows.
+    """
+    kind = _sketch_kind(df, column)
+    value = F.col(column).cast("long") if kind == "bigint" else F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    aggregate = F.kll_sketch_agg_bigint if kind == "bigint" else F.kll_sketch_agg_double
+    known = df.select(*by, value.alias("_value")).where(F.col("_value").isNotNull())
+    return known.groupBy(*by).agg(F.count("*").alias("rows"), aggregate("_value", k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str], k: int = 200, kind: str = "bigint") -> DataFrame:
+    """Sketches of larger groups from those of their parts; ``kind`` is bigint for whole numbers, else double."""
+    merge = F.kll_merge_agg_bigint if kind == "bigint" else F.kll_merge_agg_double
+    return sketches.groupBy(*by).agg(F.sum("rows").alias("rows"), merge("sketch", k).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, probabilities: Sequence[float], kind: str = "bigint") -> DataFrame:
+    """One row for each group and probability: the least value that at least that share of the rows does not exceed,
+    as far as the sketch knows."""
+    read = F.kll_sketch_get_quantile_bigint if kind == "bigint" else F.kll_sketch_get_quantile_double
+    others = [c for c in sketches.columns if c != "sketch"]
+    cells = F.array(*(F.struct(F.lit(p).alias("probability"), read("sketch", F.lit(float(p))).alias("value")) for p in probabilities))
+    return sketches.select(*others, F.inline(cells))
+
+
+def rank_errors(df: DataFrame, column: str, by: Sequence[str], quantiles: DataFrame) -> DataFrame:
+    """How far each quantile lies from its exact rank, as a share of the group's rows: ``quantiles`` with ``error``.
+
+    A value stands for all ranks from the share of rows below it to the share of rows up to it; the error is the distance
+    from the probability to that span. One pass over the rows, whose counts are summed in each task first.
+    """
+    wanted = quantiles.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("probability", "value"))).alias("_wanted"))
+    value = F.col(column).cast(quantiles.schema["value"].dataType)
+    known = df.select(*by, value.alias("_value")).where(F.col("_value").isNotNull())
+    pairs = known.join(broadcast_if_small(wanted), list(by)).select(*by, "_value", F.inline("_wanted"))
+    counted = pairs.groupBy(*by, "probability", "value").agg(
+        F.count_if(F.col("_value") < F.col("value")).alias("_below"), F.count_if(F.col("_value") <= F.col("value")).alias("_upto"),
+        F.count("*").alias("_all"))
+    p, low, high = F.col("probability"), F.col("_below") / F.col("_all"), F.col("_upto") / F.col("_all")
+    errors = counted.select(*by, "probability", F.greatest(F.lit(0.0), low - p, p - high).alias("error"))
+    return quantiles.join(errors, [*by, "probability"])
+
+
 def with_engagement_label(features: DataFrame, probability: float = 0.75, exact: bool = True) -> DataFrame:
     """Label rows whose score reaches the quantile."""
     bound = quantile(features, "score", probability, exact)
@@ -185,6 +239,47 @@ def fit_encoding(train: DataFrame, entities: Sequence[EntityPattern]) -> Pipelin
     return Pipeline(stages=encoding_stages(entities)).fit(train)
 
 
+def category_slot(name: Column, category: str, slots: int) -> Column:
+    """The slot of a category's value, from 0: the same in every run, and for any engine with md5."""
+    digest = F.md5(F.concat(F.lit(f"{category}="), name).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slots).cast("int")
+
+
+def with_category_slots(df: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Add ``<category>_idx``, the slot of each category, and how many there are as the column's metadata.
+
+    The encoder reads the number from there, so it neither scans the rows nor sends an index to the driver, and
+    values that were not there when a model was fitted have a slot like any other.
+    """
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": slots}}
+    return df.withColumns({
+        f"{c}_idx": category_slot(F.col(c), c, slots).cast("double").alias(f"{c}_idx", metadata=nominal) for c in CATEGORIES})
+
+
+def category_slots(df: DataFrame, slots: int = SLOTS, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """Every value of every category with its slot, and how many values share that: ``(category, name, slot, sharing)``."""
+    pairs = F.array(*(F.struct(
+        F.lit(c).alias("category"), F.col(c).alias("name"), category_slot(F.col(c), c, slots).alias("slot")) for c in categories))
+    names = df.select(F.inline(pairs)).where(F.col("name").isNotNull()).distinct()
+    sharing = names.groupBy("category", "slot").agg(F.count("*").alias("sharing"))
+    return names.join(sharing, ["category", "slot"]).select("category", "name", "slot", "sharing")
+
+
+def slot_collisions(placed: DataFrame) -> DataFrame:
+    """How many values, used slots, and values that share a slot each category has, from ``category_slots``."""
+    return placed.groupBy("category").agg(
+        F.count("*").alias("names"), F.sum(1 / F.col("sharing")).alias("_used"), F.count_if(F.col("sharing") > 1).alias("colliding"),
+    ).select("category", "names", F.round("_used").cast("long").alias("used_slots"), "colliding").orderBy("category")
+
+
+def hashed_encoding_stages(entities: Sequence[EntityPattern]) -> list:
+    """One-hot encode slots and assemble the feature vector; the input is that of ``with_category_slots``."""
+    encoders = [OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=False) for c in CATEGORIES]
+    assembler = VectorAssembler(
+        inputCols=[*numeric_features(entities), *(f"{c}_ohe" for c in CATEGORIES)], outputCol="features")
+    return [*encoders, assembler]
+
+
 def metric_table(spark: SparkSession, metrics: Mapping[str, float | None]) -> DataFrame:
     return spark.createDataFrame([(m, None if v is None else float(v)) for m, v in metrics.items()], "metric string, value double")
 
@@ -218,25 +313,34 @@ def fit_engagement_models(
     depth: int = 6,
     seed: int = 42,
     partitions: int | None = None,
+    encoding: str = "index",
+    slots: int = SLOTS,
 ) -> EngagementModels:
     """Fit both random forests on one shared encoding of the training rows.
 
     The narrow feature table is staged once, so the texts are scanned a single
     time: the label's quantile, the encoding, both fits and every evaluation read
-    the staged rows. The forum index is as long as the topic's list of forums, so
-    filter to a topic first.
+    the staged rows.
+
+    With ``encoding="index"`` each category is indexed by frequency: the forum index is as long as the list of
+    forums, and so is the vector, so filter to a topic first. With ``encoding="hashed"`` categories fall into
+    ``slots`` slots each, whatever their number; ``slot_collisions`` tells how many share one.
     """
+    if encoding not in ("index", "hashed"):
+        raise ValueError("encoding is 'index' or 'hashed'")
     rows = with_engagement_label(stage(features, "engagement-rows"), probability)
+    rows = with_category_slots(rows, slots) if encoding == "hashed" else rows
     train, test = split(rows, key)
-    encoding = fit_encoding(train, entities)
-    encoded = encoding.transform(steady(train, key, partitions)).persist(StorageLevel.MEMORY_AND_DISK)
+    stages = hashed_encoding_stages(entities) if encoding == "hashed" else encoding_stages(entities)
+    fitted = Pipeline(stages=stages).fit(train)
+    encoded = fitted.transform(steady(train, key, partitions)).persist(StorageLevel.MEMORY_AND_DISK)
     forest = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "seed": seed}
     try:
         classifier = RandomForestClassifier(labelCol=LABEL, **forest).fit(encoded)
         regressor = RandomForestRegressor(labelCol="num_comments", **forest).fit(encoded)
     finally:
         encoded.unpersist()
-    return EngagementModels(encoding, encoding.transform(train), encoding.transform(test), classifier, regressor, probability)
+    return EngagementModels(fitted, fitted.transform(train), fitted.transform(test), classifier, regressor, probability)
 
 
 def correct_predictions(predicted: DataFrame, label: str = LABEL) -> DataFrame:

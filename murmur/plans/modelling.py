@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,76 @@ def feature_vector(spark, sf_dir):
     return rounded(cells.groupBy("slot").agg(F.sum("v").alias("total")))
 
 
+#: Fewer slots than categories' values need, so that some are shared.
+FEW_SLOTS = 16
+
+
+def _slot_sql(category: str) -> str:
+    return f"CAST(('0x' || substr(md5('{category}=' || {category}), 1, 8))::BIGINT % {FEW_SLOTS} AS INTEGER)"
+
+
+SLOTS_SQL = "placed AS (" + " UNION ".join(
+    f"SELECT '{c}' AS category, {c} AS name, {_slot_sql(c)} AS slot FROM features" for c in models.CATEGORIES) + ")"
+
+
+@query("m02_hashed_slots", f"{WITH_FEATURES}, {SLOTS_SQL} SELECT category, name, slot, count(*) OVER (PARTITION BY category, slot) AS sharing FROM placed")
+def hashed_slots(spark, sf_dir):
+    return models.category_slots(_features(spark, sf_dir), FEW_SLOTS)
+
+
+@query("m02_slot_collisions", f"""{WITH_FEATURES}, {SLOTS_SQL}, shared AS (SELECT *, count(*) OVER (PARTITION BY category, slot) AS sharing FROM placed)
+SELECT category, count(*) AS names, count(DISTINCT slot) AS used_slots, count(*) FILTER (WHERE sharing > 1) AS colliding
+FROM shared GROUP BY category""")
+def slot_collisions(spark, sf_dir):
+    return models.slot_collisions(models.category_slots(_features(spark, sf_dir), FEW_SLOTS))
+
+
+@query("m03_hashed_vector", f"""{WITH_FEATURES},
+cells AS ({" UNION ALL ".join(f"SELECT {i} AS slot, CAST({c} AS DOUBLE) AS v FROM features" for i, c in enumerate(NUMERIC))}
+  {" ".join(f"UNION ALL SELECT {len(NUMERIC) + i * FEW_SLOTS} + {_slot_sql(c)}, 1.0 FROM features" for i, c in enumerate(models.CATEGORIES))})
+SELECT CAST(slot AS INTEGER) AS slot, round(sum(v), 6) AS total FROM cells GROUP BY slot HAVING sum(v) <> 0""")
+def hashed_vector(spark, sf_dir):
+    """The sum of every slot of the hashed feature vectors, without empty ones; no pass over the rows comes before."""
+    rows = models.with_category_slots(_features(spark, sf_dir), FEW_SLOTS)
+    encoded = Pipeline(stages=models.hashed_encoding_stages(ENTITIES)).fit(rows).transform(rows)
+    cells = encoded.select(F.posexplode(vector_to_array("features")).alias("slot", "v"))
+    return rounded(cells.groupBy("slot").agg(F.sum("v").alias("total")).where("total <> 0"))
+
+
+SKETCH_K = 4096
+SHARES = (0.0, 0.25, 0.5, 0.75, 1.0)
+RANKED = f"""ranked AS (SELECT subreddit, event_period, score, rank() OVER w AS low, count(*) OVER (PARTITION BY subreddit, event_period) AS rows,
+    count(*) OVER (PARTITION BY subreddit, event_period ORDER BY score) AS upto FROM tagged WHERE score IS NOT NULL
+    WINDOW w AS (PARTITION BY subreddit, event_period ORDER BY score)),
+shares(probability) AS (VALUES {", ".join(f"(CAST({p} AS DOUBLE))" for p in SHARES)})"""
+
+
+@query("a14_sketch_quantiles", f"""{sql.TAGGED_POSTS}, {RANKED}
+SELECT subreddit, event_period, rows, probability, min(score) AS value FROM ranked, shares
+WHERE upto >= probability * rows GROUP BY ALL""")
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles of every forum and period, from sketches that are exact up to ``SKETCH_K`` rows."""
+    sketches = models.quantile_sketches(tagged_posts(spark, sf_dir), "score", ["subreddit", "event_period"], SKETCH_K)
+    return models.sketched_quantiles(sketches, SHARES)
+
+
+ROUGH_K, ROUGH_ERROR = 64, 0.15
+
+
+@query("a14_merged_sketches", f"""{sql.TAGGED_POSTS}, shares(probability) AS (VALUES {", ".join(f"(CAST({p} AS DOUBLE))" for p in SHARES)}),
+sizes AS (SELECT event_period, count(score) AS rows, min(score) AS least, max(score) AS most FROM tagged GROUP BY event_period)
+SELECT event_period, rows, probability, true AS close, CASE probability WHEN 0.0 THEN least WHEN 1.0 THEN most END AS extreme FROM sizes, shares""")
+def merged_sketches(spark, sf_dir):
+    """Small sketches of each forum put together by period: the ends are exact, and how far the others' ranks are off is
+    counted over all rows and held against a bound."""
+    posts = tagged_posts(spark, sf_dir)
+    parts = models.quantile_sketches(posts, "score", ["subreddit", "event_period"], ROUGH_K)
+    quantiles = models.sketched_quantiles(models.merged_sketches(parts, ["event_period"], ROUGH_K), SHARES)
+    found = models.rank_errors(posts, "score", ["event_period"], quantiles)
+    return found.select("event_period", "rows", "probability", (F.col("error") <= ROUGH_ERROR).alias("close"),
+                        F.when(F.col("probability").isin(0.0, 1.0), F.col("value")).alias("extreme"))
+
+
 def _fixed_predictions(spark: SparkSession, sf_dir: str):
     """Labels with a prediction that no fit decides: ``toxic`` stands in for the label, ``quality`` for the prediction."""
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select(

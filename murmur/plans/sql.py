@@ -31,6 +31,26 @@ COMMENTS = f"""{RATIOS}, comments AS (
   FROM conversations c, ratios r, events e WHERE e.event_id = (c.conv_id * 8 + c.turn) * r.per_turn)"""
 
 
+POSTS_BY_MONTH = f"""{POSTS}, moved AS (
+  SELECT * REPLACE (created_utc + (post_id % 6) * 2592000 AS created_utc) FROM posts),
+by_month AS (
+  SELECT * REPLACE (CAST(year(TIMESTAMP '1970-01-01' + to_seconds(created_utc)) AS INTEGER) AS yyyy,
+                    CAST(month(TIMESTAMP '1970-01-01' + to_seconds(created_utc)) AS INTEGER) AS mm) FROM moved)"""
+
+#: Pairs (post_id, entity) by trying every piece, and every word, blank and word, of every text.
+DICTIONARY_MENTIONS = r"""word_lists AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+singles AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM word_lists) WHERE md5(word) < '2'),
+pairs_of AS (SELECT DISTINCT p FROM (
+    SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM word_lists) WHERE md5(p) < '02'),
+dictionary AS (SELECT word AS entity, word AS term FROM singles UNION ALL SELECT split_part(p, ' ', 1), p FROM pairs_of),
+piece_lists AS (SELECT post_id, regexp_extract_all(lower(title), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS p FROM posts),
+pieces AS (SELECT post_id, unnest(p) AS piece, unnest(p[2:]) AS second, unnest(p[3:]) AS third FROM piece_lists),
+candidates AS (
+  SELECT post_id, piece AS term FROM pieces WHERE piece IS NOT NULL
+  UNION SELECT post_id, piece || ' ' || third FROM pieces WHERE second = ' ' AND third IS NOT NULL),
+mentioned AS (SELECT DISTINCT post_id, entity FROM candidates JOIN dictionary USING (term))"""
+
+
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

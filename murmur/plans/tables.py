@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from murmur.functions.scale import scratch_path
-from murmur.operators import features, models, reactions
+from murmur.operators import features, mentions, models, reactions
 from murmur.plans import sql
 from murmur.plans.base import CALENDAR, ENTITIES, FLAGS, query, rounded, tagged_comments, tagged_posts
 from murmur.sources import fixtures, tables
@@ -61,6 +61,55 @@ def save_partitioned(spark, sf_dir):
     return spark.read.parquet(path).select("yyyy", "mm", "post_id", "subreddit", "score")
 
 
+MONTH_COLUMNS = "yyyy, mm, post_id, subreddit, score"
+
+
+def _saved_months(spark, sf_dir, **options):
+    return tables.save_partitioned(fixtures.posts_by_month(spark, sf_dir), scratch_path(spark, "months"), **options)
+
+
+@query("s04_rewrite_month", f"""WITH {sql.POSTS_BY_MONTH} SELECT yyyy, mm, post_id, subreddit, score FROM by_month WHERE mm <> 2
+UNION ALL SELECT yyyy, mm, post_id, subreddit, score + 1000 FROM by_month WHERE mm = 2 AND score >= 50""")
+def rewrite_month(spark, sf_dir):
+    """Several months are saved, then one of them again with other rows."""
+    path = _saved_months(spark, sf_dir, rebalance=True)
+    month = fixtures.posts_by_month(spark, sf_dir).where("mm = 2 AND score >= 50").withColumn("score", F.col("score") + 1000)
+    tables.save_partitioned(month, path, rebalance=True, replace="partitions")
+    return spark.read.parquet(path).select(*MONTH_COLUMNS.split(", "))
+
+
+@query("s04_clustered_layout", f"WITH {sql.POSTS_BY_MONTH} SELECT {MONTH_COLUMNS} FROM by_month WHERE lower(subreddit) IN {TOPIC}")
+def clustered_layout(spark, sf_dir):
+    """Saved by month and forum key with Bloom filters, then filtered by the key, which is pushed down."""
+    posts = features.with_forum_key(fixtures.posts_by_month(spark, sf_dir))
+    path = tables.save_partitioned(posts, scratch_path(spark, "clustered"), cluster_by=[features.FORUM_KEY])
+    return features.filter_topic(spark.read.parquet(path), fixtures.TOPIC).select(*MONTH_COLUMNS.split(", "))
+
+
+@query("s05_saved_counts", f"WITH {sql.POSTS_BY_MONTH} SELECT yyyy, mm, count(*) AS rows FROM by_month GROUP BY yyyy, mm")
+def saved_counts(spark, sf_dir):
+    return tables.saved_counts(spark, _saved_months(spark, sf_dir, rebalance=True))
+
+
+@query("s08_saved_coverage", f"WITH {sql.POSTS_BY_MONTH} SELECT DISTINCT yyyy, mm FROM by_month")
+def saved_coverage(spark, sf_dir):
+    return tables.saved_coverage(spark, _saved_months(spark, sf_dir, rebalance=True)).select("yyyy", "mm")
+
+
+LATER = CALENDAR.moved(60)
+
+
+@query("f02_calendar_pruning", f"""WITH {sql.POSTS_BY_MONTH} SELECT post_id, yyyy, mm FROM by_month
+WHERE {sql.covers("TIMESTAMP '1970-01-01' + to_seconds(created_utc)", LATER["b_after"])}""")
+def calendar_pruning(spark, sf_dir):
+    """The months to read come from a saved calendar, filtered by label, while the query runs."""
+    calendar = scratch_path(spark, "calendar")
+    tables.calendar_table(spark, LATER).write.parquet(calendar)
+    chosen = spark.read.parquet(calendar).where(F.col("label") == "b_after")
+    saved = tables.load_posts(spark, _saved_months(spark, sf_dir))
+    return tables.in_calendar(saved, chosen).select("post_id", "yyyy", "mm")
+
+
 @query("s05_verify_saved", f"""WITH {sql.POSTS}, {sql.COMMENTS.removeprefix(sql.RATIOS + ", ")}
 SELECT 'posts' AS "table", count(*) AS rows FROM posts WHERE lower(subreddit) IN {TOPIC}
 UNION ALL SELECT 'comments', count(*) FROM comments WHERE lower(subreddit) IN {TOPIC}""")
@@ -149,6 +198,30 @@ def entity_flags_comments(spark, sf_dir):
         "comment_id", *FLAGS, features.ANY_FLAG)
 
 
+def _dictionary_mentions(spark, sf_dir):
+    return mentions.mention_rows(fixtures.posts(spark, sf_dir), "post_id", "title", fixtures.entity_terms(spark, sf_dir))
+
+
+@query("p06_dictionary_mentions", f"WITH {sql.POSTS}, {sql.DICTIONARY_MENTIONS} SELECT post_id, entity FROM mentioned")
+def dictionary_mentions(spark, sf_dir):
+    return _dictionary_mentions(spark, sf_dir)
+
+
+@query("a03_dictionary_totals", f"WITH {sql.POSTS}, {sql.DICTIONARY_MENTIONS} SELECT entity, count(*) AS mentions FROM mentioned GROUP BY entity")
+def dictionary_totals(spark, sf_dir):
+    return mentions.mention_totals(_dictionary_mentions(spark, sf_dir))
+
+
+@query("p06_dictionary_flags", f"{sql.TAGGED_POSTS} SELECT post_id, array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN {e.flag} THEN '{e.name}' END" for e in ENTITIES) + "], lambda x: x IS NOT NULL), ',') AS entities FROM tagged")
+def dictionary_flags(spark, sf_dir):
+    """The flags of a short list of entities, found by the dictionary."""
+    posts = fixtures.posts(spark, sf_dir)
+    rows = mentions.mention_rows(posts, "post_id", "title", mentions.term_table(spark, ENTITIES))
+    return mentions.with_entities(posts.select("post_id"), "post_id", rows).select(
+        "post_id", F.array_join("entities", ",").alias("entities"))
+
+
 @query("p07_threshold_label", f"""WITH {sql.POSTS}
 SELECT post_id, CAST(score >= 50 AS INTEGER) AS high_engagement FROM posts""")
 def threshold_label(spark, sf_dir):

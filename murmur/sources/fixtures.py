@@ -12,12 +12,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.functions.clock import to_unix_seconds
+from murmur.functions.clock import from_unix_seconds, to_unix_seconds
 from murmur.functions.scale import spread
 from murmur.operators.sentiment import SentimentRules
-from murmur.specs import COMMENTS_SCHEMA, POSTS_SCHEMA, Calendar, EntityPattern, Period, TopicFilter
+from murmur.specs import COMMENTS_SCHEMA, POSTS_SCHEMA, WORD_CLASS, Calendar, EntityPattern, Period, TopicFilter
 
 TURNS = 8
+MONTH_SECONDS = 30 * 86_400
 
 ENTITIES = [
     EntityPattern("alpha", ["from", "rewh"], home_forums=["SRC1", "src2"]),
@@ -89,6 +90,30 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_event(rows, events).select(*POSTS_SCHEMA.fieldNames())
 
 
+def posts_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts, each put off by up to five times thirty days by its id, so that they fall in several months."""
+    moved = posts(spark, sf_dir).withColumn("created_utc", F.col("created_utc") + F.pmod("post_id", F.lit(6)) * MONTH_SECONDS)
+    moment = from_unix_seconds(F.col("created_utc"))
+    return moved.withColumns({"yyyy": F.year(moment), "mm": F.month(moment)}).select(*POSTS_SCHEMA.fieldNames())
+
+
+def entity_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of entities as long as the texts make it: ``(entity, term)``.
+
+    Terms are the documents' own words whose md5 begins with 0 or 1, each an entity of its own, and pairs of words in sequence
+    whose md5 begins with 00 or 01, which name the entity of their first word.
+    """
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(f"[{WORD_CLASS}]+"), F.lit(0))
+    words = texts.select(runs.alias("w"))
+    ahead = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
+    pairs = F.filter(F.zip_with("w", ahead, lambda a, b: F.concat(a, F.lit(" "), b)), lambda t: t.isNotNull())
+    singles = words.select(F.explode("w").alias("term")).where(F.substring(F.md5("term"), 1, 1) < "2").distinct()
+    phrases = words.select(F.explode(pairs).alias("term")).where(F.substring(F.md5("term"), 1, 2) < "02").distinct()
+    return singles.select(F.col("term").alias("entity"), "term").unionByName(
+        phrases.select(F.substring_index("term", " ", 1).alias("entity"), "term"))
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value")

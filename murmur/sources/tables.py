@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmur.functions.scale import broadcast_if_small
 from murmur.specs import COMMENTS_SCHEMA, POSTS_SCHEMA, Calendar, Period
 
 PARTITIONS = ("yyyy", "mm")
@@ -106,12 +107,41 @@ def load_comments(spark: SparkSession, path: str, years=None, months=None, perio
     return _load(spark, path, COMMENTS_SCHEMA, years, months, periods, columns)
 
 
+def calendar_table(spark: SparkSession, calendar: Calendar | Iterable[Period]) -> DataFrame:
+    """The periods as a table, one row for each month that a period touches.
+
+    Columns ``label``, ``position``, ``first_second`` and ``last_second`` (whole Unix seconds, both inside) and ``yyyy``, ``mm``.
+    """
+    periods = calendar.periods if isinstance(calendar, Calendar) else calendar
+    rows = [(p.label, i, *p.seconds(), year, month) for i, p in enumerate(periods) for year, month in p.months()]
+    return spark.createDataFrame(
+        rows, "label string, position int, first_second long, last_second long, yyyy int, mm int")
+
+
+def in_calendar(df: DataFrame, months: DataFrame, ts_col: str = "created_utc") -> DataFrame:
+    """Rows inside any period of a calendar table, whatever has been selected from it.
+
+    The table is joined on the partition columns, so where it is read from files and filtered (``label = ...``) Spark
+    prunes partitions at run time by the months that the filter leaves: they need not be known when the query is
+    written. A row in several periods comes back once. The table has a row for each period and month, and is broadcast
+    where it is measured to be small.
+    """
+    spans = months.select(F.col("yyyy").alias("_yyyy"), F.col("mm").alias("_mm"), F.col("first_second").alias("_first"),
+                          F.col("last_second").alias("_last"))
+    inside = (F.col("yyyy") == F.col("_yyyy")) & (F.col("mm") == F.col("_mm")) & F.col(ts_col).between(F.col("_first"), F.col("_last"))
+    return df.join(broadcast_if_small(spans), inside, "left_semi")
+
+
 def save_partitioned(
     df: DataFrame,
     path: str,
     mode: str = "overwrite",
     partition_by: Sequence[str] = PARTITIONS,
     rebalance: bool = False,
+    replace: str = "table",
+    cluster_by: Sequence[str] = (),
+    bloom_filters: bool = True,
+    expected_values: int = 10_000,
 ) -> str:
     """Write Parquet, one folder per partition value.
 
@@ -120,20 +150,78 @@ def save_partitioned(
     number of files; a partition far larger than the rest is split over several
     tasks by adaptive execution rather than sent to one. Ask for it after a filter that drops most rows, or every
     input split leaves a tiny file.
+
+    With ``replace="partitions"`` an overwrite replaces the partitions that ``df`` has rows of and leaves all others as
+    they are, so one month can be saved again beside the rest.
+
+    With ``cluster_by`` rows are range-partitioned by the partition columns, these columns and a hash of the row, and sorted
+    inside each file, so that equal values lie in few row groups; a value with very many rows runs through several files. They
+    get a Bloom filter in each row group, sized for ``expected_values``; Parquet leaves it out where a dictionary
+    holds all values, which serves as well. A pushed ``=`` or ``IN`` then skips what it can't match. The splitters are sampled from these columns alone, never from texts.
     """
-    if rebalance and partition_by:
+    if replace not in ("table", "partitions"):
+        raise ValueError("replace is 'table' or 'partitions'")
+    if cluster_by:
+        keys = [*partition_by, *cluster_by]
+        df = df.repartitionByRange(*keys, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if _hashable(df, c)))).sortWithinPartitions(*keys)
+    elif rebalance and partition_by:
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode)
+    if replace == "partitions":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    if cluster_by and bloom_filters:
+        for column in cluster_by:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(expected_values))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return path
 
 
+def _hashable(df: DataFrame, column: str) -> bool:
+    """Fixed-width columns: a key among them tells rows apart without a look at their texts."""
+    return isinstance(df.schema[column].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def saved_coverage(spark: SparkSession, path: str, partition_by: Sequence[str] = PARTITIONS) -> DataFrame:
+    """Which partitions a saved table has, with their files and bytes: ``partition_by``, ``files``, ``bytes``, in order.
+
+    The folder is listed and nothing is read from its files, whatever their size. A partition whose files hold no
+    row is listed too; Spark itself writes none. A table without files, or one that isn't partitioned by these columns, has
+    no coverage and raises.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "false").load(path)
+    missing = [c for c in partition_by if c not in files.columns]
+    if missing:
+        raise SchemaMismatch(f"{path} is not partitioned by {', '.join(missing)}")
+    return files.groupBy(*partition_by).agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes")).orderBy(*partition_by)
+
+
+def _footers(spark: SparkSession) -> SparkSession:
+    """A session of the same application that answers counts from Parquet footers."""
+    session = spark.newSession()
+    for name, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true"),
+                        ("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))):
+        session.conf.set(name, value)
+    return session
+
+
+def saved_counts(spark: SparkSession, path: str, partition_by: Sequence[str] = PARTITIONS) -> DataFrame:
+    """Rows of each partition of a saved table, from the files' footers: ``partition_by``, ``rows``.
+
+    The count is pushed into the scan, which opens footers and no column. Without ``partition_by`` it is the whole table's.
+    """
+    saved = _footers(spark).read.parquet(path)
+    return saved.groupBy(*partition_by).agg(F.count("*").alias("rows"))
+
+
 def verify_saved(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
-    """Row counts of freshly written tables: ``(table, rows)``."""
+    """Row counts of freshly written tables: ``(table, rows)``, from the files' footers."""
+    session = _footers(spark)
     counts = [
-        spark.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        session.read.parquet(path).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         for name, path in paths.items()
     ]
     return reduce(DataFrame.unionByName, counts)

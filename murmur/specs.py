@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
@@ -69,16 +69,19 @@ class Period:
     end: datetime
     end_inclusive: bool = False
 
+    def seconds(self) -> tuple[int, int]:
+        """The first and the last whole Unix second inside; the last comes before the first where there is none."""
+        last = math.floor(_seconds(self.end)) if self.end_inclusive else math.ceil(_seconds(self.end)) - 1
+        return math.ceil(_seconds(self.start)), last
+
     def covers_seconds(self, seconds: Column) -> Column:
         """Membership test on whole Unix seconds.
 
         Integer bounds against the bare column, so the range reaches the Parquet
         reader as a pushed filter.
         """
-        first = math.ceil(_seconds(self.start))
-        if self.end_inclusive:
-            return (seconds >= first) & (seconds <= math.floor(_seconds(self.end)))
-        return (seconds >= first) & (seconds < math.ceil(_seconds(self.end)))
+        first, last = self.seconds()
+        return (seconds >= first) & (seconds <= last)
 
     def covers_timestamp(self, moment: Column) -> Column:
         """Membership test on a timestamp_ntz column."""
@@ -109,6 +112,11 @@ class Calendar:
                 return period
         raise KeyError(label)
 
+    def moved(self, days: int) -> Calendar:
+        """The same periods some days later."""
+        shift = timedelta(days=days)
+        return Calendar([replace(p, start=p.start + shift, end=p.end + shift) for p in self.periods])
+
     def window(self, first: str, last: str) -> Period:
         """One span from the start of ``first`` through the end of ``last``, both ends closed."""
         return Period(f"{first}..{last}", self[first].start, self[last].end, end_inclusive=True)
