@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,62 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def nth_largest(df: DataFrame, column: str, n: int):
+    """The value in place ``n`` when a column of counts is put in descending order; None where it has fewer.
+
+    Only how often each value occurs is put in order. Counts that sum to N take fewer than sqrt(2 N) different
+    values, so few rows are, and no partition sends its own ``n`` rows.
+    """
+    levels = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    reached = F.sum("_n").over(W.orderBy(F.desc(column)))
+    return levels.withColumn("_reached", reached).where(F.col("_reached") >= n).agg(F.max(column)).first()[0]
+
+
+def hash_order(key: str) -> list[Column]:
+    """A repeatable order that has nothing to do with the rows' own: by md5 of the key, then by key."""
+    return [F.md5(F.col(key).cast("string")), F.col(key)]
+
+
+def hash_bound(df: DataFrame, key: str, n: int, digits: int = 4) -> str | None:
+    """A prefix of md5 digests so that at least ``n`` rows' hashed keys do not come after it, and few more; None for a smaller table.
+
+    Rows are counted by the digests' leading ``digits`` hex digits, then, where many share the last group needed, by as many
+    more inside it. Each pass reads the key alone, and the driver sees no more than 16 to the power ``digits`` counts.
+    """
+    digest = F.md5(F.col(key).cast("string"))
+    prefix, wanted = "", n
+    while len(prefix) < 32:
+        size = len(prefix) + digits
+        inside = df.select(digest.alias("_d")).where(F.col("_d").startswith(prefix)) if prefix else df.select(digest.alias("_d"))
+        counts = inside.groupBy(F.substring("_d", 1, size).alias("_p")).agg(F.count("*").alias("_n")).where(
+            F.col("_p").isNotNull()).orderBy("_p").collect()
+        for row in counts:
+            if row["_n"] >= wanted:
+                prefix, held = row["_p"], row["_n"]
+                break
+            wanted -= row["_n"]
+        else:
+            return None
+        if held <= max(n, 1 << 4 * digits):
+            break
+    return prefix
+
+
+def first_by_hash(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` rows whose hashed keys come first: a bound on the hash is found from the keys, then whole rows are fetched.
+
+    What is put in order is about ``n`` rows in all, not ``n`` of every partition. Rows without a key come first.
+    """
+    if n <= 0:
+        return df.limit(0)
+    order = hash_order(key)
+    missing = df.where(F.col(key).isNull()).limit(n).count()
+    bound = hash_bound(df, key, n - missing) if missing < n else ""
+    if bound is not None:
+        df = df.where(F.col(key).isNull() | (F.substring(order[0], 1, len(bound)) <= bound) if bound else F.col(key).isNull())
+    return df.orderBy(*order).limit(n)
+
+
 def steady(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Rows placed by key in sorted partitions, so that a seeded fit repeats.
 

@@ -99,14 +99,6 @@ def with_bigrams(tokens: str) -> Column:
     return F.concat(F.col(tokens), pairs)
 
 
-def pairs_of(words: str, wanted: Sequence[str]) -> Column:
-    """Neighbouring words of an array column, joined by a space, where both are wanted."""
-    listed = _quoted(wanted)
-    at = F.expr(f"filter(sequence(0, size(`{words}`) - 2), i -> i >= 0 AND i < size(`{words}`) - 1 "
-                f"AND get(`{words}`, i) IN ({listed}) AND get(`{words}`, i + 1) IN ({listed}))")
-    return F.transform(at, lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)))
-
-
 def explode_terms(df: DataFrame, terms: str, output: str = "term") -> DataFrame:
     """One row per non-NULL element of an array column, beside the other columns.
 

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.words import ENGLISH_STOP_WORDS, explode_terms, pairs_of, with_bigrams, without, word_runs
+from murmur.functions.scale import broadcast_if_small, nth_largest, stage
+from murmur.functions.words import ENGLISH_STOP_WORDS, explode_terms, with_bigrams, without, word_runs
 from murmur.specs import Calendar, EntityPattern
 
-#: At most so many frequent words are written into the plan.
-INLINE_WORDS = 20_000
+#: Bigrams are first counted by so many hash buckets.
+BUCKETS = 1 << 18
 
 
 def period_groups(calendar: Calendar) -> dict[str, Column]:
@@ -67,29 +68,39 @@ def leading_term_counts(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     max_features: int = 500,
     min_df: int = 1,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """``term_counts`` without bigrams that can't be among the ``max_features`` most frequent terms.
+    """``term_counts`` of all terms that may be among the ``max_features`` most frequent; no other is counted in full.
 
-    Let T be the total of the word in place ``max_features``. A bigram is no more frequent than either
-    of its words, so where one of them totals less than T the bigram does too, and that many words come before it. Words are
-    counted first, then only bigrams of words that reach T. With too few words, or more than ``INLINE_WORDS`` that reach
-    T, all bigrams are counted.
+    Texts are split into words once, and the words staged. A first pass counts single words, and bigrams by the bucket that
+    their hash falls into, so that its shuffle does not grow with the number of different bigrams. Let T be the total of the
+    word in place ``max_features``. A bigram is no more frequent than its bucket, so where that totals less than T the
+    bigram does too, and that many words come before it. A second pass counts the bigrams of the other buckets
+    exactly. With fewer words than ``max_features``, every term is counted.
     """
-    words = _group_words(df, text_col, groups, stop_words)
+    words = stage(_group_words(df, text_col, groups, stop_words), "keyword-words")
     flags = [c for c in words.columns if c != "_words"]
-    singles = _summed(explode_terms(words.select(*flags, F.col("_words").alias("_terms")), "_terms"), groups)
-    counted = [F.col(g) for g in groups]
-    totals = singles.select(
-        "term", reduce(lambda a, b: a + b, counted, F.lit(0)).alias("total"),
-        reduce(lambda a, b: a + b, ((c > 0).cast("int") for c in counted), F.lit(0)).alias("df"))
-    leading = totals.where(F.col("df") >= min_df).orderBy(F.desc("total")).limit(max_features)
-    places, bound = leading.agg(F.count("*"), F.min("total")).first()
-    frequent = [] if places < max_features else [
-        r.term for r in totals.where(F.col("total") >= bound).select("term").limit(INLINE_WORDS + 1).collect()]
-    if not 0 < len(frequent) <= INLINE_WORDS:
+    if not flags:
         return term_counts(df, text_col, groups, stop_words)
-    pairs = words.select(*flags, pairs_of("_words", frequent).alias("_terms"))
-    return singles.unionByName(_summed(explode_terms(pairs, "_terms"), groups))
+    bucket = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")
+    ahead = F.slice("_words", F.lit(2), F.greatest(F.size("_words"), F.lit(1)))
+    singles = F.transform("_words", lambda w: F.struct(w.alias("term"), F.lit(None).cast("int").alias("bucket")))
+    pairs = F.filter(F.zip_with("_words", ahead, lambda a, b: F.struct(
+        a.alias("a"), b.alias("b"), F.when(b.isNotNull(), bucket(a, b)).alias("bucket"))), lambda p: p["b"].isNotNull())
+    paired = F.transform(pairs, lambda p: F.struct(F.lit(None).cast("string").alias("term"), p["bucket"].alias("bucket")))
+    first = stage(
+        explode_terms(words.select(*flags, F.concat(singles, paired).alias("_terms")), "_terms", "_t")
+        .groupBy("_t.term", "_t.bucket").agg(*(F.sum(f).alias(g) for f, g in zip(flags, groups))), "keyword-totals")
+    counted = [F.col(g) for g in groups]
+    total = reduce(lambda a, b: a + b, counted)
+    present = reduce(lambda a, b: a + b, ((c > 0).cast("int") for c in counted))
+    known = first.where(F.col("term").isNotNull()).select("term", *groups)
+    bound = nth_largest(known.where(present >= min_df).select(total.alias("_total")), "_total", max_features) or 0
+    reaching = broadcast_if_small(first.where(F.col("bucket").isNotNull() & (total >= bound)).select("bucket"))
+    kept = explode_terms(words.select(*flags, pairs.alias("_pairs")), "_pairs", "_p").join(
+        reaching, F.col("_p.bucket") == F.col("bucket"), "left_semi")
+    exact = _summed(kept.select(*flags, F.concat("_p.a", F.lit(" "), "_p.b").alias("term")), groups)
+    return known.unionByName(exact).where(total >= bound)
 
 
 def tfidf(counts: DataFrame, max_features: int = 500, min_df: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.clock import from_unix_seconds
+from murmur.functions.scale import first_by_hash
 from murmur.operators.features import (
     ANY_FLAG,
     event_label,
@@ -195,8 +196,11 @@ def top_posts(df: DataFrame, period: str, n: int = 10) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, key: str) -> DataFrame:
-    """A repeatable sample of ``n`` rows: those whose hashed key sorts first."""
-    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+    """A repeatable sample of ``n`` rows: those whose hashed key sorts first.
+
+    The bound that they reach is found from the keys first, so that no partition sends ``n`` whole rows of its own.
+    """
+    return first_by_hash(df, n, key)
 
 
 def _standing(volumes: DataFrame) -> DataFrame:

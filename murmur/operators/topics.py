@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.scale import stage, steady
+from murmur.functions.scale import nth_largest, stage, steady
 from murmur.functions.words import ENGLISH_STOP_WORDS, blank_separated, explode_terms, without
 
 
@@ -40,11 +40,15 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 
 def vocabulary_table(tokens: DataFrame, size: int = 3000, min_df: int = 5) -> DataFrame:
-    """The ``size`` most frequent terms found in at least ``min_df`` texts, ties in term order."""
-    return (
-        token_counts(tokens).where(F.col("df") >= min_df)
-        .orderBy(F.desc("tf"), "term").limit(size)
-    )
+    """The ``size`` most frequent terms found in at least ``min_df`` texts, ties in term order.
+
+    The terms are counted once and staged. The frequency that the last of them has is found from counts of counts, so what is put in
+    order is the vocabulary and the terms tied with its last.
+    """
+    counted = stage(token_counts(tokens).where(F.col("df") >= min_df), "token-counts")
+    bound = nth_largest(counted, "tf", size)
+    reaching = counted if bound is None else counted.where(F.col("tf") >= bound)
+    return reaching.orderBy(F.desc("tf"), "term").limit(size)
 
 
 @dataclass
