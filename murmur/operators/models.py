@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -465,25 +466,42 @@ def cluster_forums(profile: DataFrame, entities: Sequence[EntityPattern], k: int
     return ForumClusters(model.transform(forums), k)
 
 
+METRICS = ("AUC-ROC", "Accuracy", "RMSE", "R2", "Silhouette")
+
 # The wording of the result table.
 SUMMARY = {
-    "classifier": ("Q8", "RF Classifier", "Predict high engagement (top {top:g}%)", "AUC={auc:.4f}, Acc={accuracy:.4f}"),
-    "regressor": ("Q9", "RF Regressor", "Predict comment count", "RMSE={rmse:.2f}, R²={r2:.4f}"),
-    "clusters": ("Q10", "K-Means (k={k})", "Cluster forums by behaviour", "Silhouette={silhouette}"),
+    "classifier": ("Q8", "RF Classifier", "Predict high engagement (top {top}%)", "AUC={AUC-ROC}, Acc={Accuracy}"),
+    "regressor": ("Q9", "RF Regressor", "Predict comment count", "RMSE={RMSE}, R²={R2}"),
+    "clusters": ("Q10", "K-Means (k={k})", "Cluster forums by behaviour", "Silhouette={Silhouette}"),
 }
 
 
-def model_summary(models: EngagementModels, clusters: ForumClusters) -> DataFrame:
-    """One line per model: Question, Model, Task, Result, all taken from what was fitted.
+def summary_lines(metrics: DataFrame, top: float, k: int) -> DataFrame:
+    """One line per model: Question, Model, Task, Result.
 
-    A silhouette that doesn't exist, for want of forums or of a second cluster, is "n/a".
+    ``metrics`` has rows ``(metric, value)`` named AUC-ROC, Accuracy, RMSE, R2 and Silhouette. A metric that is missing or NULL reads
+    "nan", a silhouette "n/a": there is none for want of forums or of a second cluster.
     """
-    classification, regression = classification_metrics(models.classified()), regression_metrics(models.regressed())
-    scores = {row.metric: row.value for row in classification.unionByName(regression).collect()}
-    shape = clusters.silhouette()
-    facts = {"top": 100 * (1 - models.probability), "auc": scores["AUC-ROC"], "accuracy": scores["Accuracy"],
-             "rmse": scores["RMSE"], "r2": scores["R2"], "k": clusters.k, "silhouette": "n/a" if shape is None else f"{shape:.4f}"}
-    facts = {k: math.nan if v is None else v for k, v in facts.items()}
-    return classification.sparkSession.createDataFrame(
-        [tuple(part.format(**facts) for part in line) for line in SUMMARY.values()],
-        "Question string, Model string, Task string, Result string")
+    value = {m: F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in METRICS}
+    row = metrics.agg(*value.values())
+
+    def text(name: str) -> Column:
+        missing = "n/a" if name == "Silhouette" else "nan"
+        places = 2 if name == "RMSE" else 4
+        return F.coalesce(F.format_string(f"%.{places}f", F.col(f"`{name}`")), F.lit(missing))
+
+    def filled(template: str) -> Column:
+        known = template.replace("{top}", f"{top:g}").replace("{k}", str(k))
+        parts = re.split(r"\{(.+?)\}", known)
+        return F.concat(*(text(p) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+    lines = F.array(*(F.struct(*(
+        filled(part).alias(c) for c, part in zip(("Question", "Model", "Task", "Result"), line))) for line in SUMMARY.values()))
+    return row.select(F.inline(lines))
+
+
+def model_summary(models: EngagementModels, clusters: ForumClusters) -> DataFrame:
+    """The lines of ``summary_lines``, all taken from what was fitted."""
+    metrics = classification_metrics(models.classified()).unionByName(regression_metrics(models.regressed())).unionByName(
+        metric_table(models.train.sparkSession, {"Silhouette": clusters.silhouette()}))
+    return summary_lines(metrics, 100 * (1 - models.probability), clusters.k)

@@ -232,6 +232,65 @@ def metric_tables_fixed(spark, sf_dir):
     return rounded(_fixed_metrics(spark, sf_dir).unionByName(_fixed_regression(spark, sf_dir)))
 
 
+def _two_places(column: str, places: int, missing: str) -> str:
+    return f"coalesce(printf('%.{places}f', {column}), '{missing}')"
+
+
+@query("m16_summary_fixed", f"""WITH {sql.POSTS}, {FIXED_METRICS}, {FIXED_REGRESSION},
+facts AS (SELECT (SELECT CAST(value AS DOUBLE) FROM fixed WHERE metric = 'AUC-ROC') AS auc, (SELECT CAST(value AS DOUBLE) FROM fixed WHERE metric = 'Accuracy') AS acc,
+  (SELECT value FROM regressed WHERE metric = 'RMSE') AS rmse, (SELECT value FROM regressed WHERE metric = 'R2') AS r2,
+  (SELECT CAST(count(DISTINCT subreddit) AS DOUBLE) / 100 FROM posts) AS shape)
+SELECT 'Q8' AS "Question", 'RF Classifier' AS "Model", 'Predict high engagement (top 25%)' AS "Task",
+  'AUC=' || {_two_places('auc', 4, 'nan')} || ', Acc=' || {_two_places('acc', 4, 'nan')} AS "Result" FROM facts
+UNION ALL SELECT 'Q9', 'RF Regressor', 'Predict comment count', 'RMSE=' || {_two_places('rmse', 2, 'nan')} || ', R²=' || {_two_places('r2', 4, 'nan')} FROM facts
+UNION ALL SELECT 'Q10', 'K-Means (k=4)', 'Cluster forums by behaviour', 'Silhouette=' || {_two_places('shape', 4, 'n/a')} FROM facts""")
+def summary_fixed(spark, sf_dir):
+    """The summary of metrics that no fit decides; a hundredth of the number of forums stands in for the silhouette."""
+    forums = fixtures.posts(spark, sf_dir).agg((F.count_distinct("subreddit") / 100).alias("value"))
+    fixed = rounded(_fixed_metrics(spark, sf_dir).unionByName(_fixed_regression(spark, sf_dir)))
+    metrics = fixed.unionByName(forums.select(F.lit("Silhouette").alias("metric"), "value"))
+    return models.summary_lines(metrics, 25, 4)
+
+
+#: Where the clock decides everything: posts from noon on score high and have many comments.
+PLANTED = """planted AS (SELECT * REPLACE (CASE WHEN hour_of_day >= 12 THEN 100 ELSE 0 END AS score,
+  CAST(CASE WHEN hour_of_day >= 12 THEN 200 ELSE 10 END AS BIGINT) AS num_comments) FROM features)"""
+
+
+def _planted_models(spark: SparkSession, sf_dir: str) -> models.EngagementModels:
+    at = (spark.sparkContext.applicationId, f"planted {sf_dir}")
+    if at not in _engagement:
+        late = F.col("hour_of_day") >= 12
+        planted = _features(spark, sf_dir).withColumns({
+            "score": F.when(late, 100).otherwise(0).cast("long"), "num_comments": F.when(late, 200).otherwise(10).cast("long")})
+        _engagement[at] = models.fit_engagement_models(planted, ENTITIES, encoding="hashed", slots=FEW_SLOTS)
+    return _engagement[at]
+
+
+@query("m06_planted_predictions", f"""{WITH_FEATURES}, {PLANTED}
+SELECT post_id, CAST(hour_of_day >= 12 AS INTEGER) AS high_engagement, CAST(hour_of_day >= 12 AS DOUBLE) AS prediction FROM planted
+WHERE NOT substr(md5(CAST(post_id AS VARCHAR)), 1, 2) < 'cd'""")
+def planted_predictions(spark, sf_dir):
+    """A classifier fitted where the label is a known function of one feature: it must find it for every test row."""
+    return _planted_models(spark, sf_dir).classified().select("post_id", models.LABEL, "prediction")
+
+
+@query("m08_planted_importance", f"""{WITH_FEATURES}, {PLANTED}, columns AS ({" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, corr({c}, score) AS r FROM planted" for c in NUMERIC)})
+SELECT feature FROM columns WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY abs(r) DESC LIMIT 1""")
+def planted_importance(spark, sf_dir):
+    """The feature that the planted classifier leans on most is the one that goes with the label."""
+    shares = models.feature_importances(_planted_models(spark, sf_dir), ENTITIES)
+    return shares.orderBy(F.desc("importance"), "feature").limit(1).select("feature")
+
+
+@query("m09_planted_predictions", f"""{WITH_FEATURES}, {PLANTED} SELECT post_id, num_comments, hour_of_day >= 12 AS many FROM planted
+WHERE NOT substr(md5(CAST(post_id AS VARCHAR)), 1, 2) < 'cd'""")
+def planted_regression(spark, sf_dir):
+    """A regressor fitted on the planted comment counts puts every test row on the right side of the middle."""
+    return _planted_models(spark, sf_dir).regressed().select("post_id", "num_comments", (F.col("prediction") > 105).alias("many"))
+
+
 TEST_ROWS = f"{WITH_FEATURES}, test AS (SELECT * FROM labelled WHERE NOT in_training)"
 
 

@@ -198,13 +198,51 @@ def fit_beats_chance(spark, sf_dir):
     return sizes.select("texts", (F.lit(float(fitted.model.logLikelihood(fitted.texts))) > chance).alias("better"))
 
 
-@query("n09_perplexity_of_likelihood", "SELECT true AS agrees")
+@query("n09_perplexity_of_likelihood", f"{VOCABULARY} SELECT CAST(sum(n) AS BIGINT) AS words, true AS agrees FROM cells")
 def perplexity_of_likelihood(spark, sf_dir):
-    """Whether the perplexity reported is the one that Spark's own evaluation gives."""
+    """The number of words that the likelihood and the perplexity reported imply, and whether that perplexity is the one
+    that Spark's own evaluation gives."""
     fitted = _topics(spark, sf_dir)
-    value = {r.metric: r.value for r in fitted.quality().collect()}["log_perplexity"]
+    value = {r.metric: r.value for r in fitted.quality().collect()}
     own = fitted.model.logPerplexity(fitted.texts)
-    return fitted.texts.groupBy().agg(F.lit(abs(own - value) < 1e-6 * abs(own)).alias("agrees"))
+    return fitted.texts.groupBy().agg(
+        F.lit(round(-value["log_likelihood"] / value["log_perplexity"])).cast("long").alias("words"),
+        F.lit(abs(own - value["log_perplexity"]) < 1e-6 * abs(own)).alias("agrees"))
+
+
+#: Two topics of five words each; a comment speaks of one, by its id, and how often each word comes depends on the id too.
+PLANTED_WORDS = (("anchor", "bridge", "castle", "desert", "engine"), ("violin", "window", "yellow", "zephyr", "walnut"))
+
+
+def _planted_topics(spark: SparkSession, sf_dir: str) -> topics.TopicModel:
+    at = (spark.sparkContext.applicationId, f"planted {sf_dir}")
+    if at not in _fitted:
+        side = lambda words: F.array_join(F.flatten(F.array(*(
+            F.array_repeat(F.lit(w), (1 + F.pmod(F.col("comment_id") * (i + 3), F.lit(4))).cast("int")) for i, w in enumerate(words)))), " ")
+        planted = fixtures.comments(spark, sf_dir).select(
+            "comment_id", F.when(F.col("comment_id") % 2 == 0, side(PLANTED_WORDS[0])).otherwise(side(PLANTED_WORDS[1])).alias("body"))
+        _fitted[at] = topics.fit_topics(planted, "body", "comment_id", k=2, stop_words=[])
+    return _fitted[at]
+
+
+@query("n08_planted_topics", f"""WITH {sql.COMMENTS} SELECT comment_id, true AS own_side,
+  count(*) OVER (PARTITION BY comment_id % 2) AS alike FROM comments""")
+def planted_topics(spark, sf_dir):
+    """Topics fitted on comments of two known kinds: how many share each one's leading topic, and whether it is that of its kind."""
+    from pyspark.ml.functions import vector_to_array
+    weights = vector_to_array("topic_dist")
+    found = _planted_topics(spark, sf_dir).mixtures().select(
+        "comment_id", (F.array_position(weights, F.array_max(weights)) - 1).alias("topic"))
+    kinds = found.groupBy("topic").agg(F.count("*").alias("alike"), F.min(F.col("comment_id") % 2).alias("low"), F.max(F.col("comment_id") % 2).alias("high"))
+    return found.join(F.broadcast(kinds), "topic").select("comment_id", (F.col("low") == F.col("high")).alias("own_side"), "alike")
+
+
+@query("n10_planted_words", f"""WITH {sql.COMMENTS}, words(side, word) AS (VALUES {", ".join(f"({i}, '{w}')" for i, ws in enumerate(PLANTED_WORDS) for w in ws)})
+SELECT string_agg(word, ' ' ORDER BY word) AS words FROM words WHERE side IN (SELECT comment_id % 2 FROM comments) GROUP BY side""")
+def planted_words(spark, sf_dir):
+    """The five leading words of each topic fitted on the planted comments, in alphabetical order."""
+    leading = _planted_topics(spark, sf_dir).topic_words(5)
+    return leading.groupBy("topic").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words")).select("words")
 
 
 @query("n10_weights_ordered", f"""{VOCABULARY}, slots AS (SELECT least(count(*), 10) AS n FROM vocabulary)
