@@ -253,19 +253,23 @@ def mapped(compiled: bytes) -> np.ndarray:
 class ChunkCache:
     """Ids of texts between ASCII spaces, which are encoded alone: no word spans a space.
 
-    Chunks are known by a 64-bit hash and looked up a batch at a time in sorted arrays; ``resolve`` encodes those not
-    seen before. A chunk takes some 40 bytes, and the cache is emptied when full, so a worker's memory is
-    bounded whatever the number of texts.
+    Chunks are looked up a batch at a time by a 64-bit hash in sorted arrays, and compared byte for byte with what is found;
+    ``resolve`` encodes those not seen before. A chunk takes some 60 bytes, and the cache is emptied when full, so a
+    worker's memory is bounded whatever the number of texts. A slice with two chunks of one hash is encoded without
+    the cache.
     """
 
-    def __init__(self, resolve: Callable[[list[bytes]], list[bytes]], limit: int = CACHED_CHUNKS):
+    def __init__(self, resolve: Callable[[list[bytes]], list[bytes]], limit: int = CACHED_CHUNKS, key: int | None = None):
         self.resolve, self.limit = resolve, limit
+        self.key = textops.fresh_key() if key is None else key
         self._empty()
 
     def _empty(self) -> None:
         self.main = self.fresh = (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # sorted hashes, entry numbers
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        self.n_entries = self.n_ids = 0
+        self.first_block, self.blocks = np.zeros(1, np.int64), np.zeros(0, np.uint64)  # the chunks' own bytes
+        self.lengths = np.zeros(1, np.int64)
+        self.n_entries = self.n_ids = self.n_blocks = 0
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -282,18 +286,26 @@ class ChunkCache:
                 found[hit] = entries[at[hit]]
         return found
 
-    def _add(self, hashes: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+    def _add(self, hashes: np.ndarray, chunks: list[bytes], blocks: np.ndarray) -> np.ndarray:
         encoded = self.resolve(chunks)
         ids = np.frombuffer(b"".join(encoded), np.uint32)
         ends = self.n_ids + np.cumsum(np.fromiter((len(e) // 4 for e in encoded), np.int64, len(encoded)))
         entries = self.n_entries + np.arange(len(encoded))
         while self.n_entries + len(encoded) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+            self.first_block = np.concatenate([self.first_block, np.zeros_like(self.first_block)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
         if self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids) // 2), np.uint32)])
+        if self.n_blocks + len(blocks) > len(self.blocks):
+            self.blocks = np.concatenate([self.blocks, np.zeros(max(len(blocks), len(self.blocks) // 2), np.uint64)])
+        lengths = np.fromiter((len(c) for c in chunks), np.int64, len(chunks))
         self.first[entries + 1] = ends
+        self.first_block[entries + 1] = self.n_blocks + np.cumsum((lengths + 7) >> 3)
+        self.lengths[entries] = lengths
         self.ids[self.n_ids:self.n_ids + len(ids)] = ids
-        self.n_entries, self.n_ids = self.n_entries + len(encoded), self.n_ids + len(ids)
+        self.blocks[self.n_blocks:self.n_blocks + len(blocks)] = blocks
+        self.n_entries, self.n_ids, self.n_blocks = self.n_entries + len(encoded), self.n_ids + len(ids), self.n_blocks + len(blocks)
         self.fresh = self._merged(self.fresh, (hashes, entries))
         if len(self.fresh[0]) > 50_000 + len(self.main[0]) // 8:
             self.main, self.fresh = self._merged(self.main, self.fresh), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -303,15 +315,19 @@ class ChunkCache:
         """Little-endian ids of each text; NULL is empty."""
         if self.n_entries > self.limit:
             self._empty()
-        words = textops.split_words(texts)
+        words = textops.split_words(texts, key=self.key)
         hashes, sample, again = np.unique(words.hashes, return_index=True, return_inverse=True)
         entry = self._find(hashes)
         new = np.flatnonzero(entry < 0)
         if len(new):
             raw = words.buffer.tobytes()
             spans = zip(words.starts[sample[new]].tolist(), words.ends[sample[new]].tolist(), strict=True)
-            entry[new] = self._add(hashes[new], [raw[a:b] for a, b in spans])
+            lengths = words.ends[sample[new]] - words.starts[sample[new]]
+            blocks = words.blocks[textops.spans(words.first_block[sample[new]], (lengths + 7) >> 3)]
+            entry[new] = self._add(hashes[new], [raw[a:b] for a, b in spans], blocks)
         entry = entry[again.reshape(-1)]
+        if not self._same(words, entry):
+            return self._one_by_one(texts)
         start = self.first[entry]
         sizes = self.first[entry + 1] - start
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -320,6 +336,20 @@ class ChunkCache:
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+    def _same(self, words: textops.Words, entry: np.ndarray) -> bool:
+        """Whether every chunk has the bytes of the entry found for it."""
+        lengths = words.ends - words.starts
+        if not (self.lengths[entry] == lengths).all():
+            return False
+        return bool((self.blocks[textops.spans(self.first_block[entry], (lengths + 7) >> 3)] == words.blocks).all())
+
+    def _one_by_one(self, texts: Sequence[bytes | None]) -> list[bytes]:
+        split = [textops.ascii_words(t or b"") for t in texts]
+        chunks = list(set().union(*split))
+        known = dict(zip(chunks, self.resolve(chunks), strict=True))
+        return [b"".join([known[c] for c in parts]) for parts in split]
+
+
 class Encoder:
     """Encodes chunks with the lexicon, and what it lacks by merging."""
 

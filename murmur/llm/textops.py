@@ -6,6 +6,8 @@ and carriage return: ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -18,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
-_PIECE = 4 << 20
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -26,10 +27,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _random = np.random.Generator(np.random.PCG64(0x5EED))
-_BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C13)  # odd, and 3 mod 8: its powers run through a long cycle
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C13)
 _SALTS = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_BLOCKS = 32  # words of more blocks are hashed one by one
+
+
+def fresh_key() -> int:
+    """A key for ``split_words``, drawn on the driver for one job, so that no text can be made to collide."""
+    return secrets.randbits(64)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -39,31 +44,6 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse, kept for texts of ordinary size."""
-    have = _powers.get("up")
-    if have is None or len(have) < size:
-        up = np.full(size, _STEP, np.uint64)
-        down = np.full(size, _BACK, np.uint64)
-        up[0] = down[0] = 1
-        up, down = np.cumprod(up), np.cumprod(down)
-        if size > _PIECE:
-            return up, down
-        _powers["up"], _powers["down"] = up, down
-    return _powers["up"][:size], _powers["down"][:size]
-
-
-def _hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _power(len(buffer))
-    total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_BYTE[buffer] * up, out=total[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mix((total[ends] - total[starts]) * down[starts] + lengths * _SALTS[0])
-
-
 @dataclass
 class Words:
     """The words of some texts, one after another."""
@@ -73,19 +53,55 @@ class Words:
     starts: np.ndarray  # first byte of each word in ``buffer``
     ends: np.ndarray
     buffer: np.ndarray  # all texts, with a space after each
+    blocks: np.ndarray  # the words' bytes, eight by eight, the last of each word filled with zeros
+    first_block: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
 
+def _blocks(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes in blocks of eight, the last one filled with zeros, and each word's first block."""
+    lengths = ends - starts
+    counts = (lengths + 7) >> 3
+    first = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(starts)), counts)
+    place = np.arange(len(owner)) - first[owner]
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    anywhere = np.ndarray((len(buffer) + 1,), "<u8", padded, strides=(1,))  # eight bytes from every place on
+    blocks = anywhere[starts[owner] + 8 * place].astype(np.uint64)
+    left = lengths[owner] - 8 * place
+    short = np.flatnonzero(left < 8)
+    blocks[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+    return blocks, first
+
+
+def _hash_words(words: Words, key: int) -> np.ndarray:
+    """A keyed 64-bit hash of each word: block after block is stirred into a state that began with key and length."""
+    lengths = words.ends - words.starts
+    counts = (lengths + 7) >> 3
+    state = mix(np.uint64(key) ^ (lengths.astype(np.uint64) * _STEP))
+    live = np.flatnonzero(counts <= _LONG_BLOCKS)
+    for place in range(_LONG_BLOCKS):
+        live = live[counts[live] > place]
+        if not len(live):
+            break
+        state[live] = mix((state[live] + _SALTS[place]) ^ mix(words.blocks[words.first_block[live] + place] + np.uint64(key)))
+    secret = np.uint64(key).tobytes()
+    for i in np.flatnonzero(counts > _LONG_BLOCKS).tolist():
+        digest = hashlib.blake2b(words.buffer[words.starts[i]:words.ends[i]].tobytes(), digest_size=8, key=secret).digest()
+        state[i] = np.frombuffer(digest, np.uint64)[0]
+    return state
+
+
 def split_words(texts: Sequence[bytes | None], lower: bool = False, spaces: np.ndarray = _SPACES,
-                glue: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Words:
+                glue: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, key: int = 0) -> Words:
     """Split texts into words and hash them.
 
     ``lower`` maps A-Z to a-z first. ``spaces`` says of each byte whether it
     separates words; ``glue`` may change that by what stands around a byte. A NULL
-    text has no words. A long text is hashed in pieces cut between words.
+    text has no words. Hashes of one ``key`` can be compared; two different words have equal ones with a chance of 2^-64.
     """
     blobs = [t or b"" for t in texts]
     raw = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
@@ -98,19 +114,22 @@ def split_words(texts: Sequence[bytes | None], lower: bool = False, spaces: np.n
     edges = np.flatnonzero(edge)
     starts, ends = edges[0::2], edges[1::2]
     buffer = _LOWER[raw] if lower else raw
-    if len(buffer) <= _PIECE:
-        hashes = _hash_spans(buffer, starts, ends)
-    else:
-        parts, first = [], 0
-        while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + _PIECE, "right")))
-            low, high = starts[first], ends[last - 1]
-            parts.append(_hash_spans(buffer[low:high], starts[first:last] - low, ends[first:last] - low))
-            first = last
-        hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     sizes = np.fromiter((len(b) + 1 for b in blobs), np.int64, len(blobs))
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    return Words(hashes, bounds, starts, ends, buffer)
+    words = Words(np.zeros(0, np.uint64), bounds, starts, ends, buffer, *_blocks(buffer, starts, ends))
+    words.hashes = _hash_words(words, key)
+    return words
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of spans, one span after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def ascii_words(text: bytes) -> list[bytes]:
+    """The words of one text, in order."""
+    return text.split()
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
