@@ -10,14 +10,14 @@ hold each stage against a plain-Python version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.functions.scale import stage
+from murmur.functions.scale import broadcast_if_small, stage
 from murmur.llm import bpe, decontaminate, langid, neardup, quality
 from murmur.llm.queries import table, tokenizer_text
 
-ROW = "row"
+ROW, IDENTITY = "row", "identity"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -32,27 +32,52 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail a rule of the strict policy."""
+    """Drop documents that fail a rule of the strict policy. NULL texts and those without a word have too few words, and go."""
     return quality.ledger(_packed(docs), keep=[ROW]).where(~quality.fails(quality.STRICT)).select(f"{ROW}.*")
 
 
+def _identity(docs: DataFrame) -> Column:
+    """A row's own name: a digest of all its columns. A ``doc_id`` may be missing or stand on several texts."""
+    packed = F.to_json(F.struct(*(docs[c] for c in docs.columns)), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(packed.cast("binary"), 256)).alias(IDENTITY)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(ROW), _identity(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least ``doc_id`` of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    """Keep one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    A NULL ``doc_id`` can't be grouped and stays.
+    The one with the least ``doc_id`` stays; a NULL comes after all others, and rows of one ``doc_id`` in the order of their
+    digests. Rows that are equal in every column are one document. Documents without a word are in no group and all stay.
     """
-    dropped = neardup.groups(docs, neardup.Settings(width=5, percent=80)).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    order = F.struct(docs["doc_id"].isNull().alias("missing"), docs["doc_id"].alias("doc_id"), _identity(docs))
+    grouped = neardup.groups(docs.select(order.alias("key"), docs["text"].alias("text")), neardup.Settings(width=5, percent=80), "key")
+    judged = stage(grouped.select(f"key.{IDENTITY}", "n_shingles", "kept"), "near_dedup-judged")
+    dropped = judged.where("not kept").select(IDENTITY).distinct()
+    rest = _named(docs).join(broadcast_if_small(dropped), IDENTITY, "left_anti")
+    repeated = stage(judged.where("kept and n_shingles > 0").groupBy(IDENTITY).agg(F.count("*").alias("n")).where("n > 1").select(IDENTITY),
+                     "near_dedup-repeated")
+    if not repeated.isEmpty():
+        again = broadcast_if_small(repeated)
+        rest = rest.join(again, IDENTITY, "left_anti").unionByName(rest.join(again, IDENTITY, "left_semi").distinct())
+    return rest.select(f"{ROW}.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of the benchmark, or one with other numbers, names or units."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a passage of the benchmark, or one with other numbers, names or units.
+
+    Rows are dropped, not ``doc_id``s: another text of the same ``doc_id`` stays, and a NULL one saves no row.
+    """
+    keyed = docs.select(_identity(docs), docs["text"].alias("text"))
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), key_col=IDENTITY)
+    dropped = stage(found.select(IDENTITY).distinct(), "decontamination-found")
+    return _named(docs).join(broadcast_if_small(dropped), IDENTITY, "left_anti").select(f"{ROW}.*")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: ``doc_id``, ``n_tokens``, ``ids`` (unsigned 32-bit, little-endian)."""
+    """Token ids of every document: ``doc_id``, ``n_tokens``, ``ids`` (unsigned 32-bit, little-endian). NULL and empty texts have none."""
     vocabulary = tokenizer_text()
     return bpe.encode(docs, vocabulary, bpe.build_lexicon(docs, vocabulary)).select("doc_id", "n_tokens", "ids")
 

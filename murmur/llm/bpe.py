@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmur.functions.scale import nth_largest, stage
 from murmur.llm import textops
 
 LEXICON_WORDS = 1 << 16
@@ -412,13 +413,16 @@ def count_words(df: DataFrame, vocabulary_text: str, text_col: str = "text") ->
 def build_lexicon(df: DataFrame, vocabulary_text: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
     """Compile the ``size`` most frequent words of all texts, ties by word.
 
-    Only these words, of at most ``LONGEST_WORD`` bytes each, come to the driver. A word
+    Only these words, of at most ``LONGEST_WORD`` bytes each, come to the driver: the count that the last of them
+    has is found first, so that partitions don't send ``size`` words each. A word
     seen once is left out: looking it up would save nothing. An empty table gives an
     empty lexicon.
     """
-    top = (count_words(df, vocabulary_text, text_col)
-           .where((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1))
-           .orderBy(F.desc("n"), "word").limit(size))
+    counted = stage(count_words(df, vocabulary_text, text_col)
+                    .where((F.octet_length("word") <= LONGEST_WORD) & (F.col("n") > 1)), "word-counts")
+    bound = nth_largest(counted, "n", size)
+    reaching = counted if bound is None else counted.where(F.col("n") >= bound)
+    top = reaching.orderBy(F.desc("n"), "word").limit(size)
     vocabulary = Vocabulary(vocabulary_text)
     words = [r["word"].encode() for r in top.collect()]
     return Lexicon.compile({w: vocabulary.merge(w) for w in words})

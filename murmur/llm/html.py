@@ -25,7 +25,7 @@ from murmur.llm import textops
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|select|iframe|svg|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|title|textarea|iframe)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|([^<]+|<)", re.S | re.I)
@@ -39,6 +39,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 MAX_DEPTH = 256
 
+# Elements whose content isn't text, though it is markup; and elements that such a one can't hold if it has no end.
+HIDDEN = ("noscript", "template", "select", "svg", "object")
+BREAKS_OUT = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li "
+                       "main nav ol p pre section table td th tr ul".split())
+_HIDDEN_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in HIDDEN}
+
 
 @dataclass
 class Block:
@@ -58,10 +64,14 @@ def blocks(page: str | None) -> list[Block]:
 
     Character references are decoded, white space becomes one space, blocks without text are left
     out. Comments, scripts, styles, titles and form fields aren't text. Unclosed and stray tags
-    are borne: a closing tag without its opening is ignored, a comment without end runs to
-    the end. NULL and empty pages have no blocks.
+    are borne: a closing tag without its opening is ignored; a comment, script, style, title, text area or frame without end
+    runs to the end, as browsers read it, any other form field, drawing, template or object only to the end of the element around it or to
+    the next paragraph, section or the like. NULL and empty pages have no blocks.
     """
+    page = page or ""
     out: list[Block] = []
+    endless: set[str] = set()
+    hidden = resume = 0
     stack: list[_Open] = []
     held: list[str] = []
     linked = links = 0
@@ -74,9 +84,13 @@ def blocks(page: str | None) -> list[Block]:
         held.clear()
         linked = 0
 
-    for match in _MARKUP.finditer(page or ""):
+    for match in _MARKUP.finditer(page):
+        if match.start() < resume:
+            continue
         text = match[5]
         if text is not None:
+            if hidden:
+                continue
             text = entities.unescape(text)
             held.append(text)
             if links:
@@ -86,17 +100,33 @@ def blocks(page: str | None) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _HIDDEN_END and not match[2]:
+            if match[4].endswith("/"):
+                continue
+            end = None if tag in endless else _HIDDEN_END[tag].search(page, match.end())
+            if end:
+                resume = end.end()
+                continue
         if tag not in INLINE:
             flush()
         if match[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag == tag:
                     links -= sum(e.tag == "a" for e in stack[i:])
+                    hidden -= sum(e.tag in endless for e in stack[i:])
                     del stack[i:]
                     break
             continue
         if tag in VOID or match[4].endswith("/"):
             continue
+        if tag in _HIDDEN_END:  # has no end
+            endless.add(tag)
+            hidden += len(stack) < MAX_DEPTH
+        elif hidden and tag in BREAKS_OUT:
+            first = next(i for i, e in enumerate(stack) if e.tag in endless)
+            links -= sum(e.tag == "a" for e in stack[first:])
+            del stack[first:]
+            hidden = 0
         if tag in CLOSES_ITSELF and stack and stack[-1].tag == tag:
             stack.pop()
         if len(stack) < MAX_DEPTH:
@@ -318,6 +348,11 @@ def _teacher(path: Sequence[str]) -> bool:
     return inside and not any(t in SECTIONS or t[1:] in MARKS for t in path if t[0] == "." or t in SECTIONS)
 
 
+def _outside_sections(path: Sequence[str]) -> bool:
+    """Whether a block lies in no section or container that isn't an article by its name."""
+    return not any(t in SECTIONS or t[1:] in MARKS for t in path if t[0] == "." or t in SECTIONS)
+
+
 def _varied(page: str, texts: list[str], random: np.random.Generator) -> tuple[str, str]:
     """A page with boilerplate put in, and the same with another container: the first can still be labelled."""
     def pick(options: Sequence) -> str:
@@ -358,18 +393,33 @@ def _varied(page: str, texts: list[str], random: np.random.Generator) -> tuple[s
     return made[0], made[1]
 
 
+def _least_hashed(hashed: DataFrame, n: int) -> list:
+    """The ``n`` rows of least ``h``, an even 64-bit hash: those below a bound that leaves a few more than ``n``."""
+    total = hashed.count()
+    share = (n + 10 * n**0.5 + 10) / max(total, 1)
+    while True:
+        below = hashed if share >= 1 else hashed.where(F.col("h") <= int(-(1 << 63) + share * (1 << 64)))
+        rows = below.orderBy("h", "key", F.xxhash64("html")).limit(n).collect()
+        if len(rows) == n or share >= 1:
+            return rows
+        share *= 4
+
+
 def train(df: DataFrame, key_col: str = "page_id", html_col: str = "html", settings: Settings = Settings()) -> Network:
     """Train on a bounded sample: the pages of least key hash, at most ``sample_bytes`` characters long.
 
-    The driver gets ``sample_pages`` pages. A sample without an article leaves the network
-    untrained, and ``extract`` then follows what little the fresh weights say.
+    The driver gets ``sample_pages`` pages: pages are counted first, which gives a bound on the hash, and partitions send only
+    what lies below it. Where no page of the sample has an ``article`` or ``main`` element, what lies outside sections and
+    containers known by name (menus, footers, adverts, comments and so on) is taken for the article. An empty
+    sample leaves the network untrained.
     """
     fit = (F.length(df[html_col]) > 0) & (F.length(df[html_col]) <= settings.sample_bytes)
-    rows = (df.where(fit).select(F.xxhash64(df[key_col]).alias("h"), df[key_col].alias("key"), df[html_col].alias("html"))
-            .orderBy("h", "key", F.xxhash64("html")).limit(settings.sample_pages).collect())
+    hashed = df.where(fit).select(F.xxhash64(df[key_col]).alias("h"), df[key_col].alias("key"), df[html_col].alias("html"))
+    rows = _least_hashed(hashed, settings.sample_pages)
     random = np.random.Generator(np.random.PCG64(settings.seed + 2))
     texts = [b.text for r in rows for b in blocks(r["html"])]
     pages = []
+    teacher = _teacher if any(_teacher(b.path) for r in rows for b in blocks(r["html"])) else _outside_sections
     for row in rows:
         plain = blocks(row["html"])
         variants = [(plain, plain)]
@@ -377,7 +427,7 @@ def train(df: DataFrame, key_col: str = "page_id", html_col: str = "html", setti
             marked, renamed = _varied(row["html"], texts, random)
             variants.append((blocks(marked), blocks(renamed)))
         for labelled, shown in variants:
-            labels = np.array([_teacher(b.path) for b in labelled], float)
+            labels = np.array([teacher(b.path) for b in labelled], float)
             if labels.any() and len(labelled) == len(shown):
                 pages.append((shown, labels))
     network = Network.fresh(settings)

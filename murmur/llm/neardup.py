@@ -45,18 +45,26 @@ class Settings:
     k: int = 64
     short_list: int = 4
     leaders: int = 1
-    deviations: float = 6.0
+    missed: float = 1e-9
 
     @property
     def overlap(self) -> int:
-        """Values of a union's bottom k that two linked sets share, but for once in about a billion."""
-        p = self.percent / 100
-        return max(1, math.floor(self.k * p - self.deviations * math.sqrt(self.k * p * (1 - p))))
-
-
-def shingle_sets(texts: Sequence[bytes | None], width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; fewer words than ``width`` are one shingle."""
-    words = textops.split_words(texts, lower=True)
+        """The most values of a union's bottom k that two linked sets share but for a part ``missed`` of links.
+
+        Of a union's k least values each is shared with a chance of at least the similarity, so fewer are by the binomial's
+        tail, and the true tail (drawn without return) is thinner.
+        """
+        p, tail = self.percent / 100, 0.0
+        for shared in range(self.k + 1):
+            tail += math.comb(self.k, shared) * p**shared * (1 - p)**(self.k - shared)
+            if tail > self.missed:
+                return max(1, shared)
+        return self.k
+
+
+def shingle_sets(texts: Sequence[bytes | None], width: int, key: int = 0) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; fewer words than ``width`` are one shingle. ``key`` is that of the hashes."""
+    words = textops.split_words(texts, lower=True, key=key)
     hashes, at = textops.windows(words.hashes, words.bounds, width)
     cuts = np.searchsorted(at, words.bounds)
     out = []
@@ -80,41 +88,57 @@ SKETCH = T.StructType([
 ])
 
 
-def sketches(df: DataFrame, settings: Settings, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(df: DataFrame, settings: Settings, key_col: str = "doc_id", text_col: str = "text", key: int = 0) -> DataFrame:
     """Set size, digest of the whole set (NULL when empty) and bottom-k sketch of every text."""
     def work(texts: list[bytes | None]) -> list:
-        sets = shingle_sets(texts, settings.width)
+        sets = shingle_sets(texts, settings.width, key)
         return [[len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 [(s[:settings.k] ^ _TOP).view(np.int64) for s in sets]]
 
     return textops.map_texts(df, text_col, [key_col], SKETCH, lambda: work)
 
 
-def _prefix(values: DataFrame, share: float) -> DataFrame:
+#: At most so many keys have more rows than their share, and are broadcast.
+_HEAVY = 50_000
+
+
+def _join_counted(rows: DataFrame, counted: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows`` joined to ``counted``, which has one row for each ``on`` and says in ``_rows`` how many of the ``total`` rows it has.
+
+    Keys of more than one in ``_HEAVY`` of all rows, of which there are fewer than that, are broadcast, so that no task gathers
+    their rows; the others are shuffled. ``total`` is no less than the sum of ``_rows``.
+    """
+    heavy = F.col("_rows") > max(64, total // _HEAVY)
+    few, many = counted.where(heavy).drop("_rows"), counted.where(~heavy).drop("_rows")
+    light = rows.join(F.broadcast(few.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(few), on).unionByName(light.join(many, on))
+
+
+def _prefix(values: DataFrame, share: float, total: int) -> DataFrame:
     """Each document in the lists of its rarest values: ``value``, ``doc``, ``size`` of the list, ``alone``, ``kept``, ``place``.
 
     ``values`` has ``doc``, ``value`` and ``kept`` (the document's number of values). Two documents
     that share the part ``share`` of their values have a list in common. Values that no
-    other document holds (``alone`` of them) are the rarest, and use up places.
+    other document holds (``alone`` of them) are the rarest, and use up places. ``total`` is about the number of rows.
     """
-    sizes = values.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = values.groupBy("value").agg(F.count("*").alias("size")).where("size > 1").withColumn("_rows", F.col("size"))
     alone = F.col("kept") - F.count("*").over(W.partitionBy("doc"))
     place = F.row_number().over(W.partitionBy("doc").orderBy("size", "value"))
-    ranked = values.join(sizes, "value").select(
+    ranked = _join_counted(values, sizes, "value", total).select(
         "value", "doc", "kept", "size", alone.alias("alone"), place.alias("shared_place"))
     return ranked.withColumn("place", F.col("shared_place") + F.col("alone")).where(
         F.col("place") <= F.col("kept") - F.ceil(F.col("kept") * share) + 1).select(
         "value", "doc", "size", "alone", "kept", "place")
 
 
-def _leaders(lists: DataFrame, settings: Settings) -> DataFrame:
+def _leaders(lists: DataFrame, settings: Settings, total: int) -> DataFrame:
     """Rows of long lists with the list's leaders: its member with the fewest values of its own, and random ones."""
     long = lists.where(F.col("size") > settings.short_list)
     picks = [F.min(F.struct(*([F.col("alone")] if i == 0 else []), F.xxhash64("doc", F.lit(i)), F.col("doc").alias("doc")))
              .alias(f"pick{i}") for i in range(settings.leaders)]
-    chosen = long.groupBy("value").agg(*picks).select(
-        "value", F.array_distinct(F.array(*(F.col(f"pick{i}.doc") for i in range(settings.leaders)))).alias("leaders"))
-    return long.join(chosen, "value").select("doc", "leaders")
+    chosen = long.groupBy("value").agg(*picks, F.count("*").alias("_rows")).select(
+        "value", F.array_distinct(F.array(*(F.col(f"pick{i}.doc") for i in range(settings.leaders)))).alias("leaders"), "_rows")
+    return _join_counted(long, chosen, "value", total).select("doc", "leaders")
 
 
 def _candidates(lists: DataFrame, led: DataFrame, settings: Settings) -> DataFrame:
@@ -167,35 +191,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return textops.map_arrow(joined, run, pairs.select("a", "b").schema)
 
 
-def _sets(named: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """Whole shingle sets of the wanted documents, as sorted unsigned 64-bit values."""
-    texts = named.select(F.col("key").alias("doc"), "text").join(broadcast_if_small(wanted), "doc", "left_semi")
-    work = lambda ts: [[s.tobytes() for s in shingle_sets(ts, settings.width)]]
-    return textops.map_texts(texts, "text", ["doc"], T.StructType([T.StructField("items", T.BinaryType())]), lambda: work)
+def _sets(named: DataFrame, wanted: DataFrame, settings: Settings, key: int) -> DataFrame:
+    """Whole shingle sets of the wanted classes (``doc``), as sorted unsigned 64-bit values.
+
+    ``wanted`` names a key for each class. Where that key stands on other texts too, their digests tell them apart.
+    """
+    texts = named.join(broadcast_if_small(wanted), "key").select("doc", "text")
+
+    def work(texts: list[bytes | None]) -> list:
+        items = [s.tobytes() for s in shingle_sets(texts, settings.width, key)]
+        return [items, [hashlib.blake2b(i, digest_size=16).digest() for i in items]]
+
+    added = T.StructType([T.StructField("items", T.BinaryType()), T.StructField("_digest", T.BinaryType())])
+    sets = textops.map_texts(texts, "text", ["doc"], added, lambda: work)
+    return sets.where(F.col("doc") == F.col("_digest")).drop("_digest")
 
 
 def links(df: DataFrame, settings: Settings, key_col: str = "doc_id", text_col: str = "text"
           ) -> tuple[DataFrame, DataFrame]:
-    """Sketches of all rows with their class, and verified links between classes.
+    """All rows with their class, and verified links between classes.
 
-    The first frame has the key, ``n_shingles``, ``doc`` (the class: the least key of an equal
-    set, NULL for an empty one), the second ``a`` and ``b``.
+    A class is a set of shingles, whatever texts and keys have it, and goes by the set's digest. The first frame has the key,
+    ``n_shingles`` and ``doc`` (the class; NULL for an empty set or a NULL key), the second ``a`` and ``b``.
     """
+    secret = textops.fresh_key()
     named = df.select(df[key_col].alias("key"), df[text_col].alias("text"))
-    measured = stage(sketches(named, settings, "key", "text"), "sketches")
-    first = measured.where("set_id is not null and key is not null").groupBy("set_id").agg(F.min("key").alias("doc"))
-    classes = stage(measured.where("key is not null").join(
-        first, (measured["set_id"] == first["set_id"]) & (measured["key"] == first["doc"]), "left_semi")
-        .dropDuplicates(["key"]).select(F.col("key").alias("doc"), "n_shingles", "sketch"), "classes")
+    measured = stage(sketches(named, settings, "key", "text", secret).withColumn(
+        "doc", F.when(F.col("key").isNotNull(), F.col("set_id"))).drop("set_id"), "sketches")
+    classes = stage(measured.where("doc is not null").groupBy("doc").agg(
+        F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    total = settings.k * classes.count()
     retained = classes.select("doc", F.explode("sketch").alias("value"), F.size("sketch").alias("kept"))
-    lists = stage(_prefix(retained, settings.overlap / settings.k), "lists")
-    led = stage(_leaders(lists, settings), "leaders")
+    lists = stage(_prefix(retained, settings.overlap / settings.k, total), "lists")
+    led = stage(_leaders(lists, settings, total), "leaders")
     pairs = stage(_estimated(_candidates(lists, led, settings), classes, settings), "candidates")
-    wanted = stage(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(led.select("doc")).distinct(), "wanted")
-    sets = stage(_sets(named, wanted, settings).dropDuplicates(["doc"]), "sets")
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(led.select("doc")).distinct()
+    wanted = stage(wanted.join(classes.select("doc", "key"), "doc"), "wanted")
+    sets = stage(_sets(named, wanted, settings, secret).dropDuplicates(["doc"]), "sets")
     found = stage(_verified(pairs, sets, settings), "links")
-    rows = measured.select("key", "n_shingles", "set_id").join(first, "set_id", "left").select(
-        F.col("key").alias(key_col), "n_shingles", "doc")
+    rows = measured.select(F.col("key").alias(key_col), "n_shingles", "doc")
     rest = _rest(led, found, sets, settings)
     return rows, found if rest is None else found.union(rest)
 
@@ -220,7 +254,9 @@ def _rest(led: DataFrame, found: DataFrame, sets: DataFrame, settings: Settings)
     if members.where("open").isEmpty():
         return None
     concerned = sets.join(broadcast_if_small(members.select("doc")), "doc", "left_semi")
-    lists = _prefix(_values(concerned), settings.percent / 100)
+    values = _values(concerned)
+    total = concerned.agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0] // 8
+    lists = _prefix(values, settings.percent / 100, total)
     earlier = W.partitionBy("doc").orderBy("place").rowsBetween(-_LOOK_BACK, -1)
     lists = stage(lists.withColumn("before", F.collect_list("value").over(earlier)).join(
         members.join(_parity(concerned), "doc"), "doc"), "whole_lists")
@@ -286,11 +322,20 @@ def groups(df: DataFrame, settings: Settings = Settings(), key_col: str = "doc_i
     Columns: the key, ``n_shingles``, ``component_id`` (the least key reachable over links, its own
     included), ``kept`` (the key is the component's). One row comes back per row. NULL and empty
     texts, and those of white space alone, have the empty set and are linked with
-    nothing. A NULL key has no component and is kept.
+    nothing. A NULL key has no component and is kept. A key that stands on several texts belongs to the component of each
+    row's own text, and is kept in each component of which it is the least. The key may be of any type with an order.
     """
     rows, found = links(df, settings, key_col, text_col)
-    reached = components(found)
-    joined = rows.join(reached.withColumnRenamed("node", "doc"), "doc", "left")
-    component = F.coalesce("component", "doc", key_col)
-    return joined.select(key_col, "n_shingles", component.alias("component_id"),
-                         F.coalesce(component == F.col(key_col), F.lit(True)).alias("kept"))
+    known = rows.where(F.col("doc").isNotNull())
+    sizes = known.groupBy("doc").agg(F.min(key_col).alias("least"), F.count("*").alias("_rows"))
+    labelled = sizes.join(components(found).withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc"))
+    labelled = stage(labelled, "labelled")
+    total = labelled.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    heads = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_rows"))
+    classes = _join_counted(labelled.withColumnRenamed("_rows", "_copies"), heads, "component", total).select(
+        "doc", "component_id", F.col("_copies").alias("_rows"))
+    joined = _join_counted(known, classes, "doc", total)
+    alone = rows.where(F.col("doc").isNull()).withColumn("component_id", F.col(key_col))
+    component = F.col("component_id")
+    return joined.unionByName(alone).select(key_col, "n_shingles", component, F.coalesce(component == F.col(key_col), F.lit(True)).alias("kept"))

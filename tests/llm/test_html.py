@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from murmur.llm import html
+from pyspark.sql import functions as F
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -21,6 +22,12 @@ def texts(page):
     ("<p>open <i>never closed<div>next</span></div>", ["open never closed", "next"]),
     ("<textarea>t</textarea><select><option>o</select>after", ["after"]),
     ("a < b and c > d", ["a < b and c > d"]), ("cut<p", ["cut"]), ("<!-- no end", []), ("x<script>no end", ["x"]),
+    ('<article><p>One</p><svg class="i"/><p>Two lost</p></article>', ["One", "Two lost"]),
+    ("<article><p>One</p><select><option>x<option>y<p>Two</p></article><p>Three", ["One", "Two", "Three"]),
+    ("<article>One <object data=q>fallback</article>Two", ["One", "Two"]), ("<p>a<svg><text>t</text></p>b", ["a", "b"]),
+    ("<p>a<svg><text>t</text></svg>b</p>", ["ab"]), ("<noscript><p>x</p></noscript>y<NOSCRIPT>z</NoScript >w", ["y", "w"]),
+    ("<p>a<template><p>b<template>c<div>d</div>e", ["a", "b", "d", "e"]), ("<select/>a<object/>b<iframe src=q></iframe>c", ["abc"]),
+    ("<textarea>never closed<p>gone", []), ("a<svg>" * 3000 + "<p>end", ["a", "end"]),
     ("<div " + "x" * 10_000 + ">deep" + "<div>" * 3000 + "er", ["deep", "er"]),
 ])
 def test_blocks(page, want):
@@ -103,3 +110,21 @@ def test_null_empty_and_clashing(spark, network):
     assert [(r["text"], r["n_chars"], r["n_blocks"]) for r in rows] == [("", 0, 0)] * 4
     assert html.extract(df.limit(0), network, keep=["page_id"]).count() == 0
     assert html.extract(df, html.train(df.limit(0)), keep=["page_id"]).count() == 4
+
+
+def test_tables_without_articles_fall_back(spark):
+    prose = "A sentence of the story that goes on for some time, as stories do. "
+    page = lambda i: (f'<body><div class="nav"><a href="q">Home</a> <a href="r">News {i}</a></div><div><h1>Title {i}</h1><p>{prose * 3}{i}</p>'
+                      f'<p>{prose * 2}{i}</p></div><div class="footer">All rights reserved {i}</div></body>')
+    df = spark.createDataFrame([(i, "u", page(i)) for i in range(60)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df, html.train(df)).collect()}
+    assert all(prose.strip() in t and "Home" not in t and "rights" not in t for t in got.values())
+
+
+def test_the_sample_is_that_of_a_full_sort(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("h"), F.col("id").alias("key"), F.lit("x").alias("html"))
+    for n in (1, 50, 2999, 4000):
+        want = df.orderBy("h", "key").limit(n).collect()
+        assert html._least_hashed(df, n) == want
+    hot = df.withColumn("h", F.lit(1 << 62))
+    assert len(html._least_hashed(hot, 5)) == 5 and html._least_hashed(df.limit(0), 5) == []

@@ -83,6 +83,62 @@ def test_groups_equal_all_pairs(spark, settings):
     assert all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
 
 
+def labels(rows, settings):
+    """Component and size of every row, where a key may stand on several texts: rows are linked, then named by their least key."""
+    numbered = dict(enumerate(rows))
+    found = plain([(i, t) for i, (_, t) in numbered.items()], settings)
+    least = {}
+    for i, (size, root) in found.items():
+        least[root] = min(least.get(root, numbered[i][0]), numbered[i][0])
+    return sorted((numbered[i][0], size, least[root] if size else numbered[i][0]) for i, (size, root) in found.items())
+
+
+def test_a_key_on_several_texts(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(words(r, 80)) for _ in range(3))
+    rows = [(5, a), (5, b), (9, b + " more"), (2, c), (9, c), (7, "x y z"), (7, "x y z"), (7, None), (3, b)]
+    df = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string").repartition(4)
+    got = neardup.groups(df).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == labels(rows, neardup.Settings())
+    assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
+    assert {(x["doc_id"], x["component_id"]) for x in got if x["doc_id"] == 9} == {(9, 3), (9, 2)}
+
+
+def test_keys_of_several_columns(spark):
+    rows = [(1, "b", "one two three four five six"), (1, "a", "one two three four five six"), (None, "c", "one two three four five six")]
+    df = spark.createDataFrame(rows, "x long, y string, text string").selectExpr("struct(x is null as n, x, y) as key", "text")
+    got = {r["key"]["y"]: r["kept"] for r in neardup.groups(df, key_col="key").collect()}
+    assert got == {"a": True, "b": False, "c": False}
+
+
+def thue_morse(n):
+    """Words over two letters that hashes by powers of an odd base can't tell from their complements."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_collide_by_construction_are_told_apart(spark, n):
+    one, two = thue_morse(n)
+    df = spark.createDataFrame([(1, f"{one} x y z w"), (2, f"{two} x y z w"), (3, one), (4, two)], "doc_id long, text string").coalesce(1)
+    assert all(r["kept"] for r in neardup.groups(df, neardup.Settings(width=3, percent=85)).collect())
+
+
+def test_overlap_is_the_binomial_tail():
+    import math
+    for percent in (80, 85, 95):
+        s = neardup.Settings(percent=percent)
+        tail = lambda m: sum(math.comb(64, i) * (percent / 100) ** i * (1 - percent / 100) ** (64 - i) for i in range(m))
+        assert tail(s.overlap) <= s.missed < tail(s.overlap + 1)
+
+
+def test_heavy_keys_join_like_others(spark):
+    rows = spark.range(5000).selectExpr("if(id % 2 = 0, 7, id) as k", "id")
+    counted = rows.groupBy("k").count().withColumnRenamed("count", "_rows").selectExpr("k", "k * 10 as v", "_rows")
+    got = neardup._join_counted(rows, counted.where("k <> 9"), "k", 5000).collect()
+    assert sorted((r["k"], r["id"], r["v"]) for r in got) == sorted((7 if i % 2 == 0 else i, i, (7 if i % 2 == 0 else i) * 10) for i in range(5000) if i != 9)
+
+
 def test_null_and_repeated_keys_and_empty_tables(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (4, None), (9, "q"), (2, "Q")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -94,4 +94,24 @@ def test_odd_tables(spark):
             if name != "bpe_encoding":
                 assert now.columns == columns
         found = {r["doc_id"] for r in now.collect()}
-        assert found == (set() if empty else {None, 3, 5})
+        assert found == (set() if empty else {3, 5})
+
+
+def texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_near_dedup_drops_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c + " end"), (8, c), (None, b), (6, None), (6, None), (7, ""), (9, a + " x"), (4, "solo text"), (4, "solo text")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(4)
+    got = texts(pipeline.near_dedup(spark, docs, SF_DIR))
+    assert got == sorted([(1, a), (5, b), (8, c), (6, None), (6, None), (7, ""), (4, "solo text")], key=repr)
+
+
+def test_decontamination_drops_rows_not_ids(spark):
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first()["text"]
+    rows = [(1, f"so: {item}"), (1, "a clean text"), (None, item.upper()), (None, "another clean text"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert texts(pipeline.decontamination(spark, docs, SF_DIR)) == sorted(
+        [(1, "a clean text"), (None, "another clean text"), (2, None)], key=repr)

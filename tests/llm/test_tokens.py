@@ -47,6 +47,32 @@ def test_ids_equal_the_library_whatever_the_lexicon(spark, library, size):
         assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_that_collide_keep_their_own_ids(spark, library, tmp_path):
+    pairs = [w for n in (1024, 2048) for w in thue_morse(n)]
+    df = spark.createDataFrame([(i, f"{w} and {w}") for i, w in enumerate(pairs)], "doc_id long, text string").coalesce(1)
+    want = [wanted(library, f"{w} and {w}") for w in pairs]
+    rows = sorted(bpe.encode(df, tokenizer_text(), bpe.Lexicon.compile({})).collect())
+    assert [np.frombuffer(r["ids"], np.uint32).tolist() for r in rows] == want
+    tokenfiles.write(df, str(tmp_path / "ids"), tokenizer_text(), 2)
+    rows = sorted(tokenfiles.read(spark, str(tmp_path / "ids")).collect())
+    assert [np.frombuffer(r["ids"], np.uint32).tolist() for r in rows] == [w + [2] for w in want]
+
+
+@pytest.mark.parametrize("bad", [lambda lengths: lengths % 2, lambda lengths: lengths, lambda lengths: lengths * 0])
+def test_a_cache_with_colliding_hashes_compares_bytes(library, monkeypatch, bad):
+    monkeypatch.setattr(bpe.textops, "_hash_words", lambda words, key: bad(words.ends - words.starts).astype(np.uint64))
+    cache = bpe.ChunkCache(bpe.Encoder(bpe.Vocabulary(tokenizer_text()), bpe.Lexicon(bpe.mapped(bpe.Lexicon.compile({})))).chunks)
+    texts = [b"one", b"two", b"one two", None, b"", b"three one", "é two".encode(), b"x" * 300, b"y" * 300]
+    for batch in ([texts[0]], [texts[1]], texts, texts[::-1], [texts[7]], [texts[8]]):
+        got = [np.frombuffer(i, np.uint32).tolist() for i in cache.encode(batch)]
+        assert got == [wanted(library, (t or b"").decode()) for t in batch]
+
+
 def test_decode_reads_ids_back(spark, library):
     df = frame(spark)
     encoded = bpe.encode(df, tokenizer_text(), bpe.Lexicon.compile({}))
