@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.specs import WORD_CLASS
@@ -34,6 +34,19 @@ ENGLISH_STOP_WORDS = (
 ).split()
 
 
+def read_word_list(spark: SparkSession, path: str, most: int = 20_000) -> list[str]:
+    """The words of a text file with one in each line, such as another library's stop words: lower-cased, each once, in order.
+
+    Blank lines, and what follows a ``#`` at a line's start, are left out. A list goes into a query's plan, so a file of more
+    than ``most`` words is refused.
+    """
+    lines = spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> '' AND NOT startswith(word, '#')")
+    found = [r.word for r in lines.distinct().orderBy("word").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{path} has more than {most} words")
+    return found
+
+
 def bare_words(text: Column) -> Column:
     """Words of two or more characters, with one punctuation run stripped from one end.
 

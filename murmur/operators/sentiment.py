@@ -87,6 +87,19 @@ class SentimentRules:
         )
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A valence lexicon in the usual text form as ``(token, valence)``.
+
+    Each line is a token, a tab and its mean valence; what follows a second tab (deviation, single ratings) isn't read. Tokens are
+    taken as they stand, quotes, blanks and emoticons included. Empty lines are skipped, any other line without a number fails when it is read.
+    """
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.get(parts, F.lit(0)).alias("token"), F.get(parts, F.lit(1)).try_cast("double").alias("valence"), "value")
+    fault = F.raise_error(F.concat(F.lit("no valence in: "), F.col("value"))).cast("double")
+    return lines.select("token", F.coalesce("valence", fault).alias("valence"))
+
+
 def lexicon_table(spark: SparkSession, valences: Mapping[str, float]) -> DataFrame:
     """A lexicon held in memory as ``(token, valence)`` rows."""
     return spark.createDataFrame(pa.table({

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from murmur.functions.words import ENGLISH_STOP_WORDS
 from murmur.specs import Calendar, EntityPattern, Period, TopicFilter
+from murmur.study import Event, Study
 
 # Forum names that make up the topic.
 CRICKET_TOPIC = TopicFilter([
@@ -75,3 +77,10 @@ CRICKET_STOP_WORDS = [
     "think", "know", "get", "one", "also", "would", "could", "even",
     "run", "runs", "ball", "balls", "over", "overs",
 ]
+
+#: The whole study, for ``murmur.study``; topics leave out the domain words as well as the common ones.
+CRICKET_STUDY = Study(
+    CRICKET_TOPIC, CRICKET_ENTITIES, CRICKET_CALENDAR,
+    [Event("wc2023", "wc2023_group_stage", "wc2023_final_aftermath", "wc2023_final_aftermath"),
+     Event("t20wc2024", "t20wc2024_group_stage", "t20wc2024_final_aftermath", "t20wc2024_final_aftermath")],
+    CRICKET_HEAD_TO_HEAD, [*ENGLISH_STOP_WORDS, *CRICKET_STOP_WORDS])

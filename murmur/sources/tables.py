@@ -227,13 +227,14 @@ def verify_saved(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def save_result_csv(df: DataFrame, path: str, order_by: Sequence[str | Column] = ()) -> str:
+def save_result_csv(df: DataFrame, path: str, order_by: Sequence[str | Column] = (), keep_order: bool = False) -> str:
     """Write an aggregated result as a single CSV file with a header.
 
     The one-file shuffle comes after the aggregation, so only the finished
-    result rows pass through the writing task.
+    result rows pass through the writing task. With ``keep_order`` a short result that is in order stays so: its last
+    stage then runs in that task.
     """
-    single = df.repartition(1)
+    single = df.coalesce(1) if keep_order else df.repartition(1)
     if order_by:
         single = single.sortWithinPartitions(*order_by)
     single.write.mode("overwrite").option("header", True).csv(path)
