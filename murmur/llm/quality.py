@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,7 @@ RULES: tuple[Rule, ...] = (
     Rule("short_words", "word_chars < 2 * n_words"),
 )
 BASE = Policy("base", ("few_words", "repeated_windows"))
+FIRST = Policy("1", ("few_words", "repeated_windows", "many_symbols", "long_words"))
 STRICT = Policy("2", tuple(r.name for r in RULES))
 
 
@@ -119,6 +120,20 @@ def fails(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(mask(policy, rules))) != 0
 
 
+def store(entries: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> str:
+    """Write a ledger, and beside it which rule each bit stands for. Policies of any later version read it there."""
+    entries.write.parquet(f"{path.rstrip('/')}/entries")
+    bits = [(i, r.name, r.fails) for i, r in enumerate(rules)]
+    entries.sparkSession.createDataFrame(bits, "bit int, rule string, fails string").write.parquet(f"{path.rstrip('/')}/rules")
+    return path
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[Rule, ...]]:
+    """A stored ledger and its rules in the order of their bits. A policy with a rule that it lacks is refused by ``mask``."""
+    rules = spark.read.parquet(f"{path.rstrip('/')}/rules").orderBy("bit").collect()  # at most 63
+    return spark.read.parquet(f"{path.rstrip('/')}/entries"), tuple(Rule(r["rule"], r["fails"]) for r in rules)
+
+
 def ablations(entries: DataFrame, policies: Sequence[Policy], rules: Sequence[Rule] = RULES) -> DataFrame:
     """What each rule of each policy drops, and what would return without it.
 
@@ -126,17 +141,19 @@ def ablations(entries: DataFrame, policies: Sequence[Policy], rules: Sequence[Ru
     ``only`` (those that no other rule of the policy drops), ``kept`` (documents that
     the policy keeps). An empty ledger gives zeros.
 
-    The ledger is read once and summed by pattern of bits: at most 2 to the number
-    of rules rows are left, whatever the number of documents.
+    The bits are read once, and every task sends one row of counts.
     """
-    patterns = entries.groupBy("failed_bits").agg(F.count("*").alias("n"))
-    table = entries.sparkSession.createDataFrame(
-        [(p.version, r, 1 << [x.name for x in rules].index(r), mask(p, rules)) for p in policies for r in p.rules],
-        "version string, rule string, bit long, mask long")
-    hit = F.col("failed_bits").bitwiseAND(F.col("mask"))
-    joined = F.broadcast(table).join(patterns, F.lit(True), "left")
-    count = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-    return joined.groupBy("version", "rule").agg(
-        count(F.col("failed_bits").bitwiseAND(F.col("bit")) != 0).alias("failing"),
-        count(hit == F.col("bit")).alias("only"),
-        count(hit == 0).alias("kept"))
+    bits = F.col("failed_bits")
+    names = [r.name for r in rules]
+    cells = []
+    for policy in policies:
+        whole = mask(policy, rules)
+        hit = bits.bitwiseAND(F.lit(whole))
+        for name in policy.rules:
+            bit = 1 << names.index(name)
+            cells.append((policy.version, name, F.count_if(bits.bitwiseAND(F.lit(bit)) != 0), F.count_if(hit == F.lit(bit)), F.count_if(hit == 0)))
+    sums = [c.alias(f"c{i}_{j}") for i, cell in enumerate(cells) for j, c in enumerate(cell[2:])]
+    rows = [F.struct(F.lit(version).alias("version"), F.lit(rule).alias("rule"),
+                     *(F.col(f"c{i}_{j}").alias(n) for j, n in enumerate(("failing", "only", "kept"))))
+            for i, (version, rule, *_) in enumerate(cells)]
+    return entries.agg(*sums).select(F.inline(F.array(*rows)))

@@ -114,18 +114,40 @@ bits as (
     + case when word_chars > 20 * n_words then 16 else 0 end
     + case when word_chars < 2 * n_words then 32 else 0 end)::bigint as failed_bits
   from measured)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits,
-       failed_bits & 3 <> 0 as base_failed, failed_bits = 0 as kept
+"""
+OP8_ROWS = """select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits,
+       failed_bits & 3 <> 0 as base_failed, failed_bits = 0 as kept, failed_bits & 23 = 0 as kept_by_first
 from bits
 """
 
 
-@query("op8_quality_rules", OP8_SQL)
+def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[quality.Rule, ...]]:
+    """The ledger of all documents, stored and read back: policies and ablations look at no text."""
+    path = quality.store(quality.ledger(table(spark, sf_dir, "documents")), scratch_path(spark, "quality-ledger"))
+    return quality.load(spark, path)
+
+
+@query("op8_quality_rules", OP8_SQL + OP8_ROWS)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.ledger(table(spark, sf_dir, "documents"))
+    entries, rules = _ledger(spark, sf_dir)
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_bits",
-        quality.fails(quality.BASE).alias("base_failed"), (~quality.fails(quality.STRICT)).alias("kept"))
+        quality.fails(quality.BASE, rules).alias("base_failed"), (~quality.fails(quality.STRICT, rules)).alias("kept"),
+        (~quality.fails(quality.FIRST, rules)).alias("kept_by_first"))
+
+
+POLICIES = (quality.BASE, quality.FIRST, quality.STRICT)
+ABLATION_ROWS = " union all ".join(
+    f"select '{p.version}' as version, '{r}' as rule, count(*) filter (where failed_bits & {quality.mask(quality.Policy('', (r,)))} <> 0) as failing, "
+    f"count(*) filter (where failed_bits & {quality.mask(p)} = {quality.mask(quality.Policy('', (r,)))}) as only, "
+    f"count(*) filter (where failed_bits & {quality.mask(p)} = 0) as kept from bits" for p in POLICIES for r in p.rules)
+
+
+@query("quality_ablations", OP8_SQL + ABLATION_ROWS)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of three versions of the policy drops, from the stored ledger."""
+    entries, rules = _ledger(spark, sf_dir)
+    return quality.ablations(entries, POLICIES, rules)
 
 
 SHARDS = 24

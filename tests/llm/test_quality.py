@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from murmur.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +64,17 @@ def test_empty_table(spark):
     empty = frame(spark).limit(0)
     assert quality.ledger(empty).count() == 0
     assert {tuple(r)[2:] for r in quality.ablations(quality.ledger(empty), [quality.BASE]).collect()} == {(0, 0, 0)}
+
+
+def test_a_stored_ledger_serves_later_policies(spark, tmp_path):
+    path = quality.store(quality.ledger(frame(spark)), str(tmp_path / "ledger"))
+    entries, rules = quality.load(spark, path)
+    assert rules == quality.RULES
+    for policy in (quality.BASE, quality.FIRST, quality.STRICT, quality.Policy("odd", ("short_words",)), quality.Policy("none", ())):
+        want = quality.ledger(frame(spark)).where(quality.fails(policy)).count()
+        assert entries.where(quality.fails(policy, rules)).count() == want
+    fewer = quality.store(quality.ledger(frame(spark), rules=quality.RULES[:2]), str(tmp_path / "old"), quality.RULES[:2])
+    entries, rules = quality.load(spark, fewer)
+    assert entries.where(quality.fails(quality.BASE, rules)).count() > 0
+    with pytest.raises(ValueError):
+        quality.fails(quality.STRICT, rules)
