@@ -113,10 +113,21 @@ def steady(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``, else the session's warehouse.
 
-    Both are the cluster's to name, and both are shared by its executors.
+    A warehouse on the driver's own disk will do where everything runs on that machine; on a cluster it is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/murmur-staged").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return shared_or_refused(warehouse, spark.sparkContext.master) + "/murmur-staged"
+
+
+def shared_or_refused(path: str, master: str) -> str:
+    """The path, if executors under this master can be expected to share it."""
+    scheme = path.split(":", 1)[0] if ":" in path else "file"
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError(f"{path} is on one machine's disk; set spark.checkpoint.dir to a folder that all executors share")
+    return path
 
 
 _staged: dict[str, list[str]] = {}

@@ -36,3 +36,11 @@ def test_the_bound_lets_few_more_rows_through(spark):
     assert scale.hash_bound(df, "k", 50_001) is None
     hot = spark.range(10_000).select(F.lit(3).alias("k"))
     assert scale.first_by_hash(hot, 5, "k").count() == 5
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark):
+    assert scale.shared_or_refused("file:/tmp/w", "local[8]") == scale.shared_or_refused("file:/tmp/w", "local-cluster[2,1,1024]") == "file:/tmp/w"
+    assert scale.shared_or_refused("s3a://bucket/w", "yarn") == "s3a://bucket/w"
+    for path in ("/tmp/w", "file:/tmp/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scale.shared_or_refused(path, "spark://host:7077")
