@@ -27,6 +27,10 @@ from murmur.functions.scale import stage
 from murmur.llm import textops
 
 
+#: So many of the most frequent n-grams at most are broadcast by ``joined_scores``.
+HEAVY_GRAMS = 200_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """``order`` words in the longest n-gram; ``alpha`` for each step back; sizes of chunks and hash ranges."""
@@ -56,7 +60,7 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
-def _chunked(df: DataFrame, key_col: str, text_col: str, settings: Settings) -> DataFrame:
+def _chunked(df: DataFrame, key_col: str, text_col: str, settings: Settings, secret: int) -> DataFrame:
     """Chunks of documents as word numbers: ``chunk``, ``keys``, ``n_words``, ``bounds``, ``vocabulary``, ``words``."""
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("keys", T.ArrayType(df.schema[key_col].dataType)),
@@ -80,7 +84,7 @@ def _chunked(df: DataFrame, key_col: str, text_col: str, settings: Settings) ->
         for batch in batches:
             texts = textops.blobs(batch.column(1))
             for low, high in textops.row_slices(texts):
-                words = textops.split_words(texts[low:high], lower=True)
+                words = textops.split_words(texts[low:high], lower=True, key=secret)
                 keys.append(batch.column(0).slice(low, high - low))
                 counts.append(words.counts)
                 hashes.append(words.hashes)
@@ -215,9 +219,104 @@ def scores(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", setti
     One row comes back per row; copies under any key are documents of their own. NULL and empty
     texts have no words and log_score 0. An empty table gives no rows.
     """
-    chunks = stage(_chunked(df, key_col, text_col, settings), "lm_chunks")
+    chunks = stage(_chunked(df, key_col, text_col, settings, textops.fresh_key()), "lm_chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(textops.shuffle_partitions(df.sparkSession), -(-total // settings.range_words))
     answers = _answers(_requests(chunks, ranges, settings))
     scored = _scored(chunks, answers, total, key_col, df.schema[key_col].dataType, settings)
     return scored.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
+# The same by joins of plain rows
+
+_STEPS = T.StructType([
+    T.StructField("place", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("longest", T.IntegerType()),
+    T.StructField("words", T.IntegerType()), T.StructField("times", T.LongType()), T.StructField("gram", T.LongType()),
+    T.StructField("own", T.LongType()), T.StructField("context", T.LongType()), T.StructField("context_own", T.LongType())])
+
+
+def _exploded(df: DataFrame, key_col: str, text_col: str, settings: Settings, secret: int) -> DataFrame:
+    """One row for each distinct longest n-gram of a document and each of its ways to be scored, from 1 word up.
+
+    Columns: the key, ``doc`` (a number of the row's own), ``place`` (of the longest n-gram), ``n_words`` of the document, ``longest``, ``words``
+    (of this n-gram), ``times`` (that the longest occurs), ``gram`` and ``context`` (hashes; the context is NULL for one word), and
+    how often the document itself has both. A document without words has one row of ``longest`` 0.
+    """
+    schema = T.StructType([T.StructField("key", df.schema[key_col].dataType), T.StructField("doc", T.LongType()), *_STEPS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = textops.blobs(batch.column(1))
+            for low, high in textops.row_slices(texts):
+                words = textops.split_words(texts[low:high], lower=True, key=secret)
+                counts = words.counts
+                owner = np.repeat(np.arange(len(counts)), counts)
+                n = len(words.hashes)
+                reach = np.minimum(np.arange(n) - words.bounds[owner] + 1, settings.order)
+                hashes, own = np.zeros((settings.order + 1, n), np.uint64), np.zeros((settings.order + 1, n), np.int64)
+                for order in range(1, settings.order + 1):
+                    grams, ends = _grams(words.hashes, words.bounds, order)
+                    _, place = np.unique(grams, return_inverse=True)
+                    hashes[order, ends] = grams ^ np.uint64(order)
+                    own[order, ends] = _own(place.reshape(-1), owner[ends])
+                longest = hashes[reach, np.arange(n)]
+                _, first, times = np.unique(np.stack([owner.astype(np.uint64), longest]), axis=1, return_index=True, return_counts=True)
+                for order in range(1, settings.order + 1):
+                    at, often = first[reach[first] >= order], times[reach[first] >= order]
+                    before = None if order == 1 else at - 1
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(low, high - low).take(pa.array(owner[at])), pa.array(doc + low + owner[at]), pa.array(at),
+                        pa.array(counts[owner[at]]), pa.array(reach[at].astype(np.int32)), pa.array(np.full(len(at), order, np.int32)), pa.array(often),
+                        pa.array(hashes[order, at].view(np.int64)), pa.array(own[order, at]),
+                        pa.nulls(len(at), pa.int64()) if before is None else pa.array(hashes[order - 1, before].view(np.int64)),
+                        pa.nulls(len(at), pa.int64()) if before is None else pa.array(own[order - 1, before])], names=schema.names)
+                bare = np.flatnonzero(counts == 0)
+                zeros = np.zeros(len(bare), np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(low, high - low).take(pa.array(bare)), pa.array(doc + low + bare), pa.array(zeros), pa.array(zeros),
+                    pa.array(zeros.astype(np.int32)), pa.array(zeros.astype(np.int32)), pa.array(zeros),
+                    *(pa.nulls(len(bare), pa.int64()) for _ in range(4))], names=schema.names)
+            doc += len(texts)
+
+    return textops.map_arrow(df.select(df[key_col], df[text_col]), run, schema)
+
+
+def joined_scores(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``scores`` by a count table joined to exploded n-grams and sums per document; the same rows, columns and edge cases.
+
+    Its rows grow in proportion to the texts whatever their size, and frequent n-grams are broadcast, so none gathers in a task.
+    It writes and shuffles several times what ``scores`` does, which packs the same counts.
+    """
+    steps = stage(_exploded(df, key_col, text_col, settings, textops.fresh_key()), "lm_steps")
+    held = steps.where(F.col("words") > 0)
+    # every document says once how often it has an n-gram: a shorter one stands on the rows of several longest
+    own = held.select("doc", "gram", "own").distinct()
+    counts = stage(own.groupBy("gram").agg(F.sum("own").alias("n"), F.count("*").alias("docs")), "lm_counts")
+    total = steps.select("doc", "n_words").distinct().agg(F.sum("n_words")).first()[0] or 0
+    rows = held.count()
+    heavy = F.col("docs") > max(64, rows // HEAVY_GRAMS)
+
+    def counted(steps: DataFrame, gram: str, n: str) -> DataFrame:
+        few = counts.where(heavy).select(F.col("gram").alias(gram), F.col("n").alias(n))  # fewer than HEAVY_GRAMS
+        many = counts.where(~heavy).select(F.col("gram").alias(gram), F.col("n").alias(n))
+        light = steps.join(F.broadcast(few.select(gram)), gram, "left_anti")
+        return steps.join(F.broadcast(few), gram).unionByName(light.join(many, gram))
+
+    grams = counted(held, "gram", "n_gram")
+    longer = counted(grams.where("words > 1"), "context", "n_context")
+    shorter = grams.where("words = 1").withColumn("n_context", F.lit(None).cast("long"))
+    both = longer.unionByName(shorter)
+    others, context = F.col("n_gram") - F.col("own"), F.col("n_context") - F.col("context_own")
+    rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1))
+    value = F.when(F.col("words") == 1, F.log(F.greatest(others, F.lit(0.5)) / rest)).when(others > 0, F.log(others / context))
+    best = both.withColumn("value", value).where("value is not null").groupBy("doc", "place").agg(
+        F.max(F.struct("words", "value", "times", "longest")).alias("best"))
+    back = F.col("best.longest") - F.col("best.words")
+    summed = best.groupBy("doc").agg(
+        F.sum(F.col("best.times") * back).alias("n_backoffs"),
+        F.sum(F.col("best.times") * (F.col("best.value") + back * float(np.log(settings.alpha)))).alias("log_score"))
+    docs = steps.groupBy("doc").agg(F.first("key").alias(key_col), F.first("n_words").alias("n_words"))
+    joined = docs.join(summed, "doc", "left").select(
+        key_col, "n_words", F.coalesce("n_backoffs", F.lit(0)).alias("n_backoffs"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    return joined.withColumn("score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -41,19 +41,30 @@ def plain(texts, order, alpha):
 
 @pytest.mark.parametrize("settings", [
     lm.Settings(), lm.Settings(order=1), lm.Settings(order=3), lm.Settings(order=3, chunk_bytes=40, range_words=3)])
-def test_scores_follow_the_definition(spark, settings):
+@pytest.mark.parametrize("scores", [lm.scores, lm.joined_scores])
+def test_scores_follow_the_definition(spark, settings, scores):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, chunk int").repartition(3)
-    got = {r["doc_id"]: r for r in lm.scores(df, settings=settings).collect()}
+    got = {r["doc_id"]: r for r in scores(df, settings=settings).collect()}
     for key, (n, back, log) in enumerate(plain(TEXTS, settings.order, settings.alpha)):
         assert (got[key]["n_words"], got[key]["n_backoffs"]) == (n, back)
         assert got[key]["log_score"] == pytest.approx(log, rel=1e-9)
         assert (got[key]["score"] is None) == (n == 0)
 
 
-def test_null_and_repeated_keys_and_empty_tables(spark):
+@pytest.mark.parametrize("scores", [lm.scores, lm.joined_scores])
+def test_null_and_repeated_keys_and_empty_tables(spark, scores):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
-    rows = lm.scores(df).collect()
+    rows = scores(df).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None", "None"]
     assert len({r["score"] for r in rows if r["n_words"]}) == 1
-    assert lm.scores(df.limit(0)).count() == 0
-    assert lm.scores(spark.createDataFrame([("k", "alone here")], "doc_id string, text string")).first()["n_words"] == 2
+    assert scores(df.limit(0)).count() == 0
+    assert scores(spark.createDataFrame([("k", "alone here")], "doc_id string, text string")).first()["n_words"] == 2
+
+
+def test_heavy_grams_are_broadcast_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"the cat {i % 7} sat {i}") for i in range(300)], "doc_id long, text string")
+    want = {r["doc_id"]: r for r in lm.scores(df, settings=lm.Settings(order=3)).collect()}
+    monkeypatch.setattr(lm, "HEAVY_GRAMS", 10)
+    got = {r["doc_id"]: r for r in lm.joined_scores(df, settings=lm.Settings(order=3)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k]["n_backoffs"] == want[k]["n_backoffs"] and got[k]["log_score"] == pytest.approx(want[k]["log_score"]) for k in want)
