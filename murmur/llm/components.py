@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.scale import stage
+from murmur.llm.textops import map_arrow
 
 MAX_ROUNDS = 60
 
@@ -40,6 +44,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without edges between nodes that earlier ones of the partition connect."""
+    parent: dict = {}
+
+    def root(node):
+        while (up := parent.setdefault(node, node)) != node:
+            parent[node] = node = parent[up]
+        return node
+
+    for batch in batches:
+        kept = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            kept.append(x != y)
+            parent[x] = y
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
 def _tie(edges: DataFrame, smaller: bool = False) -> DataFrame:
     """Tie each node's larger neighbours, or with ``smaller`` the node and all of them, to its least neighbour."""
     least = edges.groupBy("a").agg(F.min("b").alias("low")).select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ class GlobRule:
     glob: str
 
 
+#: At most so many bytes of state are stepped together.
+STATE_BYTES = 8 << 20
 _SUB = "{sub}"
 _ANY, _HOST = 1, 2  # what a star keeps alive: every byte, or every byte but a slash
 
@@ -94,7 +97,13 @@ class Automaton:
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
     def matches(self, texts: Sequence[bytes]) -> np.ndarray:
-        """A row for each text: which patterns match all of it."""
+        """A row for each text: which patterns match all of it. Texts take their steps in blocks, so that thousands of patterns fit in memory."""
+        block = max(1, STATE_BYTES // (8 * len(self.begin)))
+        if len(texts) <= block:
+            return self._matches(texts)
+        return np.concatenate([self._matches(texts[i:i + block]) for i in range(0, len(texts), block)])
+
+    def _matches(self, texts: Sequence[bytes]) -> np.ndarray:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-lengths, kind="stable")
         sizes = lengths[order]
@@ -138,6 +147,29 @@ def split_url(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def site_rules(rules: DataFrame) -> list[SiteRule]:
+    """Site rules from a table ``(verdict, host, path)``, in the order of its rows by ``position`` if it has one. At most ``MOST_RULES``."""
+    return [SiteRule(r["verdict"], r["host"], r["path"]) for r in _rule_rows(rules, "verdict", "host", "path")]
+
+
+def glob_rules(rules: DataFrame) -> list[GlobRule]:
+    """Glob rules from a table ``(verdict, glob)``, as ``site_rules``."""
+    return [GlobRule(r["verdict"], r["glob"]) for r in _rule_rows(rules, "verdict", "glob")]
+
+
+MOST_RULES = 50_000
+
+
+def _rule_rows(rules: DataFrame, *columns: str) -> list:
+    ordered = rules.orderBy("position") if "position" in rules.columns else rules
+    if rules.where(reduce(lambda a, b: a | b, (rules[c].isNull() for c in columns))).limit(1).count():
+        raise ValueError("a rule lacks a value")
+    rows = ordered.select(*columns).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return rows
+
+
 def judge(df: DataFrame, site_rules: Sequence[SiteRule], glob_rules: Sequence[GlobRule], url_col: str = "url",
           keep: Sequence[str] = ("page_id",), default: str = "allow") -> DataFrame:
     """Host, path, fitting site rule, fitting glob and verdict of every URL.

@@ -43,3 +43,33 @@ def test_rules_on_odd_urls(spark):
         want = ("b.org", "/", "org/", "allow") if r["page_id"] is None else wanted[r["page_id"]]
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == want
     assert urls.judge(df.limit(0), SITE_RULES, GLOB_RULES).count() == 0
+
+
+def test_thousands_of_rules_from_a_table(spark):
+    random.seed(8)
+    names = ["".join(random.choice("abcd") for _ in range(random.randint(2, 6))) for _ in range(3000)]
+    shapes = ("*/{}/*", "{{sub}}{}.*", "*.{}", "*{}?/*")
+    globs = [random.choice(shapes).format(n) for n in names]
+    table = spark.createDataFrame([(i, "block", g) for i, g in enumerate(globs)], "position int, verdict string, glob string").repartition(4)
+    rules = urls.glob_rules(table)
+    assert [r.glob for r in rules] == globs
+    sites = urls.site_rules(spark.createDataFrame([("allow", "dd.cc", "/ab"), ("block", "cc", "/")], "verdict string, host string, path string"))
+    assert sites == [urls.SiteRule("allow", "dd.cc", "/ab"), urls.SiteRule("block", "cc", "/")]
+    pages = ["http://" + ".".join(random.choice(names) for _ in range(random.randint(1, 3))) + "/" + "/".join(random.choice(names) for _ in range(random.randint(0, 3)))
+             for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    fits = lambda t, g: fnmatch.fnmatchcase(t, g) if not g.startswith("{sub}") else any(
+        fnmatch.fnmatchcase(t[i:], g[5:]) for i in [0, *(j + 1 for j, c in enumerate(t.split("/", 1)[0]) if c == ".")])
+    for r in urls.judge(df, [], rules).collect():
+        text = r["host"] + r["path"]
+        assert r["glob_rule"] == next((g for g in globs if fits(text, g)), None)
+
+
+def test_rule_tables_that_are_refused(spark, monkeypatch):
+    import pytest
+
+    with pytest.raises(ValueError):
+        urls.glob_rules(spark.createDataFrame([("block", None)], "verdict string, glob string"))
+    monkeypatch.setattr(urls, "MOST_RULES", 1)
+    with pytest.raises(ValueError):
+        urls.glob_rules(spark.createDataFrame([("block", "a"), ("block", "b")], "verdict string, glob string"))
