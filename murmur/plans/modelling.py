@@ -417,6 +417,22 @@ def two_key_order(spark, sf_dir):
     return table.select("subreddit", "cluster", "post_count", place.cast("int").alias("place"))
 
 
+@query("m15_planted_clusters", f"""{sql.TAGGED_POSTS}, {sql.PROFILE}
+SELECT subreddit, count(*) OVER (PARTITION BY {FIXED_CLUSTER}) AS alike, true AS own_kind FROM profile""")
+def planted_clusters(spark, sf_dir):
+    """Forums of two known kinds, far apart in every feature: how many share each one's cluster, and whether all are of its kind."""
+    at = (spark.sparkContext.applicationId, f"planted {sf_dir}")
+    if at not in _clusters:
+        profile = reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES)
+        number = F.expr("CAST(substr(subreddit, 4) AS INTEGER)")
+        far = F.when(F.expr(FIXED_CLUSTER) == 0, 1000).otherwise(0) + number
+        planted = profile.select("subreddit", *(far.cast(profile.schema[c].dataType).alias(c) for c in models.profile_features(ENTITIES)))
+        _clusters[at] = models.cluster_forums(planted, ENTITIES, k=2)
+    found = _clusters[at].table().select("subreddit", "cluster", F.expr(FIXED_CLUSTER).alias("kind"))
+    kinds = found.groupBy("cluster").agg(F.count("*").alias("alike"), F.min("kind").alias("low"), F.max("kind").alias("high"))
+    return found.join(F.broadcast(kinds), "cluster").select("subreddit", "alike", (F.col("low") == F.col("high")).alias("own_kind"))
+
+
 DISTANCES = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in models.profile_features(ENTITIES))
 
 
