@@ -58,8 +58,12 @@ FIRST = Policy("1", ("few_words", "repeated_windows", "many_symbols", "long_word
 STRICT = Policy("2", tuple(r.name for r in RULES))
 
 
+#: Windows are compared inside a text only, so each process may hash by a key of its own.
+_KEY = textops.fresh_key()
+
+
 def _measure(texts: list[bytes | None]) -> list:
-    words = textops.split_words(texts)
+    words = textops.split_words(texts, key=_KEY)
     n_words = words.counts
     repeated = np.zeros(len(words.hashes) + WINDOW + 1, np.int64)
     hashes, at = textops.windows(words.hashes, words.bounds, WINDOW)

@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+import zstandard
 from murmur.llm import langid
 from pyspark.sql import functions as F
 
@@ -56,3 +57,38 @@ def test_equal_sizes_go_to_the_more_frequent(spark):
     model = langid.Model({"b": b"the same text", "a": b"the same text"}, langid.Settings())
     row = langid.predict(spark.createDataFrame([(1, "the same text")], "doc_id long, text string"), model).first()
     assert (row["lang_pred"], row["score"], row["accepted"]) == ("b", 0.0, False)
+
+
+def plain_sizes(text, model, level):
+    """Compressed size under each language's dictionary, block by block, a compressor for each block."""
+    data = text.lower().encode()
+    params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=0, write_content_size=0, write_dict_id=0)
+    sizes = {}
+    for lang, words in model.dictionaries.items():
+        held = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level)
+        sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(data[i:i + 2048]))
+                          for i in range(0, len(data), 2048))
+    return sizes
+
+
+def plain_verdict(text, model):
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, False
+    for level, enough in ((6, 0.01), (12, -1)):
+        sizes = plain_sizes(text, model, level)
+        best, second = sorted(sizes.values())[:2]
+        margin = (second - best) / second
+        if margin >= enough:
+            return min(sizes, key=lambda k: (sizes[k], list(sizes).index(k))), margin, margin >= 0.002
+    raise AssertionError
+
+
+def test_predictions_equal_a_plain_comparison_of_sizes(spark, documents, model):
+    some = documents.where("doc_id % 9 = 0 or length(text) < 60").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, "12 34"), (-3, "Straße und Wagen"), (-4, "x")], "doc_id long, text string")
+    rows = langid.predict(some.union(odd), model, keep=["doc_id", "text"]).collect()
+    assert len(rows) > 100
+    for r in rows:
+        lang, margin, accepted = plain_verdict(r["text"], model)
+        assert (r["lang_pred"], r["accepted"]) == (lang, accepted) and r["score"] == pytest.approx(margin)

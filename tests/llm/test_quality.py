@@ -78,3 +78,11 @@ def test_a_stored_ledger_serves_later_policies(spark, tmp_path):
     assert entries.where(quality.fails(quality.BASE, rules)).count() > 0
     with pytest.raises(ValueError):
         quality.fails(quality.STRICT, rules)
+
+
+def test_windows_of_words_that_collide_by_construction_do_not_repeat(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rest = "c d e f g h i"
+    df = spark.createDataFrame([(1, f"{one} {rest} {two} {rest}")], "doc_id long, text string")
+    assert quality.ledger(df).first()["n_repeat_words"] == plain(f"{one} {rest} {two} {rest}")[-1] == 0
