@@ -31,8 +31,8 @@ from murmur.llm import textops
 
 LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 48
-CACHED_CHUNKS = 2_000_000
-CACHED_WORDS = 150_000
+CACHED_CHUNKS = 250_000
+CACHED_WORDS = 50_000
 _COUNTED_AT_ONCE = 300_000
 _ID_BITS = 24
 _ID_MASK = (1 << _ID_BITS) - 1
@@ -400,8 +400,9 @@ def count_words(df: DataFrame, vocabulary_text: str, text_col: str = "text") ->
                 [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in textops.blobs(batch.column(0)):
-                seen.update((text or b"").split())
+            for _, _, texts in textops.text_slices(batch.column(0)):
+                for text in texts:
+                    seen.update((text or b"").split())
                 if len(seen) > _COUNTED_AT_ONCE:
                     yield flush()
         yield flush()

@@ -193,9 +193,8 @@ def text_windows(df: DataFrame, key_col: str, text_col: str, settings: Settings,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _unit_hashes(key)
         for batch in batches:
-            texts = textops.blobs(batch.column(1))
-            for low, high in textops.row_slices(texts):
-                template = canonicalise(texts[low:high], units, key)
+            for low, high, texts in textops.text_slices(batch.column(1)):
+                template = canonicalise(texts, units, key)
                 for hashes, at, size, literal in found(template):
                     if shared is not None:
                         kept = shared.value.passes(hashes)

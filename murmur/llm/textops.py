@@ -6,6 +6,8 @@ and carriage return: ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import secrets
 import tempfile
@@ -16,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -166,6 +169,17 @@ def blobs(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """``row_slices`` of a column with the slice's texts; no more than a slice is held as Python objects."""
+    raw = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low, before = 0, 0
+    while low < len(raw):
+        high = max(low + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield low, high, raw.slice(low, high - low).to_pylist()
+        low, before = high, int(ends[high - 1])
+
+
 def map_texts(df: DataFrame, text_col: str, keep: Sequence[str], added: T.StructType,
               make: Callable[[], Callable[[list[bytes | None]], list]]) -> DataFrame:
     """Add columns computed from whole texts, partition by partition.
@@ -179,11 +193,10 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[str], added: T.Struct
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = blobs(batch.column(batch.num_columns - 1))
-            for low, high in row_slices(texts):
+            for low, high, texts in text_slices(batch.column(batch.num_columns - 1)):
                 rows = batch.slice(low, high - low)
                 columns = [rows.column(i) for i in range(len(keep))]
-                columns += [pa.array(v, k) for v, k in zip(work(texts[low:high]), kinds, strict=True)]
+                columns += [pa.array(v, k) for v, k in zip(work(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     source = df.select(*(df[c] for c in keep), df[text_col].alias("__text"))
@@ -209,8 +222,29 @@ def ship(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package at hand, in workers that give their memory back when a task ends.
+
+    Workers wait for the next task with what they have; an executor's memory is that of all of them.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
