@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # The rules that the URL query is asked to apply.
 SITE_RULES = (
     urls.SiteRule("allow", "org", "/"),
-    urls.SiteRule("allow", "example.org", "/es/"),
+    urls.SiteRule("block", "example.org", "/es/"),
     urls.SiteRule("block", "example.org", "/en/1"),
     urls.SiteRule("allow", "com", "/fr/"),
     urls.SiteRule("block", "com", "/de/"),
@@ -59,7 +59,7 @@ split as (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
   from parts),
 rules(verdict, rhost, rpath) as (values
-  ('allow', 'org', '/'), ('allow', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 globs(pos, glob_rule, pattern) as (values
   (1, '{sub}ads-track.*', '([^/]*[.])?ads-track[.].*'), (2, '{sub}cheap-pills.*', '([^/]*[.])?cheap-pills[.].*'),

@@ -26,7 +26,7 @@ def test_rules_on_odd_urls(spark):
     cases = {
         None: ("", "", None, "allow"), "": ("", "", None, "allow"), "example.org/en/1": ("", "", None, "allow"),
         "http://EXAMPLE.org/en/12?q": ("example.org", "/en/12", "example.org/en/1", "block"),
-        "http://x.example.org/es/#a": ("x.example.org", "/es/", "example.org/es/", "allow"),
+        "http://x.example.org/es/#a": ("x.example.org", "/es/", "example.org/es/", "block"),
         "http://example.org": ("example.org", "", None, "allow"),
         "http://ads-track.example.com/en/": ("ads-track.example.com", "/en/", None, "block"),
         "http://ads-track.example.com/fr/": ("ads-track.example.com", "/fr/", "com/fr/", "allow"),
@@ -73,3 +73,18 @@ def test_rule_tables_that_are_refused(spark, monkeypatch):
     monkeypatch.setattr(urls, "MOST_RULES", 1)
     with pytest.raises(ValueError):
         urls.glob_rules(spark.createDataFrame([("block", "a"), ("block", "b")], "verdict string, glob string"))
+
+
+def test_the_query_and_its_sql_have_the_contracts_rules(spark, tmp_path):
+    import duckdb
+    from murmur.llm.queries import OP2_SQL, op2_url_filters
+
+    wanted = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    assert sorted((r.verdict, r.host, r.path) for r in SITE_RULES) == sorted(wanted)
+    pages = [(i, f"https://{sub}{host}{path}x") for i, (sub, (_, host, path)) in enumerate((s, w) for s in ("", "a.") for w in wanted)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    verdicts = {i: wanted[i % len(wanted)][0] for i, _ in pages}
+    assert {r["page_id"]: r["verdict"] for r in op2_url_filters(spark, str(tmp_path)).collect()} == verdicts
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert {r[0]: r[-1] for r in con.execute(OP2_SQL).fetchall()} == verdicts
