@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmur.functions.scale import stage
 from murmur.operators import models, reactions
 from murmur.plans import sql
 from murmur.plans.base import ENTITIES, FLAGS, query, rounded, tagged_posts
@@ -446,9 +447,9 @@ HAVING count(b) > 0""")
 def silhouette_fixed(spark, sf_dir):
     """The silhouette of the scaled profiles under a labelling that no fit decides."""
     columns = models.profile_features(ENTITIES)
-    scaled = models.standardised(reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES), columns)
-    sides = reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES).select(
-        "subreddit", F.expr(FIXED_CLUSTER).alias("cluster"))
+    profile = stage(reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES), "fixed-profiles")
+    scaled = models.standardised(profile, columns)
+    sides = profile.select("subreddit", F.expr(FIXED_CLUSTER).alias("cluster"))
     vectors = rounded(scaled).withColumn("km_features", array_to_vector(F.array(*columns))).select("subreddit", "km_features")
     value = models.ForumClusters(vectors.join(sides, "subreddit")).silhouette()
     rows = vectors.groupBy().agg(F.lit(value).cast("double").alias("silhouette"))
