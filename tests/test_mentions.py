@@ -70,3 +70,21 @@ def test_a_word_that_begins_many_terms_is_tried_once_for_each_length(spark):
     df = spark.range(50).select(F.col("id").alias("post_id"), F.concat(F.lit("the the w"), F.col("id"), F.lit(" " + "the " * 200)).alias("title"))
     rows = mentions.mention_rows(df, "post_id", "title", terms)
     assert sorted(tuple(r) for r in rows.collect()) == [(i, str(i)) for i in range(50)]
+
+
+def test_words_are_not_shuffled_to_a_dictionary_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "broadcast_if_small", lambda df: df)
+    df = spark.range(300).select(F.col("id").alias("post_id"), F.concat(F.lit("the w"), F.col("id"), F.lit(" the" * 50 + " x")).alias("title"))
+    terms = spark.range(100).select(F.concat(F.lit("e"), "id").alias("entity"), F.concat(F.lit("the w"), F.col("id")).alias("term"))
+    rows = mentions.mention_rows(df, "post_id", "title", terms)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_anchor" not in plan
+    assert sorted(tuple(r) for r in rows.collect()) == sorted((i, f"e{i}") for i in range(100))
+    assert mentions.mention_rows(df, "post_id", "title", terms.limit(0)).collect() == []
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "SIEVE_BITS", 64)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "post_id long, title string")
+    got = mentions.mention_rows(df, "post_id", "title", mentions.term_table(spark, ENTITIES)).collect()
+    assert {tuple(r) for r in got} == expected(ENTITIES, TEXTS)
