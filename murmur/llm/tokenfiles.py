@@ -65,6 +65,8 @@ def join_planes(planes: Sequence[bytes], n_ids: int, width: int, block: int = BL
     return np.ascontiguousarray(cells).view(f"<u{width}").reshape(-1)[:n_ids].astype(np.uint32)
 
 
+#: A worker keeps so many chunks: asking the library again for a word costs far more than the 60 bytes that it takes.
+LIBRARY_CHUNKS = 2_000_000
 _workers: dict[int, ChunkCache] = {}
 
 
@@ -88,7 +90,7 @@ def _library_cache(text: str) -> ChunkCache:
             return out
 
         _workers.clear()
-        _workers[key] = ChunkCache(resolve)
+        _workers[key] = ChunkCache(resolve, LIBRARY_CHUNKS)
     return _workers[key]
 
 

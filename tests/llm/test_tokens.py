@@ -144,3 +144,15 @@ def test_empty_tables(spark, tmp_path):
     assert bpe.encode(df, tokenizer_text(), bpe.build_lexicon(df, tokenizer_text())).count() == 0
     tokenfiles.write(df, str(tmp_path / "none"), tokenizer_text(), 2)
     assert tokenfiles.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_token_files_ask_the_library_once_for_each_of_half_a_million_words(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "_workers", {})
+    cache = tokenfiles._library_cache(tokenizer_text())
+    asked = []
+    monkeypatch.setattr(cache, "resolve", lambda chunks: asked.append(len(chunks)) or [b"\x01\0\0\0"] * len(chunks))
+    words = [f"w{i}".encode() for i in range(500_000)]
+    for _ in range(2):
+        for low in range(0, len(words), 100_000):
+            cache.encode([b" ".join(words[low:low + 100_000])])
+    assert sum(asked) <= len(words) + 10
