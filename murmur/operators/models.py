@@ -37,10 +37,14 @@ def numeric_features(entities: Sequence[EntityPattern]) -> list[str]:
 
 
 def feature_table(tagged: DataFrame, entities: Sequence[EntityPattern], key: str = "post_id") -> DataFrame:
-    """Model inputs and targets of each complete row; mention flags become 0/1."""
+    """Model inputs and targets of each complete row; mention flags become 0/1.
+
+    Rows are put in an array of one and taken out again before gaps are looked for: a filter on the flags would be
+    pushed below them, and search every text a second time.
+    """
     columns = [*numeric_features(entities), *CATEGORIES, "score", "num_comments"]
-    complete = tagged.select(key, *columns).dropna(subset=columns)
-    return flags_to_int(complete, entities)
+    rows = tagged.select(F.inline_outer(F.array(F.struct(key, *columns))))
+    return flags_to_int(rows.dropna(subset=columns), entities)
 
 
 def _narrowed(counts: DataFrame, rank: int, low, high, whole: bool) -> tuple[DataFrame, int]:

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmur import study
 from murmur.functions.scale import stage
 from murmur.operators import models, reactions
 from murmur.plans import sql
@@ -43,28 +44,38 @@ def split(spark, sf_dir):
     return _features(spark, sf_dir).select("post_id", models.in_training("post_id").alias("in_training"))
 
 
+_flagged: dict[tuple[str, str], DataFrame] = {}
 _engagement: dict[tuple[str, str], models.EngagementModels] = {}
 _clusters: dict[tuple[str, str], models.ForumClusters] = {}
 
 
 def forget() -> None:
     """Drop fitted models, for a table that has changed or a timing that must include the fit."""
+    _flagged.clear()
     _engagement.clear()
     _clusters.clear()
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagged posts without their texts, staged: all fits read them, and the texts are searched once."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _flagged:
+        _flagged[at] = study.without_texts(tagged_posts(spark, sf_dir))
+    return _flagged[at]
+
+
 def _models(spark: SparkSession, sf_dir: str) -> models.EngagementModels:
     """One fit per session and data set, shared by the queries that read the models until ``forget``."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _engagement:
-        _engagement[at] = models.fit_engagement_models(_features(spark, sf_dir), ENTITIES)
+        _engagement[at] = models.fit_engagement_models(models.feature_table(_rows(spark, sf_dir), ENTITIES), ENTITIES)
     return _engagement[at]
 
 
 def _forums(spark: SparkSession, sf_dir: str) -> models.ForumClusters:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _clusters:
-        profile = reactions.forum_profile(tagged_posts(spark, sf_dir), ENTITIES)
+        profile = reactions.forum_profile(_rows(spark, sf_dir), ENTITIES)
         _clusters[at] = models.cluster_forums(profile, ENTITIES)
     return _clusters[at]
 

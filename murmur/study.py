@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.functions.scale import stage
 from murmur.functions.words import ENGLISH_STOP_WORDS
 from murmur.operators import features, models, reactions, sentiment, topics
 from murmur.sources import tables
@@ -91,27 +92,39 @@ class Fits:
     topics: topics.TopicModel
 
 
+def without_texts(posts: DataFrame, text_col: str = "title") -> DataFrame:
+    """Tagged posts without their texts, staged, so that whatever reads the flags doesn't search the texts again."""
+    return stage(posts.drop(text_col), "tagged-rows")
+
+
 def fit_all(study: Study, posts: DataFrame, comments: DataFrame) -> Fits:
-    """Fit all models on tagged posts and comments, each on its own staged rows."""
+    """Fit all models on tagged posts and comments, each on its own staged rows; the posts' texts are searched once."""
+    rows = without_texts(posts)
     return Fits(
-        models.fit_engagement_models(models.feature_table(posts, study.entities), study.entities),
-        models.cluster_forums(reactions.forum_profile(posts, study.entities), study.entities),
+        models.fit_engagement_models(models.feature_table(rows, study.entities), study.entities),
+        models.cluster_forums(reactions.forum_profile(rows, study.entities), study.entities),
         topics.fit_topics(comments, "body", "comment_id", keep=["event_period"], stop_words=study.stop_words))
 
 
-def result_tables(study: Study, posts: DataFrame, scored: DataFrame, fits: Fits | None = None) -> dict[str, DataFrame]:
+def result_tables(study: Study, posts: DataFrame, scored: DataFrame, fits: Fits | None = None,
+                  rows: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every result table of a study by name.
 
     ``posts`` are tagged, ``scored`` the posts with their sentiment, period and entity flags. All tables are aggregates or
-    short lists. Without ``fits`` the tables of models are left out.
+    short lists. Without ``fits`` the tables of models are left out. What the tables read of both is staged first, as
+    each is an action of its own, and would search and score all texts again; ``rows`` is what ``without_texts`` has made
+    of the posts, if it is there already. Only the lists of top posts read ``posts`` themselves, and no flags of them.
     """
-    found = {"player_engagement": reactions.engagement_by_entity(posts, study.entities)}
+    rows = without_texts(posts) if rows is None else rows
+    scored = stage(scored.select("event_period", *(e.flag for e in study.entities), features.ANY_FLAG, "sentiment"), "scored-rows")
+    found = {"player_engagement": reactions.engagement_by_entity(rows, study.entities)}
     for event in study.events:
-        inside = features.in_window(posts, study.calendar.window(event.first, event.last))
+        window = study.calendar.window(event.first, event.last)
+        inside = features.in_window(rows, window)
         found[f"{event.name}_mentions_by_period"] = reactions.mentions_by_period(inside, study.entities, study.calendar)
         found[f"{event.name}_engagement_by_period"] = reactions.engagement_by_period(inside, study.calendar)
-        found[f"{event.name}_top_aftermath_posts"] = reactions.top_posts(inside, event.aftermath)
-    found["head_to_head"] = reactions.head_to_head(posts, study.head_to_head)
+        found[f"{event.name}_top_aftermath_posts"] = reactions.top_posts(features.in_window(posts, window), event.aftermath)
+    found["head_to_head"] = reactions.head_to_head(rows, study.head_to_head)
     found["sentiment_by_period"] = sentiment.sentiment_by_period(scored, study.calendar)
     found["player_sentiment"] = sentiment.sentiment_by_entity(scored, study.entities)
     if fits is not None:

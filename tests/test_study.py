@@ -6,7 +6,7 @@ import glob
 import pytest
 from murmur import presets, study
 from murmur.functions.words import read_word_list
-from murmur.operators import features, sentiment
+from murmur.operators import features, models, sentiment
 from murmur.sources import tables
 from murmur.specs import COMMENTS_SCHEMA, POSTS_SCHEMA
 from pyspark.sql import functions as F
@@ -83,3 +83,23 @@ def test_lexicon_files(spark, tmp_path):
     file.write_text("bad\tnumber\n")
     with pytest.raises(Exception, match="no valence in"):
         sentiment.read_lexicon(spark, str(file)).collect()
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def tagged_texts(spark):
+    s = presets.CRICKET_STUDY
+    at = int(s.calendar["wc2023_final_aftermath"].seconds()[0]) + 10
+    texts = [None, "nothing", *(e.terms[0].upper() for e in s.entities)]
+    posts = spark.createDataFrame([(i, "Cricket", t, i, i, i, at, 2023, 11) for i, t in enumerate(texts)], POSTS_SCHEMA)
+    return s, features.tag(posts.repartition(2), "title", s.entities, s.calendar)
+
+
+def test_features_search_each_text_once(spark):
+    s, tagged = tagged_texts(spark)
+    table = models.feature_table(tagged, s.entities)
+    assert plan(table).count("RLIKE") == len(s.entities)
+    rows = {r.post_id: [r[e.flag] for e in s.entities] for r in table.collect()}
+    assert rows == {1: [0] * len(s.entities), **{i + 2: [int(i == j) for j in range(len(s.entities))] for i in range(len(s.entities))}}
