@@ -68,7 +68,7 @@ SIZES |= {
 def study_tables(spark, sf_dir):
     """All result tables are written, and their rows counted from the files."""
     fits = study.Fits(modelling._models(spark, sf_dir), modelling._forums(spark, sf_dir), texts._topics(spark, sf_dir))
-    found = study.result_tables(STUDY, tagged_posts(spark, sf_dir), scored_posts(spark, sf_dir), fits)
+    found = study.result_tables(STUDY, tagged_posts(spark, sf_dir), scored_posts(spark, sf_dir), fits, modelling._rows(spark, sf_dir))
     written = study.write_tables(found, scratch_path(spark, "study"))
     counts = [spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(path)
               .agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows") for name, path in written.items()]

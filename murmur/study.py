@@ -116,7 +116,8 @@ def result_tables(study: Study, posts: DataFrame, scored: DataFrame, fits: Fits
     of the posts, if it is there already. Only the lists of top posts read ``posts`` themselves, and no flags of them.
     """
     rows = without_texts(posts) if rows is None else rows
-    scored = stage(scored.select("event_period", *(e.flag for e in study.entities), features.ANY_FLAG, "sentiment"), "scored-rows")
+    read = scored.where(F.col("event_period").isin(study.calendar.labels) | F.col(features.ANY_FLAG))
+    scored = stage(read.select("event_period", *(e.flag for e in study.entities), features.ANY_FLAG, "sentiment"), "scored-rows")
     found = {"player_engagement": reactions.engagement_by_entity(rows, study.entities)}
     for event in study.events:
         window = study.calendar.window(event.first, event.last)

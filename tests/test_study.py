@@ -97,6 +97,18 @@ def tagged_texts(spark):
     return s, features.tag(posts.repartition(2), "title", s.entities, s.calendar)
 
 
+def test_result_tables_search_and_score_the_texts_once(spark):
+    s, tagged = tagged_texts(spark)
+    scored = sentiment.score_sentiment(tagged, "title", spark.createDataFrame([("nothing", 1.0)], "token string, valence double"),
+                                       keep=["event_period", *(e.flag for e in s.entities), features.ANY_FLAG])
+    found = study.result_tables(s, tagged, scored)
+    assert not [name for name, df in found.items() if "RLIKE" in plan(df)]
+    assert {r.player: r.posts for r in found["player_engagement"].collect()} == {e.name: 1 for e in s.entities}
+    assert found["wc2023_mentions_by_period"].first()[1:] == (1,) * len(s.entities)
+    assert found["wc2023_top_aftermath_posts"].count() == min(10, 2 + len(s.entities))
+    assert found["sentiment_by_period"].first()["posts"] == 2 + len(s.entities)
+
+
 def test_features_search_each_text_once(spark):
     s, tagged = tagged_texts(spark)
     table = models.feature_table(tagged, s.entities)
