@@ -10,18 +10,17 @@ import ctypes
 import gc
 import hashlib
 import secrets
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from murmur.functions.package import ship
+
 SLICE_BYTES = 1 << 20
 
 _SPACES = np.zeros(256, bool)
@@ -203,23 +202,6 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[str], added: T.Struct
     return map_arrow(source, run, schema)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for an application: their Python need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).parents[1]
-    file = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(file, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(file))
-    _shipped.add(context.applicationId)
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with this package at hand, in workers that give their memory back when a task ends.

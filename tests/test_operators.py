@@ -5,9 +5,11 @@ import random
 import re
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from murmur.functions import variational
 from murmur.functions.scale import scratch_path
 from murmur.functions.words import ENGLISH_STOP_WORDS, blank_separated, explode_terms, with_bigrams, word_runs
 from murmur.operators import features, keywords, models, reactions, sentiment, topics
@@ -255,6 +257,50 @@ def test_topics_repeat_and_have_ordered_weights(spark):
         assert row.w == pytest.approx(1.0)
 
 
+def test_fitted_topics_are_those_of_sparks_own_fit(spark):
+    """Also where a text is empty, has words the model doesn't know, or comes twice."""
+    random.seed(5)
+    kinds = [["ant", "bee", "cow", "dog", "elk"], ["fir", "ivy", "oak", "elm", "yew"]]
+    bodies = [" ".join(random.choices(kinds[i % 2], k=random.randint(1, 30)) + random.choices(kinds[1 - i % 2], k=i % 3)) for i in range(90)]
+    df = spark.createDataFrame([*enumerate([*bodies, "", None, "unheard", bodies[0]])], "id long, body string")
+    fitted = topics.fit_topics(df, "body", "id", k=3, max_iter=4, partitions=3, stop_words=[])
+    own = topics.LDA(k=3, maxIter=4, seed=42, subsamplingRate=1.0, topicDistributionCol="topic_dist").fit(
+        topics.steady(fitted.texts, "id", 3).persist())
+    assert np.allclose(fitted.model.topicsMatrix().toArray(), own.topicsMatrix().toArray(), rtol=1e-5)
+    assert np.allclose(fitted.model.estimatedDocConcentration(), own.estimatedDocConcentration(), rtol=1e-5)
+    mixtures = [{r.id: r.topic_dist.toArray() for r in m.transform(fitted.texts).collect()} for m in (fitted.model, own)]
+    assert mixtures[0].keys() == mixtures[1].keys() and all(np.allclose(mixtures[0][i], mixtures[1][i], atol=1e-5) for i in mixtures[0])
+    assert fitted.model.getMaxIter() == 4
+
+
+def test_texts_drawn_twice_are_worked_on_once():
+    """A pass takes a text's copies together, in any grouping, and gives what one text at a time does."""
+    random.seed(6)
+    weights = np.exp(variational.log_expectation(np.array([[random.gammavariate(2, 1) for _ in range(50)] for _ in range(4)])))
+    texts = [sorted(random.sample(range(50), random.randint(0, 40))) for _ in range(60)]
+    alpha, start = np.full(4, 0.25), np.array([0.9, 1.1, 1.0, 1.05])
+
+    def told(some, times):
+        ends = np.cumsum([len(texts[i]) for i in some])
+        slots = np.array([s for i in some for s in texts[i]], int)
+        found = variational.Statistics(weights, alpha, start)
+        found.add(slots, 1.0 + slots % 3, ends - [len(texts[i]) for i in some], ends, np.array(times, float))
+        return found
+
+    whole = told(range(60), [2] * 60)
+    single = [told([i], [1]) for i in range(60)]
+    assert whole.texts == 2 * sum(s.texts for s in single) == 2 * sum(bool(t) for t in texts)
+    assert np.allclose(whole.words, 2 * sum(s.words for s in single)) and np.allclose(whole.mixtures, 2 * sum(s.mixtures for s in single))
+
+
+def test_digamma():
+    x = np.array([0.01, 0.2, 1.0, 3.5, 40.0, 1e6])
+    step = 1e-5 * x
+    assert np.allclose(variational.digamma(x), [(math.lgamma(a + h) - math.lgamma(a - h)) / (2 * h) for a, h in zip(x, step, strict=True)], rtol=1e-6)
+    assert np.allclose(variational.exp_digamma(x), np.exp(variational.digamma(x)), rtol=1e-9)
+    assert np.allclose(variational.trigamma(x), (variational.digamma(x + step) - variational.digamma(x - step)) / (2 * step), rtol=1e-4)
+
+
 # Models
 
 @pytest.mark.parametrize("values", [
