@@ -170,3 +170,68 @@ def test_components_of_paths_and_stars(spark):
     want = {i: 100 for i in range(100, 141)} | {i: 7 for i in range(7, 30)} | {50: 50, 51: 50}
     assert got == want
     assert components.components(df.limit(0)).count() == 0
+
+
+def rooted(edges):
+    """The least node that each node reaches, found one edge after another."""
+    root = {}
+    for a, b in edges:
+        x, y = (root.setdefault(n, n) for n in (a, b))
+        for n in [n for n in root if root[n] == max(x, y)]:
+            root[n] = min(x, y)
+    return root
+
+
+def tangle(seed=4):
+    r = random.Random(seed)
+    ids = r.sample(range(10_000), 600)
+    path = list(zip(ids[:150], ids[1:150], strict=False))
+    clique = [(a, b) for a in ids[150:190] for b in ids[150:190] if a < b]
+    return path + clique + [(r.choice(ids[190:]), r.choice(ids[190:])) for _ in range(350)]
+
+
+def test_components_take_few_rounds_and_no_edges_that_close_cycles(spark, monkeypatch):
+    staged = []
+
+    def counted(df, name):
+        staged.append(components_stage(df, name))
+        return staged[-1]
+
+    components_stage = components.stage
+    monkeypatch.setattr(components, "stage", counted)
+    edges = [(a, b) for a in range(60) for b in range(a)] + [(i, i + 1) for i in range(100, 300)]
+    df = spark.createDataFrame(edges, "a long, b long").coalesce(1)
+    got = {r["node"]: r["component"] for r in components.components(df).collect()}
+    assert got == {i: 0 for i in range(60)} | {i: 100 for i in range(100, 301)}
+    assert staged[0].count() == 59 + 200 and len(staged) == 2
+
+
+@pytest.mark.parametrize(("kind", "most"), [("long", 0), ("string", 200_000), ("binary", 0), ("struct", 200_000)])
+def test_components_shuffled_and_broadcast(spark, monkeypatch, kind, most):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", most)
+    edges = tangle()
+    to = "named_struct('x', {})" if kind == "struct" else f"cast(lpad(cast({{}} as string), 5, '0') as {kind})"
+    back = "{}.x" if kind == "struct" else "cast(cast({} as string) as long)"
+    df = spark.createDataFrame(edges + [(None, 3), (3, None)], "a long, b long").repartition(6).selectExpr(
+        f"{to.format('a')} as a", f"{to.format('b')} as b")
+    if kind == "struct":
+        df = df.where("a.x is not null and b.x is not null")
+    found = components.components(df).selectExpr(f"{back.format('node')} as node", f"{back.format('component')} as component")
+    loops = {a for a, b in edges if a == b}
+    want = rooted(edges)
+    got = [(r["node"], r["component"]) for r in found.collect()]
+    assert len(got) == len(set(got)) and dict(got) == {n: c for n, c in want.items() if n not in loops or n in dict(got)}
+
+
+def test_stars_connect_what_their_edges_do(monkeypatch):
+    import pyarrow as pa
+    edges = tangle(7)
+    batches = [pa.RecordBatch.from_pydict({"a": [a for a, _ in edges[i:i + 100]], "b": [b for _, b in edges[i:i + 100]]})
+               for i in range(0, len(edges), 100)]
+    for block in (8, 100_000):
+        monkeypatch.setattr(components, "_BLOCK", block)
+        out = [p for b in components._stars(iter(batches)) for p in zip(*b.to_pydict().values(), strict=True)]
+        assert rooted(out) == {n: c for n, c in rooted(edges).items() if n in {n for e in out for n in e}}
+        assert {n for e in edges if e[0] != e[1] for n in e} == {n for e in out for n in e}
+    assert len(out) == len(rooted(out)) - len(set(rooted(out).values()))
+    assert list(components._stars(iter([batches[0].slice(0, 0)]))) == []
